@@ -66,7 +66,7 @@ PARSER_SEPARATOR = "\n\n--- Additional extraction hints from secondary domain --
 def split_sections(body) -> Column:
     """Map of normalised ``### Heading`` to the stripped text below it; a repeated heading's last
     text wins."""
-    text = F.regexp_replace(col(body), "^﻿+", "")
+    text = F.regexp_replace(col(body), "^\ufeff+", "")
     blocks = F.split(F.concat(F.lit("\n"), text), r"\n###[^\S\n]+(?=\S)")
     blocks = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
     entries = F.transform(
@@ -225,36 +225,22 @@ def merge_packs(profiles: DataFrame, packs: DataFrame) -> DataFrame:
         "profile_id", F.posexplode(F.concat(F.array("domain"), F.coalesce("secondary_domains", strings([])))).alias("pos", "name")
     )
     found = wanted.join(packs.select(F.col("name"), pack.alias("pack")), "name")
-    # One entry per domain a single person listed: a short list by nature.
-    listed = found.groupBy("profile_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "name", "pack"))).alias("all")
-    ) if not _has_map(packs.schema) else found.groupBy("profile_id").agg(
-        F.collect_list(F.struct("pos", "pack")).alias("all")
-    ).withColumn(
-        "all",
-        F.transform(
-            F.array_sort(F.transform("all", lambda x: x["pos"])),
-            lambda p: F.element_at(F.filter("all", lambda x: x["pos"] == p), 1),
-        ),
+    # One entry per domain a single person listed: a short list by nature.  Maps inside a pack
+    # cannot be compared, so only the positions are sorted.
+    listed = found.groupBy("profile_id").agg(F.collect_list(F.struct("pos", "pack")).alias("all"))
+    ordered = F.transform(
+        F.array_sort(F.transform("all", lambda x: x["pos"])),
+        lambda p: F.element_at(F.filter("all", lambda x: x["pos"] == p), 1),
     )
-    with_primary = listed.filter(F.get("all", F.lit(0))["pos"] == 0)
-    start = F.get("all", F.lit(0))["pack"].cast(packs.schema)
+    with_primary = listed.withColumn("all", ordered).filter(F.get("all", F.lit(0))["pos"] == 0)
     merged = F.aggregate(
-        F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))),
-        _nullable(start, pack_fields),
+        F.slice("all", 2, F.size("all")),
+        F.get("all", F.lit(0))["pack"],
         lambda acc, x: _merge_pair(acc, x["pack"], pack_fields),
     )
     return with_primary.select("profile_id", merged.alias("pack")).select("profile_id", "pack.*")
 
 
-def _has_map(schema: T.StructType) -> bool:
-    return any(isinstance(f.dataType, T.MapType) for f in schema.fields)
-
-
-def _nullable(pack: Column, fields: list[T.StructField]) -> Column:
-    return _merge_pair(pack, pack, fields)
-
-
 def seed_profile(profiles: DataFrame, packs: DataFrame) -> DataFrame:
     """Empty skills and core roles are filled from the profile's domain pack."""
     seeds = packs.select(

@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import HISTORY
+
 
 
 def write_version(df: DataFrame, root: str, version: int) -> str:
@@ -40,7 +42,7 @@ def scan_jobs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     found = current_version(spark, root)
     if found is None:
         raise FileNotFoundError(f"no version recorded under {root}")
-    df = spark.read.parquet(found[1])
+    df = spark.read.schema(HISTORY).parquet(found[1])
     return df.select(*columns) if columns else df
 
 
