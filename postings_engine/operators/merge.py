@@ -91,7 +91,7 @@ def sync(
     first_content = F.struct(*[F.col(f"first.{c}").alias(c) for c in CONTENT_COLUMNS])
     # A new posting is its first record plus any later change; a known one changes only when
     # the run brought a different text.
-    content = F.coalesce(F.col("changed"), F.when(~known | first_differs, first_content))
+    content = F.coalesce(F.col("changed"), F.when(seen & (~known | first_differs), first_content))
     joined = joined.withColumn("_content", content)
     updated = F.col("_content").isNotNull()
 
