@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, strings
+from ..session import ship_code
 from .scoring import (
     ADJACENT_WEIGHT, CORE_WEIGHT, MAX_KEYWORDS, TEXT_PENALTY, TITLE_PENALTY,
 )
@@ -51,6 +52,7 @@ def _hits_native(texts: DataFrame, words: list[str]) -> DataFrame:
 
 
 def _hits_automaton(texts: DataFrame, words: list[str]) -> DataFrame:
+    ship_code(__name__)
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

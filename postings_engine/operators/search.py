@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnLike, col
+from ..session import ship_code
 from .stemmer import porter_stem
 
 # BM25 constants and the smallest inverse document frequency.
@@ -44,6 +45,8 @@ def posting_tokens(
 
 def stems(tokens: DataFrame) -> DataFrame:
     """``(token, term)`` for the distinct tokens: the stemmer runs once per word, not per row."""
+    ship_code(porter_stem.__module__, __name__)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             yield frame.assign(term=[porter_stem(t) for t in frame["token"]])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 _STEP2 = (
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"),
@@ -56,7 +55,6 @@ def _replace(word: str, rules) -> str:
     return word
 
 
-@lru_cache(maxsize=100_000)
 def porter_stem(word: str) -> str:
     if len(word) < 3 or not word.isascii() or not word.isalpha():
         return word

@@ -14,7 +14,10 @@ from .registry import query
 from .sql_inputs import AS_OF, ORDER as SQL_ORDER
 from .sql_inputs import SPLIT_DAY, STATUS_LIST
 
-_SPLIT = F.lit(SPLIT_DAY).cast("date")
+
+def _split():
+    return F.lit(SPLIT_DAY).cast("date")
+
 
 
 @query("keep_first_by_id", uses=("keyed",), sql=f"""
@@ -102,12 +105,12 @@ _SYNCED = f"""WITH {_HISTORY}, {_FOLDED},
 
 def stored(t):
     """The history before the split day."""
-    return t.inputs.history(t.inputs.versions().filter(F.col("seen_date") < _SPLIT))
+    return t.inputs.history(t.inputs.versions().filter(F.col("seen_date") < _split()))
 
 
 def incoming(t):
     """The records from the split day on, several per posting."""
-    return t.inputs.records(t.inputs.versions().filter(F.col("seen_date") >= _SPLIT))
+    return t.inputs.records(t.inputs.versions().filter(F.col("seen_date") >= _split()))
 
 
 def merged(t):
@@ -185,7 +188,7 @@ _EDITED = f"""WITH {_HISTORY}, {_EDITS},
 def edits(t):
     """Edit rows made from line items: several per job, some with an unknown status."""
     values = F.array(*[F.lit(s) for s in ("new", "applied", "interview", "offer", "rejected", "ignore", "archive", "closed", "maybe", "")])
-    rows = t.inputs.keyed().filter((F.col("l_linenumber") == 3) & (F.col("seen_date") < _SPLIT))
+    rows = t.inputs.keyed().filter((F.col("l_linenumber") == 3) & (F.col("seen_date") < _split()))
     return rows.select(
         "job_id", F.element_at(values, (F.col("l_partkey") % 10).cast("int") + 1).alias("status"),
         F.when(F.col("l_suppkey") % 2 == 0, F.concat(F.lit("note "), F.col("l_partkey").cast("string"))).otherwise("").alias("notes"),

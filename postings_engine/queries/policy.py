@@ -29,7 +29,12 @@ PROFILE = {
         "rejected_company_cooldown_days": 20,
     },
 }
-DAY = F.lit(FILTER_DAY).cast("date")
+
+
+def _day():
+    return F.lit(FILTER_DAY).cast("date")
+
+
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _SQL_KEYS = "p.l_orderkey, p.l_linenumber, p.l_partkey, p.l_suppkey"
 
@@ -60,7 +65,7 @@ def salary_floor(t):
 
 @query("max_age", uses=("postings",), sql=f"SELECT {_SQL_KEYS}, posted_date FROM postings p WHERE {_AGE}")
 def max_age(t):
-    return t.inputs.postings().filter(P.f_max_age(2000, DAY)).select(*_KEYS, "posted_date")
+    return t.inputs.postings().filter(P.f_max_age(2000, _day())).select(*_KEYS, "posted_date")
 
 
 @query("company_block", uses=("postings",), sql=f"SELECT company, count(*) AS n FROM postings WHERE {_BLOCK} GROUP BY ALL")
@@ -87,7 +92,7 @@ def title_exclude(t):
 @query("cooldown_anti", uses=("jobs",), sql=f"SELECT company, count(*) AS n FROM keyed WHERE {_COOL} GROUP BY ALL")
 def cooldown_anti(t):
     rows = t.inputs.keyed().select("company")
-    return P.f_cooldown(rows, t.inputs.jobs(), DAY, 20).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+    return P.f_cooldown(rows, t.inputs.jobs(), _day(), 20).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("radius_filter", uses=("postings",), sql=f"SELECT location, lat, lon, count(*) AS n FROM postings WHERE {_RADIUS} GROUP BY ALL")

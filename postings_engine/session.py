@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def ship_code(*modules: str) -> None:
+    """Send the named modules along with the functions that use them.
+
+    Executors then need no installed copy of this package to run its few Python functions.
+    """
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
