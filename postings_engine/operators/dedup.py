@@ -27,11 +27,10 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
 def keep_first_known(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per key, except that rows with an empty key are all kept.
 
-    Empty keys are grouped by their (unique) position instead, which also spreads them.
+    The unkeyed rows skip the shuffle altogether, however many there are.
     """
     unknown = F.col(key).isNull() | (F.col(key) == "")
-    spread = F.when(unknown, F.struct(*order))
-    return _ranked(df, [F.col(key), spread], order, 1)
+    return keep_first(df.filter(~unknown), [key], order).unionByName(df.filter(unknown))
 
 
 def cap_per_group(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:

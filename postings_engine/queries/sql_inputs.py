@@ -5,7 +5,7 @@ from __future__ import annotations
 # Fixed values of the registered queries.
 AS_OF = "2001-08-01"
 FILTER_DAY = "2001-10-30"
-REPORT_DAY = "1998-06-15"
+REPORT_DAY = "1995-09-15"
 SPLIT_DAY = "2000-01-01"
 COST_DAY = "2024-01-30"
 
