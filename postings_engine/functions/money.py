@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import ColumnLike, bind, col, strings, strip
+from .columns import WHITESPACE, ColumnLike, bind, col, strip
 
 # Wordings that carry no amount.
 SENTINELS = (
@@ -41,14 +44,19 @@ HOURS_PER_YEAR = 1880
 DAYS_PER_YEAR = 230
 SESSIONS_PER_YEAR = 400
 
-_POUND_AMOUNT = r"(?iU)£\s*([0-9,]+(?:\.[0-9]+)?)\s*(k)?"
-_RANGE_BODY = r"([0-9,]+(?:\.[0-9]+)?)(k?)\s*(?:-|to|–)\s*([0-9,]+(?:\.[0-9]+)?)(k?)"
-_BAND = r"(?iU)\bband\s+([0-9]+[abcd]?)\b"
+_BLANKS = r"[\s\p{Z}]*"
+_POUND_AMOUNT = "£" + _BLANKS + r"[0-9,]+(?:\.[0-9]+)?" + _BLANKS + "[kK]?"
+_BARE = r"[0-9,]+(?:\.[0-9]+)?[kK]?"
+_RANGE = r"(?U)\b" + _BARE + _BLANKS + "(?:-|[tT][oO]|–)" + _BLANKS + _BARE + r"\b"
+_BAND = r"(?U)\bband\s+([0-9]+[abcd]?)\b"
+# Everything an amount may carry besides its digits.
+_NOT_DIGITS = "£,kK" + WHITESPACE
 
 
-def _amount(number: Column, has_k: Column) -> Column:
-    value = F.replace(number, F.lit(","), F.lit("")).try_cast("double")
-    return value * F.when(has_k, F.lit(1000.0)).otherwise(F.lit(1.0))
+def _amount(text: Column) -> Column:
+    """``£ 35,000.5 k`` to a number; NULL when no digits are left."""
+    value = F.translate(text, _NOT_DIGITS, "").try_cast("double")
+    return value * F.when(text.rlike("[kK]"), F.lit(1000.0)).otherwise(F.lit(1.0))
 
 
 def find_amounts(text: ColumnLike) -> Column:
@@ -57,32 +65,27 @@ def find_amounts(text: ColumnLike) -> Column:
     Amounts with a pound sign count always; bare ranges count only when both ends exceed 5000.
     ``£30,000 - £40,000`` is seen by the first rule, ``£30,000 - 40,000`` by both.
     """
-    text = col(text)
-    pounds = F.transform(
-        F.regexp_extract_all(text, F.lit(_POUND_AMOUNT), F.lit(0)),
-        lambda m: _amount(F.regexp_extract(m, _POUND_AMOUNT, 1), F.lower(m).endswith("k")),
-    )
-    ranges = F.transform(
-        F.regexp_extract_all(text, F.lit(r"(?iU)\b" + _RANGE_BODY + r"\b"), F.lit(0)),
-        lambda m: F.array(
-            *[
-                _amount(
-                    F.regexp_extract(m, "(?iU)" + _RANGE_BODY, group),
-                    F.regexp_extract(m, "(?iU)" + _RANGE_BODY, group + 1) != "",
-                )
-                for group in (1, 3)
-            ]
-        ),
-    )
-    ranges = F.filter(ranges, lambda r: (F.get(r, F.lit(0)) > 5000) & (F.get(r, F.lit(1)) > 5000))
-    return F.filter(F.concat(pounds, F.flatten(ranges)), lambda a: a.isNotNull())
+    def found(t: Column) -> Column:
+        none = F.array().cast("array<double>")
+        pounds = F.transform(F.regexp_extract_all(t, F.lit(_POUND_AMOUNT), F.lit(0)), _amount)
+        ranges = F.transform(
+            F.regexp_extract_all(t, F.lit(_RANGE), F.lit(0)),
+            lambda m: F.transform(F.split(m, "-|[tT][oO]|–"), _amount),
+        )
+        large = F.filter(ranges, lambda r: (F.get(r, F.lit(0)) > 5000) & (F.get(r, F.lit(1)) > 5000))
+        return F.concat(
+            F.when(t.contains("£"), F.filter(pounds, lambda a: a.isNotNull())).otherwise(none),
+            F.when(t.rlike("[0-9].*(?:-|[tT][oO]|–)"), F.flatten(large)).otherwise(none),
+        )
+
+    return bind(col(text), found)
 
 
 def detect_unit(text: ColumnLike) -> Column:
     text = F.lower(col(text))
     out = F.lit("annual")
     for unit, words in reversed(UNIT_WORDS.items()):
-        found = F.exists(strings(words), lambda w: F.contains(text, w))
+        found = reduce(or_, [text.contains(w) for w in words])
         out = F.when(found, F.lit(unit)).otherwise(out)
     return out
 
@@ -103,9 +106,7 @@ def annualise(
 
 def afc_band(text: ColumnLike) -> Column:
     """Range struct of the pay band named in the text, or NULL."""
-    name = F.lower(F.regexp_extract(col(text), _BAND, 1))
     letters = F.create_map(*[F.lit(x) for kv in BAND_LETTERS.items() for x in kv])
-    number = F.coalesce(F.try_element_at(letters, name), name.try_cast("int"))
     ranges = F.create_map(
         *[
             x
@@ -114,7 +115,13 @@ def afc_band(text: ColumnLike) -> Column:
                                             F.lit(high).cast("bigint").alias("max")))
         ]
     )
-    return F.try_element_at(ranges, number)
+
+    def named(t: Column) -> Column:
+        name = F.regexp_extract(t, _BAND, 1)
+        number = F.coalesce(F.try_element_at(letters, name), name.try_cast("int"))
+        return F.when(t.contains("band"), F.try_element_at(ranges, number))
+
+    return bind(F.lower(col(text)), named)
 
 
 def default_unit(pack_unit: ColumnLike) -> Column:
@@ -140,35 +147,39 @@ def parse_salary(
     ``pack_unit`` supplies the unit when the text names none; ``bands`` (boolean) switches the
     pay-band lookup per row and defaults to on.
     """
-    text = strip(raw)
     fallback = default_unit(pack_unit) if pack_unit is not None else F.lit("annual")
     use_bands = F.coalesce(col(bands), F.lit(False)) if bands is not None else F.lit(True)
 
-    def from_amounts(x: Column) -> Column:
+    def from_parts(x: Column) -> Column:
         amounts, band = x["amounts"], x["band"]
-        high = F.array_max(amounts)
+        count, low, high = F.size(amounts), F.array_min(amounts), F.array_max(amounts)
         unit = F.when(x["unit"] == "annual", fallback).otherwise(x["unit"])
         unit = F.when((unit == "annual") & (high < 5000), F.lit("hourly")).otherwise(unit)
         unit = F.when((unit == "hourly") & (high > 500), F.lit("annual")).otherwise(unit)
         in_band = F.when(
-            F.size(amounts) >= 2,
-            F.struct(F.array_min(amounts).cast("bigint").alias("min"),
-                     high.cast("bigint").alias("max")),
+            count >= 2,
+            F.struct(low.cast("bigint").alias("min"), high.cast("bigint").alias("max")),
         ).otherwise(band)
-        annual = F.struct(
-            annualise(F.array_min(amounts), unit, hours, days).alias("min"),
-            annualise(high, unit, hours, days).alias("max"),
+
+        def yearly(u: Column) -> Column:
+            return F.struct(
+                annualise(low, u, hours, days).alias("min"), annualise(high, u, hours, days).alias("max")
+            )
+
+        return F.when(band.isNotNull(), in_band).when(count > 0, bind(unit, yearly))
+
+    def parsed(text: Column) -> Column:
+        parts = F.struct(
+            find_amounts(text).alias("amounts"),
+            F.when(use_bands, afc_band(text)).alias("band"),
+            detect_unit(text).alias("unit"),
         )
-        return F.when(band.isNotNull(), in_band).when(F.size(amounts) > 0, annual)
+        # A text without digits, the usual sentinel included, holds neither amount nor band.
+        readable = text.rlike("[0-9]") & ~F.lower(text).isin(*SENTINELS)
+        return F.when(readable, bind(parts, from_parts))
 
-    parts = F.struct(
-        find_amounts(text).alias("amounts"),
-        F.when(use_bands, afc_band(text)).alias("band"),
-        detect_unit(text).alias("unit"),
-    )
-    readable = text.isNotNull() & ~F.lower(text).isin(*SENTINELS)
     nothing = F.struct(F.lit(None).cast("bigint").alias("min"), F.lit(None).cast("bigint").alias("max"))
-    return F.coalesce(F.when(readable, bind(parts, from_amounts)), nothing)
+    return F.coalesce(bind(strip(raw), parsed), nothing)
 
 
 def range_text(low: ColumnLike, high: ColumnLike) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html.entities import name2codepoint
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,9 +28,20 @@ DEFAULT_MAX_TOKENS = 1500
 TRUNCATION_MARK = "\n[... truncated ...]\n"
 PAYLOAD_CHARS = 3000
 
-_COMMENT = r"(?s)<!--.*?-->"
-_SCRIPT_OR_STYLE = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>"
-_TAG = r"""</?[A-Za-z][^'">]*(?:"[^"]*"[^'">]*|'[^']*'[^'">]*)*>|<![^>]*>|<\?[^>]*>"""
+# Words one of which every match of the pattern at the same position contains.
+_BOILERPLATE_WORDS = (
+    ("opportunit",), ("divers",), ("disability", "adjustment"), ("offer", "benefits"),
+    ("founded", "established"), ("apply", "please"), ("attach", "include"),
+)
+
+# Comments, script-like blocks, tags (quoted attribute values may hold ">") and declarations.
+_MARKUP = (
+    r"(?is)<(?:!--.*?-->"
+    r"|(script|style|template)\b[^>]*>.*?</\1\s*>"
+    r"""|/?[a-z][^'">]*+(?:"[^"]*"[^'">]*+|'[^']*'[^'">]*+)*+>"""
+    r"|[!?][^>]*>)"
+)
+_BLANK = r"[\t\x0B\f\r\x1c-\x1f\x85\p{Z}]"
 _NAMED_ENTITY = r"&[A-Za-z][A-Za-z0-9]*;"
 _DECIMAL_ENTITY = r"&#[0-9]{1,7};"
 _HEX_ENTITY = r"&#[xX][0-9A-Fa-f]{1,6};"
@@ -61,23 +74,22 @@ def decode_entities(text: ColumnLike) -> Column:
         F.lit("&apos;"), F.lit("'"),
     )
 
-    def decoded(t: Column) -> Column:
-        out = _replace_found(t, _NAMED_ENTITY, lambda e: F.try_element_at(names, e))
+    def code_point(digits: Column, base: int) -> Column:
+        return F.nullif(_character(F.conv(digits, base, 10).cast("int")), F.lit("&"))
+
+    def numbers(t: Column) -> Column:
         out = _replace_found(
-            out, _DECIMAL_ENTITY,
-            lambda e: F.nullif(
-                _character(F.regexp_extract(e, r"([0-9]+)", 1).cast("int")), F.lit("&")
-            ),
+            t, _DECIMAL_ENTITY, lambda e: code_point(F.regexp_extract(e, "([0-9]+)", 1), 10)
         )
         out = _replace_found(
-            out, _HEX_ENTITY,
-            lambda e: F.nullif(
-                _character(F.conv(F.regexp_extract(e, r"[xX]([0-9A-Fa-f]+)", 1), 16, 10).cast("int")),
-                F.lit("&"),
-            ),
+            out, _HEX_ENTITY, lambda e: code_point(F.regexp_extract(e, "[xX]([0-9A-Fa-f]+)", 1), 16)
         )
-        out = F.regexp_replace(out, r"&amp;|&#0*38;|&#[xX]0*26;", "&")
-        return F.when(t.contains("&"), out).otherwise(t)
+        return F.regexp_replace(out, "&#0*38;|&#[xX]0*26;", "&amp;")
+
+    def decoded(t: Column) -> Column:
+        out = _replace_found(t, _NAMED_ENTITY, lambda e: F.try_element_at(names, e))
+        out = bind(out, lambda x: F.when(x.contains("&#"), numbers(x)).otherwise(x))
+        return F.when(t.contains("&"), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(t)
 
     return bind(col(text), decoded)
 
@@ -85,23 +97,38 @@ def decode_entities(text: ColumnLike) -> Column:
 def strip_html(html: ColumnLike) -> Column:
     """Visible text: comments, scripts and styles dropped, each tag becomes a space."""
     html = col(html)
-    text = F.regexp_replace(html, _COMMENT, " ")
-    text = F.regexp_replace(text, _SCRIPT_OR_STYLE, " ")
-    text = F.regexp_replace(text, _TAG, " ")
-    return decode_entities(F.when(html.contains("<"), text).otherwise(html))
+    text = F.when(html.contains("<"), F.regexp_replace(html, _MARKUP, " ")).otherwise(html)
+    return decode_entities(text)
 
 
 def remove_boilerplate(text: ColumnLike) -> Column:
-    out = col(text)
-    for pattern in BOILERPLATE_PATTERNS:
-        out = F.regexp_replace(out, "(?isU)" + pattern, " ")
-    return out
+    """Boilerplate sentences replaced by a space, pattern by pattern.
+
+    A plain word search decides first whether a pattern can match at all: removing text never
+    makes such a word appear.
+    """
+    def step(pattern: str, words: tuple[str, ...]):
+        def run(x: Column) -> Column:
+            possible = reduce(or_, [x["lower"].contains(w) for w in words])
+            replaced = F.regexp_replace(x["text"], "(?isU)" + pattern, " ")
+            return F.struct(F.when(possible, replaced).otherwise(x["text"]).alias("text"), x["lower"].alias("lower"))
+
+        return run
+
+    text = col(text)
+    out = F.struct(text.alias("text"), F.lower(text).alias("lower"))
+    for pattern, words in zip(BOILERPLATE_PATTERNS, _BOILERPLATE_WORDS):
+        out = bind(out, step(pattern, words))
+    return out["text"]
 
 
 def normalise_ws(text: ColumnLike) -> Column:
     """Runs of blanks to one space, at most one empty line in a row, ends stripped."""
-    out = F.regexp_replace(col(text), r"(?U)[^\S\n]+", " ")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    # Single plain spaces, the bulk of all blanks, are left alone.
+    out = F.regexp_replace(col(text), rf"(?! ){_BLANK}{_BLANK}*+| {_BLANK}++", " ")
+    return strip(
+        bind(out, lambda t: F.when(t.contains("\n\n\n"), F.regexp_replace(t, r"\n{3,}", "\n\n")).otherwise(t))
+    )
 
 
 def middle_truncate(text: ColumnLike, max_chars: int) -> Column:

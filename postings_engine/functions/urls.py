@@ -50,12 +50,43 @@ def kept_query(query: Column) -> Column:
     return bind(pairs, grouped)
 
 
+_NAMES = "(?:" + "|".join(KEPT_PARAMS) + ")"
+# A parameter that is not kept, with the separator before it.
+_NOT_KEPT = rf"(?:^|&)(?!{_NAMES}=[^&])[^&]*"
+# One kept parameter that needs neither decoding nor escaping.
+_PLAIN = rf"^{_NAMES}=[A-Za-z0-9_.~-]+$"
+
+
 def canonical_url(url: ColumnLike) -> Column:
-    """Fragment removed, scheme lower-cased, only identifying query parameters kept."""
-    url = F.split_part(col(url), F.lit("#"), F.lit(1))
-    base = F.split_part(url, F.lit("?"), F.lit(1))
-    query = F.substring(url, F.length(base) + 2, F.length(url))
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
-    base = F.concat(F.lower(scheme), F.substring(base, F.length(scheme) + 1, F.length(base)))
-    kept = F.when(query != "", kept_query(query)).otherwise(F.lit(""))
-    return F.when(kept != "", F.concat(base, F.lit("?"), kept)).otherwise(base)
+    """Fragment removed, scheme lower-cased, only identifying query parameters kept.
+
+    Nearly all addresses are settled by one regular expression; only those with several kept
+    parameters or with escapes are taken apart.
+    """
+    def rebuilt(x: Column) -> Column:
+        def chosen(simple: Column) -> Column:
+            escaped = x["query"].contains("%") | x["query"].contains("+")
+            taken_apart = bind(
+                kept_query(x["query"]),
+                lambda kept: F.when(kept != "", F.concat(x["base"], F.lit("?"), kept)).otherwise(x["base"]),
+            )
+            return (
+                F.when(escaped, taken_apart)
+                .when(simple == "", x["base"])
+                .when(simple.rlike(_PLAIN), F.concat(x["base"], F.lit("?"), simple))
+                .otherwise(taken_apart)
+            )
+
+        return bind(F.ltrim(F.regexp_replace(x["query"], _NOT_KEPT, ""), F.lit("&")), chosen)
+
+    def cut(u: Column) -> Column:
+        mark = F.locate("?", u)
+        parts = F.struct(
+            F.substring(u, F.lit(1), mark - 1).alias("base"), F.substring(u, mark + 1, F.length(u)).alias("query")
+        )
+        return F.when(mark > 0, bind(parts, rebuilt)).otherwise(u)
+
+    plain = F.substring_index(col(url), "#", 1)
+    scheme = F.regexp_extract(plain, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    lowered = F.concat(F.lower(scheme), F.substring(plain, F.length(scheme) + 1, F.length(plain)))
+    return bind(F.when(plain.rlike(r"^[a-z0-9+.-]*:"), plain).otherwise(lowered), cut)

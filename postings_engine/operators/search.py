@@ -28,8 +28,8 @@ FIELDS = ("title", "company", "description")
 
 def tokenize(text: ColumnLike) -> Column:
     """Lower-cased runs of letters and digits."""
-    words = F.split(F.lower(F.coalesce(col(text), F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: w != "")
+    lowered = F.lower(F.coalesce(col(text), F.lit("")))
+    return F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
 def posting_tokens(

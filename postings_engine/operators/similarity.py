@@ -18,7 +18,9 @@ def shingles(text: ColumnLike, k: int = SHINGLE_WORDS) -> Column:
 
     def runs(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: F.array_join(F.slice(w, i, k), " ")))
+        return F.array_distinct(
+            F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(w, i + (n - 1)) for n in range(k)]))
+        )
 
     return bind(words, runs)
 

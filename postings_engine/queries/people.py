@@ -194,12 +194,12 @@ def seniority_defaults(t):
 
 @query("default_profile", sql="""
     SELECT CAST(c_custkey AS VARCHAR) AS profile_id, 'general' AS domain, CAST(60 AS INTEGER) AS search_radius_miles,
-        CASE WHEN c_acctbal > 0 THEN CAST(c_acctbal AS INTEGER) ELSE 0 END AS salary_floor, CAST(30 AS INTEGER) AS max_days,
+        CASE WHEN c_acctbal > 0 THEN CAST(floor(c_acctbal) AS INTEGER) ELSE 0 END AS salary_floor, CAST(30 AS INTEGER) AS max_days,
         CAST(90 AS INTEGER) AS cooldown FROM customer""")
 def default_profile(t):
     filters = next(f for f in PROFILE.fields if f.name == "filters")
     given = F.struct(*[
-        (F.when(F.col("c_acctbal") > 0, F.round("c_acctbal").cast("int")) if f.name == "salary_floor_gbp" else F.lit(None)).cast(f.dataType).alias(f.name)
+        (F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("int")) if f.name == "salary_floor_gbp" else F.lit(None)).cast(f.dataType).alias(f.name)
         for f in filters.dataType.fields])
     rows = t.customer.select(F.col("c_custkey").cast("string").alias("profile_id"), given.alias("filters"))
     return R.default_profile(rows).select(

@@ -7,9 +7,14 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 from .sql_inputs import with_inputs
 
 
+# Schemas already read from a table's footer, so that each is looked up once.
+_SCHEMAS: dict = {}
+
+
 class Tables:
     """The given tables of one data folder, and inputs derived from them."""
 
@@ -18,6 +23,9 @@ class Tables:
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
     )
 
+    # Tables whose rows get costly text or pay parsing.
+    WORKED = ("lineitem", "documents", "pages")
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -25,7 +33,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in Tables.NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        table = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        return spread(table) if name in Tables.WORKED else table
 
     @cached_property
     def inputs(self):
