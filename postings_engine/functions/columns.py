@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
@@ -39,3 +39,12 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 def strings(values) -> Column:
     """A literal array<string>, also when empty."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters read but must not compute again.
+
+    A filter on a plain projected column is pushed below the projection together with the whole
+    expression, which then runs once per reference; it cannot be pushed below a generator.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

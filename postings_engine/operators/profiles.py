@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..functions.columns import col, strings, strip
+from ..functions.columns import bind, col, strings, strip
 from ..functions.text import (
     no_response_null, normalise_heading, parse_bool, parse_int, split_list, strip_fences,
 )
@@ -66,21 +66,27 @@ PARSER_SEPARATOR = "\n\n--- Additional extraction hints from secondary domain --
 def split_sections(body) -> Column:
     """Map of normalised ``### Heading`` to the stripped text below it; a repeated heading's last
     text wins."""
+    def entry(block: Column) -> Column:
+        end = F.locate("\n", F.concat(block, F.lit("\n")))
+        return F.struct(
+            normalise_heading(F.substring(block, F.lit(1), end - 1)).alias("key"),
+            strip(F.substring(block, end, F.length(block))).alias("value"),
+        )
+
+    def last_of_each(entries: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        values = F.transform(
+            keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+        )
+        return F.map_from_arrays(keys, values)
+
     text = F.regexp_replace(col(body), "^\ufeff+", "")
     blocks = F.split(F.concat(F.lit("\n"), text), r"\n###[^\S\n]+(?=\S)")
-    blocks = F.slice(blocks, 2, F.greatest(F.size(blocks) - 1, F.lit(0)))
-    entries = F.transform(
+    # What stands before the first heading belongs to no section.
+    return bind(
         blocks,
-        lambda b: F.struct(
-            normalise_heading(F.split_part(b, F.lit("\n"), F.lit(1))).alias("key"),
-            strip(F.substring(b, F.length(F.split_part(b, F.lit("\n"), F.lit(1))) + 1, F.length(b))).alias("value"),
-        ),
-    )
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-    return F.map_from_arrays(
-        keys,
-        F.transform(
-            keys, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
+        lambda b: bind(
+            F.transform(F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), entry), last_of_each
         ),
     )
 

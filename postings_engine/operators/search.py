@@ -67,7 +67,7 @@ def build_terms(
     )
     if not stem:
         return counts.withColumnRenamed("token", "term")
-    stemmed = counts.join(stems(counts), "token")
+    stemmed = counts.join(stems(posting_tokens(docs, fields, id_column)), "token")
     return stemmed.groupBy("job_id", "field", "term").agg(F.sum("tf").alias("tf"))
 
 
@@ -94,27 +94,26 @@ def _query_terms(query: list[str], stem: bool) -> list[str]:
 
 def _weigh(hits: DataFrame, lengths: DataFrame, wanted: int) -> DataFrame:
     """BM25 over ``hits(job_id, slot, tf)``: one slot per query part, all slots required."""
-    totals = lengths.agg(
-        F.count(F.lit(1)).alias("docs"), F.avg("tokens").alias("average")
-    )
-    frequency = hits.groupBy("slot").agg(F.count(F.lit(1)).alias("df"))
+    facts = lengths.agg(
+        F.struct(F.count(F.lit(1)).alias("docs"), F.avg("tokens").alias("average")).alias("facts")
+    ).scalar()
+    # Counting tf keeps both uses of the hits identical, so that they share one shuffle.
+    frequency = hits.groupBy("slot").agg(F.count("tf").alias("df"))
     per_doc = hits.groupBy("job_id").agg(
         F.collect_list(F.struct("slot", "tf")).alias("parts"), F.count(F.lit(1)).alias("slots")
     ).filter(F.col("slots") == wanted)
     # At most one entry per query part: bounded by the length of the query.
-    frequencies = frequency.agg(F.map_from_entries(F.collect_list(F.struct("slot", "df"))).alias("m"))
-    n, average = totals.select("docs").scalar(), totals.select("average").scalar()
+    df_of = frequency.agg(F.map_from_entries(F.collect_list(F.struct("slot", "df"))).alias("m")).scalar()
     matched = per_doc.join(lengths, "job_id")
-    df_of = frequencies.scalar()
 
     def weight(part: Column) -> Column:
         df = F.element_at(F.col("_df"), part["slot"])
-        idf = F.log((F.col("_n") - df + 0.5) / (df + 0.5))
+        idf = F.log((F.col("_facts.docs") - df + 0.5) / (df + 0.5))
         idf = F.when(idf <= 0, F.lit(MIN_IDF)).otherwise(idf)
-        size = K1 * (1 - B + B * F.col("tokens") / F.col("_average"))
+        size = K1 * (1 - B + B * F.col("tokens") / F.col("_facts.average"))
         return idf * part["tf"] * (K1 + 1) / (part["tf"] + size)
 
-    weighed = matched.withColumns({"_n": n, "_average": average, "_df": df_of})
+    weighed = matched.withColumns({"_facts": facts, "_df": df_of})
     score = F.aggregate(
         F.array_sort("parts"), F.lit(0.0), lambda acc, part: acc + weight(part)
     )

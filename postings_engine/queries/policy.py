@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import with_once
 from ..functions.money import parse_salary
 from ..operators import filters as P
 from .registry import query
@@ -54,7 +55,7 @@ _PRICED = f"""WITH {SALARY_PARTS},
 
 
 def priced(t):
-    rows = t.inputs.keyed().withColumn("_pay", parse_salary("salary_raw"))
+    rows = with_once(t.inputs.keyed(), "_pay", parse_salary("salary_raw"))
     return rows.withColumns({"salary_min": F.col("_pay.min"), "salary_max": F.col("_pay.max")}).drop("_pay")
 
 

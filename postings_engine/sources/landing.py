@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import strip
+from ..functions.columns import strip, with_once
 from ..functions.dates import (
     extract_closing_date, extract_closing_date_with_packs, parse_posted_date,
 )
@@ -103,7 +103,7 @@ def conform(
     default_source: str = "unknown",
     max_jd_tokens: int = DEFAULT_MAX_TOKENS,
 ) -> DataFrame:
-    """Mapped or raw rows to :data:`postings_engine.schema.POSTING`, all in narrow projections.
+    """Mapped or raw rows to :data:`postings_engine.schema.POSTING`, without any shuffle but the lookups.
 
     ``locations`` adds coordinates by lookup.  With ``packs`` and a ``domain`` column in ``raw``
     each row uses its domain's pay unit, multipliers and closing-date patterns.
@@ -144,17 +144,18 @@ def conform(
         if coordinate not in df.columns:
             df = df.withColumn(coordinate, F.lit(None).cast("double"))
 
-    df = df.withColumn("description", clean_text("_raw_text", max_jd_tokens))
-    df = df.withColumn("_pay_range", salary)
+    # Filters on the cleaned columns must not pull the cleaning along when they are pushed down.
+    df = with_once(df, "description", clean_text("_raw_text", max_jd_tokens))
+    df = with_once(df, "_parsed", F.struct(salary.alias("pay"), closes.alias("closes_on")))
     df = df.select(
         *[c for c in ("seq", "domain") if c in df.columns],
         make_job_id("company", "title", "url").alias("job_id"),
         "source", "matched_query", "title", "company", "location", "lat", "lon", "url", "description",
         parse_posted_date("_created").alias("posted_date"),
-        closes.alias("closes_on"),
+        F.col("_parsed.closes_on").alias("closes_on"),
         "salary_raw",
-        F.coalesce(F.col("_pay_range.min"), F.nullif(F.col("_low"), F.lit(0.0)).cast("bigint")).alias("salary_min"),
-        F.coalesce(F.col("_pay_range.max"), F.nullif(F.col("_high"), F.lit(0.0)).cast("bigint")).alias("salary_max"),
+        F.coalesce(F.col("_parsed.pay.min"), F.nullif(F.col("_low"), F.lit(0.0)).cast("bigint")).alias("salary_min"),
+        F.coalesce(F.col("_parsed.pay.max"), F.nullif(F.col("_high"), F.lit(0.0)).cast("bigint")).alias("salary_max"),
         jd_hash("description").alias("jd_content_hash"),
     )
     unscored = [f for f in POSTING.fields if f.name not in df.columns]
