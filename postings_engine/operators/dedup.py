@@ -44,16 +44,24 @@ def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(row).select(key, "_row.*")
 
 
+def bucket_chars_for(rows: int, bucket_rows: int = 500_000) -> int:
+    """Leading hex characters of an id that make buckets of at most about ``bucket_rows``."""
+    chars = 2
+    while rows > bucket_rows * 16**chars:
+        chars += 1
+    return chars
+
+
 def assign_batches(
-    df: DataFrame, batch_size: int = 5, id_column: str = "job_id", bucket_chars: int = 2
+    df: DataFrame, batch_size: int = 5, id_column: str = "job_id", bucket_chars: int | None = None
 ) -> DataFrame:
     """Consecutive batches of ``batch_size`` rows, numbered inside buckets of the hex id.
 
     Buckets replace one global numbering, which would need a single task.  ``id_column`` must be
-    unique and evenly spread (a hash); 16 ** ``bucket_chars`` buckets keep each small, so raise
-    it with the table.  Adds ``batch_id`` and ``pos`` (0-based within the batch).
+    unique and evenly spread (a hash).  Without ``bucket_chars`` the rows are counted first and
+    the buckets made small enough.  Adds ``batch_id`` and ``pos`` (0-based within the batch).
     """
-    bucket = F.substring(id_column, 1, bucket_chars)
+    bucket = F.substring(id_column, 1, bucket_chars or bucket_chars_for(df.count()))
     position = F.row_number().over(Window.partitionBy(bucket).orderBy(id_column)) - 1
     numbered = df.withColumn("_n", position)
     return numbered.withColumn(

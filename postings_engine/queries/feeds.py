@@ -168,7 +168,7 @@ def map_board(t):
         F.lit(',"content":"'), F.col("p_type"), F.lit('","absolute_url":"'),
         F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit("https://b.example/"), F.col("p_partkey").cast("string"))).otherwise(""),
         F.lit('","updated_at":"2001-01-01"}'))
-    texts = _slugged(t).groupBy("slug").agg(F.array_join(F.collect_list(job), ",").alias("jobs")).select(
+    texts = _slugged(t).groupBy("slug", F.floor(F.col("p_partkey") / 1000)).agg(F.array_join(F.collect_list(job), ",").alias("jobs")).select(
         F.concat(F.lit('{"slug":"'), F.col("slug"), F.lit('","jobs":['), F.col("jobs"), F.lit("]}")).alias("body"))
     boards = L.good_records(L.parse_landed(texts, "body", H.BOARD))
     return H.map_board(H.board_items(boards, companies(t))).select("title", "company", "url", "location", "description", "source")
@@ -207,7 +207,7 @@ def map_widget(t):
         F.when(F.col("p_partkey") % 5 != 0, F.concat(F.lit('"https://w.example/'), F.col("p_partkey").cast("string"), F.lit('"'))).otherwise("null"),
         F.lit(',"description":"'), F.col("p_type"), F.lit('","requirements":"'), F.when(F.col("p_partkey") % 2 == 0, "needs").otherwise(""),
         F.lit('","benefits":"perks","location":'), place, F.lit("}"))
-    texts = _slugged(t).groupBy("slug").agg(F.array_join(F.collect_list(job), ",").alias("jobs")).select(
+    texts = _slugged(t).groupBy("slug", F.floor(F.col("p_partkey") / 1000)).agg(F.array_join(F.collect_list(job), ",").alias("jobs")).select(
         F.concat(F.lit('{"slug":"'), F.col("slug"), F.lit('","results":['), F.col("jobs"), F.lit("]}")).alias("body"))
     pages = L.good_records(L.parse_landed(texts, "body", H.WIDGET))
     return H.map_widget(H.widget_items(pages, companies(t))).select("title", "company", "url", "location", "description", "source")

@@ -1,4 +1,4 @@
-"""Session helpers: where scratch data may live, and size-checked broadcasts."""
+"""Session helpers: settings, where scratch data may live, and code shipping."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -69,17 +68,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting that the side has at most ``max_rows`` rows.
-
-    The count stops at ``max_rows + 1``.  Beyond the bound no hint is given and the join is
-    shuffled, with adaptive execution free to split skewed keys.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def ship_code(*modules: str) -> None:
     """Send the named modules along with the functions that use them.
 

@@ -36,20 +36,35 @@ ALIASES = {
 }
 
 
+Schema = T.StructType | str
+
+
+def _with_corrupt(schema: Schema) -> Schema:
+    if isinstance(schema, str):
+        return f"{schema}, {CORRUPT} string"
+    return T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+
+
 def read_landed(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+    spark: SparkSession, path: str, schema: Schema, multi_line: bool = False
 ) -> DataFrame:
-    """Landed JSON with an explicit schema; unreadable records keep their text in a side column."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = spark.read.schema(with_corrupt).option("mode", "PERMISSIVE")
-    return reader.option("columnNameOfCorruptRecord", CORRUPT).option("multiLine", multi_line).json(path)
+    """Landed JSON with an explicit schema; unreadable records keep their text in a side column.
+
+    By default every line is a record.  With ``multi_line`` every file is one object, or an array
+    of them.
+    """
+    texts = spark.read.text(path, wholetext=multi_line)
+    if multi_line:
+        value = strip("value")
+        listed = F.when(value.startswith("["), F.from_json(value, "array<string>"))
+        texts = texts.select(F.explode(F.coalesce(listed, F.array(value))).alias("value"))
+    return parse_landed(texts.filter(strip("value") != ""), "value", schema)
 
 
-def parse_landed(texts: DataFrame, text_column: str, schema: T.StructType, *keep: str) -> DataFrame:
+def parse_landed(texts: DataFrame, text_column: str, schema: Schema, *keep: str) -> DataFrame:
     """As :func:`read_landed`, for JSON held in a text column of a table."""
-    with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = F.from_json(
-        text_column, with_corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+        text_column, _with_corrupt(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     )
     return texts.select(*keep, parsed.alias("_parsed")).select(*keep, "_parsed.*")
 

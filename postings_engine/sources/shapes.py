@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import first_filled, strip
 from ..functions.money import range_text
@@ -35,41 +34,40 @@ COMMON = (
     "salary_raw", "salary_min", "salary_max", "created", "matched_query", "source",
 )
 
-PAGED_API = T.StructType.fromDDL(
+PAGED_API = (
     "query string, query_pos int, page int, results array<struct<"
     "id: string, title: string, company: struct<display_name: string>,"
     "location: struct<display_name: string, area: array<string>>, description: string,"
     "salary_min: double, salary_max: double, salary_is_predicted: boolean,"
     "contract_type: string, redirect_url: string, created: string>>"
 )
-LIST_PAGE = T.StructType.fromDDL(
+LIST_PAGE = (
     "query string, query_pos int, page int, results array<struct<"
     "jobId: bigint, jobTitle: string, employerName: string, jobUrl: string, locationName: string,"
     "jobDescription: string, minimumSalary: double, maximumSalary: double, date: string>>"
 )
-DETAIL = T.StructType.fromDDL("jobId bigint, jobDescription string")
-BOARD = T.StructType.fromDDL(
+DETAIL = "jobId bigint, jobDescription string"
+BOARD = (
     "slug string, jobs array<struct<id: string, title: string, location: string,"
     "content: string, absolute_url: string, updated_at: string>>"
 )
-POSTINGS = T.StructType.fromDDL(
+POSTINGS = (
     "slug string, text string, descriptionBody string, description string,"
     "lists array<struct<text: string, content: string>>, closing string,"
     "categories struct<location: string, team: string>, hostedUrl string, applyUrl string,"
     "createdAt bigint"
 )
-TENANT = T.StructType.fromDDL(
+TENANT = (
     "company string, api_base string, `offset` int, total bigint, jobPostings array<struct<"
     "title: string, externalPath: string, bulletFields: array<struct<fieldValue: string>>,"
     "locationsText: string, location: string, jobDescription: string, briefDescription: string,"
     "url: string>>"
 )
-WIDGET = T.StructType.fromDDL(
+WIDGET = (
     "slug string, results array<struct<title: string, shortcode: string, url: string,"
     "description: string, requirements: string, benefits: string, location: string,"
     "created_at: string>>"
 )
-COMPANIES = T.StructType.fromDDL("slug string, name string")
 
 
 def _or_empty(value: Column) -> Column:
