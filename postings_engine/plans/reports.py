@@ -13,6 +13,7 @@ from ..functions.columns import ColumnLike
 from ..functions.dates import days_left
 from ..operators.filters import f_open_status
 from ..schema import OVERVIEW_PRIORITIES, STATUSES
+from .costs import cache_hit_rate, cost_projection, cost_today
 
 # Sizes and limits of the views.
 NEW_TODAY_ROWS = 50
@@ -134,6 +135,18 @@ def digest_tables(jobs: DataFrame, as_of) -> dict[str, DataFrame]:
     }
 
 
+def dashboard_tables(jobs: DataFrame, runs: DataFrame, calls: DataFrame, as_of) -> dict[str, DataFrame]:
+    """The tables behind the dashboard."""
+    return {
+        "last_run": latest_run(runs),
+        "new_today": new_today(jobs, as_of),
+        "closing_soon": closing_soon(jobs, as_of),
+        "cost_today": cost_today(calls, as_of),
+        "cost_projection": cost_projection(calls, as_of),
+        "cache_hit_rate": cache_hit_rate(calls, as_of),
+    }
+
+
 def passive_digest(jobs: DataFrame, as_of) -> DataFrame:
     """Weekly view of the passive mode: postings of the last seven days scored 9 or better."""
     week = F.col("first_seen") > F.date_sub(_day(as_of), 7)

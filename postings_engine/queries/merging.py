@@ -9,6 +9,8 @@ from ..operators import merge as G
 from ..plans.daily import replay_bronze
 from ..plans.reports import edit_metrics, run_metrics
 from ..schema import SCORE_COLUMNS
+from ..session import scratch_path
+from ..sources import tables as B
 from .inputs import ORDER
 from .registry import query
 from .sql_inputs import AS_OF, ORDER as SQL_ORDER
@@ -253,3 +255,27 @@ def replay(t):
     bronze = t.inputs.records(t.inputs.versions())
     return replay_bronze(bronze, "seen_date", ORDER[1:]).select(
         "job_id", "jd_content_hash", "closes_on", "first_seen", "last_seen", "status")
+
+
+@query("write_jobs", uses=("versions",), sql=f"""WITH {_HISTORY}
+    SELECT job_id, title, status, first_seen, last_seen, jd_content_hash FROM history""")
+def write_jobs(t):
+    """The history written as two versions; the newer one is read back."""
+    root, jobs = scratch_path(t.spark, "jobs"), stored(t)
+    B.write_version(jobs.limit(0), root, 1)
+    B.write_version(jobs, root, 2)
+    return B.scan_jobs(t.spark, root, "job_id", "title", "status", "first_seen", "last_seen", "jd_content_hash")
+
+
+@query("append_api_calls", uses=("calls",), sql="""
+    SELECT CAST(timestamp AS DATE) AS date, operation, count(*) AS calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens
+    FROM calls WHERE CAST(timestamp AS DATE) >= DATE '2024-01-10' GROUP BY ALL""")
+def append_api_calls(t):
+    """Calls appended in two writes by day; the view reads only the folders of its days."""
+    path, calls = scratch_path(t.spark, "calls"), t.inputs.calls().drop("event_id")
+    odd = F.pmod(F.col("input_tokens"), F.lit(200)) == 100
+    B.append_api_calls(calls.filter(odd), path)
+    B.append_api_calls(calls.filter(~odd), path)
+    recent = t.spark.read.parquet(path).filter(F.col("date") >= F.lit("2024-01-10").cast("date"))
+    return recent.groupBy("date", "operation").agg(
+        F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"))

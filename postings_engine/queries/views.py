@@ -249,3 +249,14 @@ def scan_cost_log(t):
     text = F.when(kind == 0, F.lit("")).when(kind == 1, F.concat(F.lit("{broken "), line)).otherwise(line)
     return parse_cost_log(calls.select(text.alias("line")), "line").groupBy("operation").agg(
         F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"))
+
+
+@query("dashboard_costs", uses=("calls", "runs"), sql=f"""
+    SELECT (SELECT round(sum(est_cost_gbp), 6) FROM calls WHERE CAST(timestamp AS DATE) = DATE '{COST_DAY}') AS today_gbp,
+        (SELECT round(sum(est_cost_gbp), 4) FROM calls WHERE timestamp >= DATE '2024-01-01') AS month_gbp,
+        (SELECT count(*) FROM (SELECT 1 FROM runs LIMIT 1)) AS last_runs""")
+def dashboard_costs(t):
+    tables = R.dashboard_tables(t.inputs.jobs(), t.inputs.runs(), t.inputs.calls(), COST_DAY)
+    month = tables["cost_projection"].select(F.round("month_gbp", 4).alias("month_gbp")).scalar()
+    runs = tables["last_run"].agg(F.count(F.lit(1)).alias("n")).scalar()
+    return tables["cost_today"].withColumns({"month_gbp": month, "last_runs": runs})

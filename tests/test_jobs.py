@@ -64,6 +64,21 @@ def test_posting_arrays_from_files(spark, tmp_path):
     assert mapped[0]["description"] == "Needs\n\n<li>x</li>\n\nbye"
 
 
+def test_one_missing_feed_does_not_stop_the_others(spark, tmp_path):
+    from postings_engine.sources import feeds
+
+    frame = spark.createDataFrame(
+        [("https://x.example/1", "t", "Acme", "", "text", "£30k", None, None, None, "q", 0, 0)],
+        "job_url string, title string, company string, location string, description string, salary_source string, "
+        "min_amount string, max_amount string, date_posted date, query string, query_pos int, pos int")
+    frame.write.parquet(str(tmp_path / "frame"))
+    found = feeds.gather(spark, [(feeds.Frame(), str(tmp_path / "frame")), (feeds.PagedApi(), str(tmp_path / "absent")),
+                                 (feeds.Tenant(), str(tmp_path / "absent"))])
+    assert found.ok == ["jobspy"] and set(found.failed) == {"adzuna", "workday"}
+    row = L.conform(found.postings, DAY).first()
+    assert (row["title"], row["salary_min"], row["source"]) == ("t", 30000, "jobspy")
+
+
 def test_conform_with_packs_and_places(spark):
     raw = spark.createDataFrame([
         ("clerk", "Co", "https://x.example/1", "Leeds", "£20", "Doors shut: 3 May 2026", "care"),
