@@ -53,16 +53,20 @@ def bucket_chars_for(rows: int, bucket_rows: int = 500_000) -> int:
 
 
 def assign_batches(
-    df: DataFrame, batch_size: int = 5, id_column: str = "job_id", bucket_chars: int | None = None
+    df: DataFrame, batch_size: int = 5, id_column: str = "job_id", bucket_chars: int | None = None,
+    order: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
     """Consecutive batches of ``batch_size`` rows, numbered inside buckets of the hex id.
 
-    Buckets replace one global numbering, which would need a single task.  ``id_column`` must be
-    unique and evenly spread (a hash).  Without ``bucket_chars`` the rows are counted first and
-    the buckets made small enough.  Adds ``batch_id`` and ``pos`` (0-based within the batch).
+    Buckets replace one global numbering, which would need a single task.  ``id_column`` is a
+    hash; where it repeats, ``order`` names columns that tell the rows apart, and these take part
+    in choosing the bucket, so that a frequent id spreads too.  Without ``bucket_chars`` the rows
+    are counted first and the buckets made small enough.  Adds ``batch_id`` and ``pos`` (0-based
+    within the batch).
     """
-    bucket = F.substring(id_column, 1, bucket_chars or bucket_chars_for(df.count()))
-    position = F.row_number().over(Window.partitionBy(bucket).orderBy(id_column)) - 1
+    spread_id = F.sha1(F.to_json(F.struct(id_column, *order))) if order else F.col(id_column)
+    bucket = F.substring(spread_id, 1, bucket_chars or bucket_chars_for(df.count()))
+    position = F.row_number().over(Window.partitionBy(bucket).orderBy(id_column, *order)) - 1
     numbered = df.withColumn("_n", position)
     return numbered.withColumn(
         "batch_id", F.concat_ws("-", bucket, F.floor(F.col("_n") / batch_size).cast("string"))

@@ -40,7 +40,7 @@ def daily_run(
     kept = apply_filters(postings, profile, jobs, as_of)
     scored = prescore_and_route(kept, profile, threshold, ranker_version, score_batches is not None)
     if score_batches is not None:
-        scored = score_round_trip(scored, score_batches, ranker_version)
+        scored = score_round_trip(scored, score_batches, ranker_version, order=order)
     merged = sync(jobs, scored.drop("route"), order, as_of)
     closed = close_stale(merged, as_of, stale_days)
     return RunResult(closed, run_metrics(closed))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dedup as K
 from ..operators import merge as G
-from ..plans.daily import replay_bronze
+from ..plans.daily import daily_run, replay_bronze
 from ..plans.reports import edit_metrics, run_metrics
 from ..schema import SCORE_COLUMNS
 from ..session import scratch_path
@@ -279,3 +279,32 @@ def append_api_calls(t):
     recent = t.spark.read.parquet(path).filter(F.col("date") >= F.lit("2024-01-10").cast("date"))
     return recent.groupBy("date", "operation").agg(
         F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"))
+
+
+# The profile of the registered daily run; it names no skills, so all score 5.
+_RUN_PROFILE = {
+    "negative_signals": {"title_excludes": ["lead"], "company_blocklist": ["supplier#000000003"]},
+    "filters": {"salary_floor_gbp": 12000, "max_days_since_posted": 500, "rejected_company_cooldown_days": 590},
+}
+
+
+@query("daily_run", uses=("versions",), sql=f"""{_EDITED},
+    now AS (SELECT h.* EXCLUDE (status), CASE WHEN e.edited AND new_status <> '' THEN new_status ELSE e.status END AS status
+        FROM history h JOIN edited e ON h.job_id = e.job_id),
+    kept AS (SELECT * FROM versions WHERE seen_date >= DATE '{SPLIT_DAY}' AND CAST(l_quantity AS BIGINT) * 1100 >= 12000
+        AND datediff('day', posted_date, DATE '{AS_OF}') <= 500 AND lower(company) <> 'supplier#000000003' AND NOT title LIKE 'Lead %'
+        AND lower(company) NOT IN (SELECT lower(company) FROM now WHERE status = 'rejected' AND last_seen >= DATE '{AS_OF}' - 590)),
+    lagged AS (SELECT *, lag(jd_content_hash) OVER w AS before, row_number() OVER w AS rn FROM kept
+        WINDOW w AS (PARTITION BY job_id ORDER BY {SQL_ORDER})),
+    firsts AS (SELECT * FROM lagged WHERE rn = 1),
+    changes AS (SELECT DISTINCT job_id FROM lagged WHERE rn > 1 AND jd_content_hash IS DISTINCT FROM before),
+    synced AS (SELECT CASE WHEN f.job_id IS NULL THEN 'kept' WHEN n.job_id IS NULL THEN 'inserted'
+            WHEN c.job_id IS NOT NULL OR n.jd_content_hash <> f.jd_content_hash THEN 'updated_jd' ELSE 'updated_meta' END AS action,
+        coalesce(n.status, 'new') AS status, CASE WHEN f.job_id IS NOT NULL THEN DATE '{AS_OF}' ELSE n.last_seen END AS last_seen,
+        CASE WHEN n.job_id IS NULL THEN 5.0::DOUBLE END AS fit_score
+        FROM now n FULL OUTER JOIN firsts f ON n.job_id = f.job_id LEFT JOIN changes c ON c.job_id = f.job_id)
+    SELECT action, CASE WHEN status = 'new' AND last_seen < DATE '{AS_OF}' - 14 THEN 'closed' ELSE status END AS status,
+        status = 'new' AND last_seen < DATE '{AS_OF}' - 14 AS closed_now, fit_score, count(*) AS n FROM synced GROUP BY ALL""")
+def run_of_a_day(t):
+    result = daily_run(stored(t), incoming(t), ORDER, _RUN_PROFILE, AS_OF, edits=edits(t))
+    return result.jobs.groupBy("action", "status", "closed_now", "fit_score").agg(F.count(F.lit(1)).alias("n"))

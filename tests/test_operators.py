@@ -310,6 +310,15 @@ def test_score_round_trip_retries_singly(spark):
     assert got == {i: (5.0, 0.3, None) if i == 4 else (float(i), 0.5, f"t{i}") for i in range(12)}
 
 
+def test_batches_tell_rows_of_one_posting_apart(spark):
+    df = spark.range(1000).select(F.lit("ab" * 20).alias("job_id"), F.col("id").alias("seq"))
+    got = K.assign_batches(df, 5, bucket_chars=1, order=["seq"]).collect()
+    sizes = collections.Counter(r["batch_id"] for r in got)
+    assert len(got) == 1000 and len({r["batch_id"].split("-")[0] for r in got}) == 16 and max(sizes.values()) == 5
+    assert len({(r["batch_id"], r["pos"]) for r in got}) == 1000
+    assert K.bucket_chars_for(1000) == 2 and K.bucket_chars_for(10**10) == 4
+
+
 def test_generate_queries(spark):
     base = R.default_profile(spark.createDataFrame([("p",)], "profile_id string")).withColumns({
         "location": F.col("location").withField("city", F.lit("Leeds")),
