@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..functions.columns import bind, col, strings, strip
+from ..functions.columns import bind, col, strings, strip, with_once
 from ..functions.text import (
     no_response_null, normalise_heading, parse_bool, parse_int, split_list, strip_fences,
 )
@@ -328,10 +328,13 @@ def query_variants(profiles: DataFrame) -> DataFrame:
         phrases = F.concat(F.coalesce("supplied_queries", strings([])), phrases)
     return profiles.select(
         "profile_id",
-        F.concat(
-            F.coalesce("negative_signals.title_excludes", strings([])),
-            F.coalesce("negative_signals.company_blocklist", strings([])),
-            F.coalesce("filters.exclude_companies", strings([])),
+        F.transform(
+            F.concat(
+                F.coalesce("negative_signals.title_excludes", strings([])),
+                F.coalesce("negative_signals.company_blocklist", strings([])),
+                F.coalesce("filters.exclude_companies", strings([])),
+            ),
+            lambda e: F.lower(e),
         ).alias("excluded"),
         F.posexplode(phrases).alias("ordinal", "phrase"),
     )
@@ -341,10 +344,13 @@ def normalise_queries(variants: DataFrame, max_queries: int = DEFAULT_MAX_QUERIE
     """Clean phrases of each profile in order: blanks collapsed, excluded words out, each once
     regardless of case, at most ``max_queries``."""
     cleaned = strip(F.regexp_replace("phrase", r"(?U)\s+", " "))
-    df = variants.withColumn("phrase", cleaned).filter(F.col("phrase") != "")
-    df = df.filter(
-        ~F.exists("excluded", lambda e: (e != "") & F.contains(F.lower("phrase"), F.lower(e)))
-    ).withColumn("_lower", F.lower("phrase"))
+    both = bind(cleaned, lambda c: F.struct(c.alias("phrase"), F.lower(c).alias("lower")))
+    df = with_once(variants.filter(F.col("phrase").isNotNull()), "q", both).select(
+        "profile_id", "excluded", "ordinal", "q.phrase", F.col("q.lower").alias("_lower")
+    )
+    df = df.filter(F.col("phrase") != "").filter(
+        ~F.exists("excluded", lambda e: (e != "") & F.contains("_lower", e))
+    )
     once = df.groupBy("profile_id", "_lower").agg(
         F.min(F.struct("ordinal", "phrase")).alias("first")
     ).select("profile_id", "first.*")

@@ -24,7 +24,7 @@ class Tables:
     )
 
     # Tables whose rows get costly text or pay parsing.
-    WORKED = ("lineitem", "documents", "pages")
+    WORKED = ("lineitem", "documents", "pages", "customer")
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
