@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+# Temporary folders of local sessions that name no shared folder, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(app: str = "postings", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs in this package rely on (UTC, AQE, skew joins)."""
@@ -40,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-    fallback = tempfile.mkdtemp(prefix="postings-")
-    spark.conf.set(CHECKPOINT_CONF, fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="postings-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -174,6 +174,21 @@ def test_text_path_has_no_python_and_scans_prune(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in plan
 
 
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from postings_engine.session import CHECKPOINT_CONF, shared_dir
+
+    def session(master, conf):
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app"))
+
+    assert shared_dir(session("spark://x", {CHECKPOINT_CONF: "/shared/dir/"})) == "/shared/dir"
+    with pytest.raises(ValueError):
+        shared_dir(session("spark://x", {}))
+    local = session("local[2]", {})
+    assert shared_dir(local) == shared_dir(local)
+
+
 def test_driver_contract(spark):
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries)
