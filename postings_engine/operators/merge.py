@@ -119,6 +119,19 @@ def sync(
     return joined.select(*[column(f.name).alias(f.name) for f in HISTORY.fields], action.alias("action"))
 
 
+def sync_touched(
+    existing: DataFrame, incoming: DataFrame, order: list[str], run_date,
+    max_group_rows: int | None = 5_000_000,
+) -> DataFrame:
+    """:func:`sync` limited to the postings a run brought: the rows of a delta.
+
+    The history is first reduced to the incoming ids.  For a small run AQE broadcasts these, so
+    the history is scanned but neither shuffled nor sorted.
+    """
+    ids = incoming.select("job_id").distinct()
+    return sync(existing.join(ids, "job_id", "left_semi"), incoming, order, run_date, max_group_rows)
+
+
 def sync_diff(existing: DataFrame, incoming: DataFrame, order: list[str], run_date) -> DataFrame:
     """A dry run: postings that would be inserted or get a new text; nothing is written."""
     merged = sync(existing, incoming, order, run_date)

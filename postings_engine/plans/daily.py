@@ -13,7 +13,7 @@ from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
 from ..operators.merge import close_stale, import_edits, sync
 from ..operators.scoring import ScoreBatches, prescore_and_route, score_round_trip
 from ..schema import HISTORY
-from ..sources.tables import append_run, current_version, write_version
+from ..sources.tables import append_run, current_version, read_history, write_version
 from .reports import run_metrics
 
 
@@ -57,7 +57,7 @@ def run_and_store(
     """A daily run against the versioned history under ``root``, with its metrics appended."""
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     found = current_version(spark, root)
-    jobs = spark.read.schema(HISTORY).parquet(found[1]) if found else empty_history(spark)
+    jobs = read_history(spark, root) if found else empty_history(spark)
     version = found[0] + 1 if found else 1
     result = daily_run(jobs, postings, order, profile, as_of, **options)
     # The action flags are stored with the rows they describe: the counters then read two columns

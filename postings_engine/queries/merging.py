@@ -158,6 +158,13 @@ def sync_diff(t):
     return G.sync_diff(stored(t), incoming(t), ORDER, AS_OF)
 
 
+@query("sync_touched", uses=("versions",), sql=f"""{_SYNCED}
+    SELECT job_id, action, status, first_seen, last_seen, jd_content_hash FROM synced WHERE action <> 'kept'""")
+def sync_touched(t):
+    return G.sync_touched(stored(t), incoming(t), ORDER, AS_OF).select(
+        "job_id", "action", "status", "first_seen", "last_seen", "jd_content_hash")
+
+
 @query("run_metrics", uses=("versions",), sql=f"""{_SYNCED}
     SELECT count(*) FILTER (WHERE action <> 'kept') AS seen, count(*) FILTER (WHERE action = 'inserted') AS new,
         count(*) FILTER (WHERE action = 'updated_jd') AS changed,

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..schema import HISTORY
 from ..session import scratch_path
-from ..sources.tables import current_version
+from ..sources.tables import current_version, scan_jobs
 from ..streaming import streams as S
 from .inputs import ORDER
 from .registry import Tables, query
@@ -84,6 +83,5 @@ def stream_sync(t):
     inputs = _Streamed(t, "lineitem").inputs
     records = inputs.records(inputs.versions())
     finish(S.stream_sync(records, f"{root}/jobs", f"{root}/progress", ORDER, lambda batch: AS_OF))
-    jobs = t.spark.read.schema(HISTORY).parquet(current_version(t.spark, f"{root}/jobs")[1])
-    return jobs.select(
+    return scan_jobs(t.spark, f"{root}/jobs").select(
         "job_id", "source", "jd_content_hash", F.length("description").alias("description_chars"), "closes_on", "first_seen", "last_seen", "status")

@@ -3,49 +3,85 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import keep_first
 from ..schema import HISTORY
 
+LEDGER = "version bigint, kind string, path string"
 
 
-def write_version(df: DataFrame, root: str, version: int) -> str:
+def write_version(df: DataFrame, root: str, version: int, kind: str = "full") -> str:
     """Write a new version folder, then record it; readers never see a half-written table.
 
     The folder being read is never the folder being written, so a lost executor or a failed job
-    leaves the previous version in place.
+    leaves the previous version in place.  A ``delta`` holds only the rows that changed.
     """
     spark = df.sparkSession
-    path = f"{root}/v{version:08d}"
+    path = f"{root}/v{version:08d}-{kind}"
     df.write.mode("overwrite").parquet(path)
-    ledger = spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(path).alias("path"))
-    ledger.write.mode("append").parquet(f"{root}/_versions")
+    entry = (F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), F.lit(path).alias("path"))
+    spark.range(1).select(*entry).write.mode("append").parquet(f"{root}/_versions")
     return path
 
 
-def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
-    """Latest recorded version and its folder, or None before the first write."""
+def _recorded(spark: SparkSession, root: str) -> list:
+    """Ledger entries from the last full version on, oldest first; a full one hides its delta."""
     try:
-        ledger = spark.read.schema("version bigint, path string").parquet(f"{root}/_versions")
-        row = ledger.agg(F.max(F.struct("version", "path")).alias("last")).first()
-    except Exception as error:  # the ledger does not exist yet
+        ledger = spark.read.schema(LEDGER).parquet(f"{root}/_versions")
+    except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            return None
+            return []
         raise
-    return (row["last"]["version"], row["last"]["path"]) if row and row["last"] else None
+    full = ledger.filter("kind = 'full'").agg(F.max("version").alias("v")).first()["v"]
+    entries = ledger.filter(F.col("version") >= F.lit(full if full is not None else 0)).collect()
+    kept = [e for e in entries if e["kind"] == "full" or e["version"] != full]
+    return sorted(kept, key=lambda e: e["version"])
+
+
+def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
+    """Latest recorded version and its folder, or None before the first write."""
+    entries = _recorded(spark, root)
+    return (entries[-1]["version"], entries[-1]["path"]) if entries else None
+
+
+def deltas_since_full(spark: SparkSession, root: str) -> int:
+    return sum(e["kind"] == "delta" for e in _recorded(spark, root))
+
+
+def read_history(spark: SparkSession, root: str) -> DataFrame | None:
+    """The current history: the last full version, overlaid with the newer deltas.
+
+    The overlay keeps the newest row per posting, limited inside the map tasks.
+    """
+    entries = _recorded(spark, root)
+    if not entries:
+        return None
+    parts = [
+        spark.read.schema(HISTORY).parquet(e["path"]).withColumn("_version", F.lit(e["version"])) for e in entries
+    ]
+    if len(parts) == 1:
+        return parts[0].drop("_version")
+    return keep_first(reduce(DataFrame.unionByName, parts), ["job_id"], [F.desc("_version")]).drop("_version")
 
 
 def scan_jobs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     """The current history table, reading only the named columns."""
-    found = current_version(spark, root)
-    if found is None:
+    df = read_history(spark, root)
+    if df is None:
         raise FileNotFoundError(f"no version recorded under {root}")
-    df = spark.read.schema(HISTORY).parquet(found[1])
     return df.select(*columns) if columns else df
 
 
+def compact(spark: SparkSession, root: str, version: int) -> None:
+    """Replace the last full version and its deltas by one new full version."""
+    write_version(scan_jobs(spark, root), root, version, "full")
+
+
 def point_lookup(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.filter(F.col("job_id") == job_id)
 

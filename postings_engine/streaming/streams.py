@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..operators.merge import sync
+from ..operators.merge import sync_touched
 from ..plans.costs import SOFT_CAP_GBP
 from ..plans.daily import empty_history
 from ..schema import HISTORY
-from ..sources.tables import current_version, write_version
+from ..sources.tables import (
+    compact, current_version, deltas_since_full, read_history, write_version,
+)
 
 
 def merge_batch(
-    spark: SparkSession, root: str, order: list[str], run_date: Callable[[DataFrame], object]
+    root: str, order: list[str], run_date: Callable[[DataFrame], object], compact_every: int = 50
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function merging each micro-batch into the versioned table at ``root``.
 
-    A batch id is also the version it writes, so a batch replayed after a failure finds its
-    version recorded and is skipped.
+    A batch writes only the rows it touched, as a delta; every ``compact_every`` deltas the table
+    is rewritten in full.  A batch id is also the version it writes, so a batch replayed after a
+    failure finds its version recorded and is skipped.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -29,20 +32,21 @@ def merge_batch(
         version = batch_id + 1
         if found and found[0] >= version:
             return
-        jobs = session.read.schema(HISTORY).parquet(found[1]) if found else empty_history(session)
-        merged = sync(jobs, batch, order, run_date(batch))
-        write_version(merged.select(*HISTORY.names), root, version)
+        jobs = read_history(session, root)
+        touched = sync_touched(empty_history(session) if jobs is None else jobs, batch, order, run_date(batch))
+        write_version(touched.select(*HISTORY.names), root, version, "delta" if found else "full")
+        if deltas_since_full(session, root) >= compact_every:
+            compact(session, root, version)
 
     return merge
 
 
 def stream_sync(
     postings: DataFrame, root: str, checkpoint: str, order: list[str],
-    run_date: Callable[[DataFrame], object],
+    run_date: Callable[[DataFrame], object], compact_every: int = 50,
 ) -> DataStreamWriter:
     """Merge a stream of conformed postings; start it with the trigger of your choice."""
-    spark = postings.sparkSession
-    return postings.writeStream.foreachBatch(merge_batch(spark, root, order, run_date)).option(
+    return postings.writeStream.foreachBatch(merge_batch(root, order, run_date, compact_every)).option(
         "checkpointLocation", checkpoint
     )
 

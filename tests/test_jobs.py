@@ -141,15 +141,17 @@ def test_stream_of_several_batches_equals_sequential_merges(spark, tmp_path):
         records(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         jobs, _ = brute_sync(jobs, part, DAY)
     stream = spark.readStream.schema(records(spark, rows[:1]).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    root = str(tmp_path / "out")
-    S.stream_sync(stream, root, str(tmp_path / "progress"), ORDER, lambda b: DAY).trigger(availableNow=True).start().awaitTermination()
-    version, path = B.current_version(spark, root)
-    assert version == 3
-    got = {r["job_id"]: r.asDict() for r in spark.read.schema(HISTORY).parquet(path).collect()}
-    assert got == {k: {f.name: v.get(f.name) for f in HISTORY.fields} for k, v in jobs.items()}
-    # A batch that is replayed after it was recorded changes nothing.
-    S.merge_batch(spark, root, ORDER, lambda b: DAY)(records(spark, rows[:5]), 2)
-    assert B.current_version(spark, root)[0] == 3
+    want = {k: {f.name: v.get(f.name) for f in HISTORY.fields} for k, v in jobs.items()}
+    for compact_every, kinds in ((50, ["full", "delta", "delta"]), (2, ["full"])):
+        root = str(tmp_path / f"out{compact_every}")
+        writer = S.stream_sync(stream, root, root + "-progress", ORDER, lambda b: DAY, compact_every)
+        writer.trigger(availableNow=True).start().awaitTermination()
+        assert B.current_version(spark, root)[0] == 3
+        assert [e["kind"] for e in B._recorded(spark, root)] == kinds
+        assert {r["job_id"]: r.asDict() for r in B.scan_jobs(spark, root).collect()} == want
+        # A batch that is replayed after it was recorded changes nothing.
+        S.merge_batch(root, ORDER, lambda b: DAY)(records(spark, rows[:5]), 2)
+        assert B.current_version(spark, root)[0] == 3
 
 
 def test_bucketed_history_is_not_shuffled_by_the_merge(spark):
