@@ -170,9 +170,10 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1,
     number are spread by Spark's skew join.
     """
     found = materialise(suspects(docs, bits, min_chars), "line-suspects")
-    repeated = (found.groupBy("line").agg(F.sum("n").alias("docs"), F.min("first").alias("first"))
-                .filter(F.col("docs") >= min_docs)
-                .select("line", (F.coalesce("first", F.lit(_NULL_ID)) if keep_first else F.lit(_NOBODY)).alias("keeper")))
+    counted = found.groupBy("line").agg(F.sum("n").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs)
+    keeper = F.coalesce("first", F.lit(_NULL_ID)) if keep_first else F.lit(_NOBODY)
+    # Written out, so that the join below reads both sides by themselves and Spark can split a frequent line.
+    repeated = materialise(counted.select("line", keeper.alias("keeper")), "repeated-lines")
     drops = (found.select("text_key", "line").join(repeated, "line").groupBy("text_key")
              .agg(F.collect_list(F.struct("line", "keeper")).alias("drops")))
     rows = docs.select(F.struct("*").alias("row"), text_key().alias("text_key"))
