@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import whole_text
+from .frames import python_text
 
 SEED_WORDS = 3
 SPAN = 4
@@ -171,7 +171,7 @@ def _document_counts(docs: DataFrame, block: Block) -> np.ndarray:
             yield pd.DataFrame({"gram": seen, "n": counts[seen]})
 
     out = np.zeros(len(block.grams), np.int64)
-    texts = docs.select(whole_text().alias("text"))
+    texts = docs.select(python_text(docs).alias("text"))
     for row in texts.mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         out[row["gram"]] = row["n"]
     return out
@@ -205,7 +205,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, bl
     for rows in _blocks(benchmark, block_words):
         block = read_block(rows)
         choose_seeds(block, _document_counts(docs, block))
-        found = F.concat(found, _finder(_share(spark, block), min_score)(whole_text()))
+        found = F.concat(found, _finder(_share(spark, block), min_score)(python_text(docs)))
     return found
 
 

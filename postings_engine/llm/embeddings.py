@@ -15,12 +15,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .frames import stored
 from .graph import components
+from .ranking import drawn
 
 THRESHOLD = 0.95
 # Vectors per cluster aimed at, and the most that one may hold before it is clustered again.
@@ -108,7 +110,7 @@ def clusters(vectors: DataFrame, overlap: int) -> DataFrame:
     """``cell, node, unit``: distinct vectors (node, unit) in overlapping clusters of at most MOST members.
 
     Vectors of one dimension start as one cluster; every cluster over MOST is split by centroids that are
-    fitted on at most SAMPLE of its members, and every member is dealt to its ``overlap`` nearest, again and again
+    fitted on about SAMPLE of its members, and every member is dealt to its ``overlap`` nearest, again and again
     until none is left over.
     """
     done, rows = None, vectors.select((F.octet_length("unit") / 8).cast("long").alias("cell"), "node", "unit")
@@ -119,10 +121,8 @@ def clusters(vectors: DataFrame, overlap: int) -> DataFrame:
             break
         fits = rows.join(large.select("cell"), "cell", "left_anti")
         done = fits if done is None else done.union(fits)
-        order = Window.partitionBy("cell").orderBy(F.xxhash64("node"), "node")
-        drawn = (rows.select("cell", "node").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SAMPLE)
-                 .join(large, "cell").select("cell", "node", "n").join(rows, ["cell", "node"]))
-        centroids = materialise(drawn.select("cell", "n", "unit").groupBy("cell").applyInPandas(_fit_cell, "cell long, centroids binary"), "centroids")
+        sample = rows.join(large, "cell").filter(drawn(F.xxhash64("node"), SAMPLE, F.col("n"))).select("cell", "n", "unit")
+        centroids = materialise(sample.groupBy("cell").applyInPandas(_fit_cell, "cell long, centroids binary"), "centroids")
         dealt = rows.join(centroids, "cell").mapInPandas(_deal(overlap if level == 0 else 2), "cell long, node long, unit binary")
         rows = materialise(dealt.dropDuplicates(["cell", "node"]), "clusters")
     return materialise(rows if done is None else done.union(rows), "clusters-done")
@@ -298,9 +298,9 @@ def audit(vectors: DataFrame, found: DataFrame, settings: Settings, queries: int
     """
     spark = vectors.sparkSession
     sure = found.filter("links > 0").select("node")
-    drawn = [vectors.join(part, "node", "left_semi").select("node", "unit").orderBy(F.xxhash64("node")).limit(queries)
+    asked_rows = [vectors.join(part, "node", "left_semi").select("node", "unit").orderBy(F.xxhash64("node")).limit(queries)
              for part in (sure, vectors.select("node"))]
-    asked = {r["node"]: bytes(r["unit"]) for r in drawn[0].union(drawn[1]).collect()}
+    asked = {r["node"]: bytes(r["unit"]) for r in asked_rows[0].union(asked_rows[1]).collect()}
     if not asked:
         return 1.0
     nodes = sorted(asked)
@@ -333,7 +333,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, min_rec
     repeat an id are vectors of their own and linked as copies; an empty table gives no rows; labels and
     other columns are not read.  If the audit finds a recall under ``min_recall``, clusters overlap more and beams get wider, up to ROUNDS times.
     """
-    rows = materialise(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _unit_bytes("embedding").alias("unit")), "units")
+    rows = stored(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _unit_bytes("embedding").alias("unit")), "units")
     vectors = materialise(rows.filter("unit is not null and vec_id is not null").groupBy("unit").agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "vectors")
     settings = Settings(threshold)

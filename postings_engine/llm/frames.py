@@ -8,17 +8,38 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """A narrow table written to the shared folder in files of Spark's advisory size, and read back.
+
+    The tasks that made it may be many more than such a table is worth files.
+    """
+    return materialise(df.hint("rebalance"), label)
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, a null one as empty."""
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def python_text(docs: DataFrame) -> Column:
+    """The whole text as an argument of a Python function.
+
+    Texts can be long: Arrow batches of the session become a few hundred rows, and a few megabytes where
+    Spark bounds them by size, instead of 10,000 rows of any length.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return whole_text()
+
+
 def text_key(name: str = "text") -> Column:
     """A 128-bit key of a text: rows with equal texts share every decision that depends on text alone.
 

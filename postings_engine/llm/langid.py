@@ -14,12 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
-from .frames import held_out, whole_text
+from .frames import held_out, python_text, stored
 from .grams import GramSets
+from .ranking import drawn
 
 SIZES, BITS = (1, 2, 3, 4), 15
 FOLDS, HELD_OUT = 3, 1
@@ -91,17 +91,16 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` texts per language (doc_id, text, lang), the first by a hash of doc_id.
+    """Learn from about ``sample`` texts per language (doc_id, text, lang), drawn by a hash of doc_id.
 
-    The held-out fold and null languages are left out.  Only ids and languages are ranked; the chosen ids, at most ``sample``
-    per language, then pick their texts.
+    The held-out fold and null languages are left out.  Languages are counted first; then each row tells by
+    itself whether it is drawn, so nothing but the drawn texts' n-grams is gathered.
     """
-    train_rows = docs.filter("lang is not null").filter(~held_out("doc_id", FOLDS, HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train_rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample)
-    chosen = [r[0] for r in ids.filter("doc_id is not null").select("doc_id").distinct().collect()]
-    drawn = train_rows.filter(F.col("doc_id").isin(chosen)).select(F.col("lang").cast("string").alias("lang"), whole_text().alias("text"))
-    rows = sorted((r["lang"], bytes(r["slots"])) for r in materialise(drawn.mapInPandas(_gram_rows, "lang string, slots binary"), "lang-sample").collect())
+    known = (docs.select("doc_id", F.col("lang").cast("string").alias("lang"), python_text(docs).alias("text"))
+             .filter("lang is not null").filter(~held_out("doc_id", FOLDS, HELD_OUT)))
+    sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    taken = known.join(sizes, "lang").filter(drawn(F.xxhash64("doc_id"), sample, F.col("n"))).select("lang", "text")
+    rows = sorted((r["lang"], bytes(r["slots"])) for r in stored(taken.mapInPandas(_gram_rows, "lang string, slots binary"), "lang-sample").collect())
     # Landmarks are the first texts of a language; a hash order makes them a fair draw.
     rows.sort(key=lambda r: (r[0], hash_of(r[1])))
     return train([np.frombuffer(s, np.int32) for _, s in rows], [lang for lang, _ in rows])
@@ -124,7 +123,7 @@ def language(docs: DataFrame, model: Model) -> Column:
             langs, scores = predict(texts.tolist(), learned, grams)
             yield pd.DataFrame({"lang_pred": langs, "score": scores}).astype({"lang_pred": object})
 
-    return identified(whole_text())
+    return identified(python_text(docs))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

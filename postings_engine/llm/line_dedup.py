@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
-from .frames import text_key, whole_text
+from .frames import python_text, stored, text_key
 
 BITS = 1 << 25
 SEGMENT_BITS = 1 << 16
 FAN_IN = 1024
+# Repeated lines up to this size are sent to every task; more are joined.
+SENT_BYTES = 8 << 20
 BLANKS = b" \t\n\x0b\x0c\r"
 
 _PARTS = "segment int, part long, once binary, twice binary"
@@ -49,6 +51,15 @@ def _slots(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes & np.uint64(bits - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
+def _has(filter_: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether the filter, eight bits a byte, has each of the bits."""
+    return (filter_[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _add(filter_: np.ndarray, slots: np.ndarray) -> None:
+    np.bitwise_or.at(filter_, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+
+
 def _hashes(keys) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(k) for k in keys), np.uint64, len(keys))
 
@@ -57,23 +68,25 @@ def _fill(bits: int, min_chars: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        once, twice, seen = np.zeros(bits, bool), np.zeros(bits, bool), False
+        once, twice, seen = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), False
         for batch in batches:
             found = [_hashes(line_keys(t, min_chars)) for t in batch["text"]]
             hashes, counts = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             seen |= len(hashes) > 0
             a, b = _slots(hashes, bits)
-            again = (counts > 1) | (once[a] & once[b])
-            twice[a[again]] = twice[b[again]] = True
-            once[a] = once[b] = True
+            again = (counts > 1) | (_has(once, a) & _has(once, b))
+            _add(twice, a[again])
+            _add(twice, b[again])
+            _add(once, a)
+            _add(once, b)
         if not seen:
             return
         part = TaskContext.get().partitionId()
         rows = []
         for k in range(bits // SEGMENT_BITS):
-            cut = slice(k * SEGMENT_BITS, (k + 1) * SEGMENT_BITS)
+            cut = slice(k * SEGMENT_BITS // 8, (k + 1) * SEGMENT_BITS // 8)
             if once[cut].any():
-                rows.append((k, part, np.packbits(once[cut]).tobytes(), np.packbits(twice[cut]).tobytes()))
+                rows.append((k, part, once[cut].tobytes(), twice[cut].tobytes()))
             if len(rows) == 64:
                 yield pd.DataFrame(rows, columns=["segment", "part", "once", "twice"])
                 rows = []
@@ -102,7 +115,7 @@ def twice_seen(docs: DataFrame, bits: int = BITS, min_chars: int = 1) -> bytes:
 
     Partitions are merged FAN_IN at a time, so no task holds more than FAN_IN pieces of one segment.
     """
-    filled = docs.select(whole_text().alias("text")).mapInPandas(_fill(bits, min_chars), _PARTS)
+    filled = docs.select(python_text(docs).alias("text")).mapInPandas(_fill(bits, min_chars), _PARTS)
     some = filled.groupBy("segment", F.expr(f"part div {FAN_IN}")).applyInPandas(_merge(FAN_IN), _PARTS)
     all_parts = some.groupBy("segment").applyInPandas(_merge(1 << 62), _PARTS)
     whole = np.zeros(bits // 8, np.uint8)
@@ -113,71 +126,93 @@ def twice_seen(docs: DataFrame, bits: int = BITS, min_chars: int = 1) -> bytes:
 
 
 def suspects(docs: DataFrame, bits: int = BITS, min_chars: int = 1) -> DataFrame:
-    """``text_key, line, n, first``: suspected lines per distinct text, with its count of rows and least doc_id."""
-    spark = docs.sparkSession
-    filter_ = spark.sparkContext.broadcast(twice_seen(docs, bits, min_chars))
+    """``text_key, doc_id, line``: the distinct keys of every document that the second filter suspects."""
+    shared = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, min_chars))
 
     @F.pandas_udf(T.ArrayType(T.BinaryType()))
     def suspected(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        twice = np.unpackbits(np.frombuffer(filter_.value, np.uint8)).view(bool)
+        twice = np.frombuffer(shared.value, np.uint8)
         for texts in parts:
             out = []
             for text in texts:
                 keys = list(line_keys(text, min_chars))
                 a, b = _slots(_hashes(keys), bits)
-                out.append([keys[i] for i in np.flatnonzero(twice[a] & twice[b])])
+                out.append([keys[i] for i in np.flatnonzero(_has(twice, a) & _has(twice, b))])
             yield pd.Series(out, dtype=object)
 
-    rows = docs.select(text_key().alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"),
-                       F.explode(suspected(whole_text())).alias("line"))
-    return rows.groupBy("text_key", "line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-
-
-@F.pandas_udf(T.StructType().add("n_lines", T.LongType()).add("n_dropped", T.LongType()).add("kept", T.StringType()))
-def _drop(texts: pd.Series, ids: pd.Series, lines: pd.Series, keepers: pd.Series) -> pd.DataFrame:
-    out = []
-    for text, doc_id, gone, keeper in zip(texts, ids, lines, keepers):
-        parts = text.encode().split(b"\n")
-        if gone is None or len(gone) == 0:
-            out.append((len(parts), 0, text))
-            continue
-        stays = {k for k, first in zip(gone, keeper) if first == doc_id}
-        gone, kept = set(gone), []
-        for line in parts:
-            key = line_key(line)
-            if key in stays:
-                stays.discard(key)
-                kept.append(line)
-            elif key not in gone:
-                kept.append(line)
-        out.append((len(parts), len(parts) - len(kept), b"\n".join(kept).decode()))
-    return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
-
-
-# Stands for "no document keeps it" and for a null id among the keepers.
+    return docs.select(text_key().alias("text_key"), F.col("doc_id").cast("long").alias("doc_id"),
+                       F.explode(suspected(python_text(docs))).alias("line"))
+
+
+# Stands for "no document keeps it", and for a null id among the keepers.
 _NOBODY, _NULL_ID = -(1 << 63), -(1 << 63) + 1
 
 
+def without(text: str, doc_id: int, keeper_of) -> tuple[int, int, str]:
+    """Lines of a text, lines dropped, and the text that stays; ``keeper_of`` gives a repeated line's keeper."""
+    lines, kept, stayed = text.encode().split(b"\n"), [], set()
+    for line in lines:
+        key = line_key(line)
+        keeper = keeper_of(key)
+        if keeper is None or keeper == doc_id and key not in stayed:
+            kept.append(line)
+            stayed.add(key)
+    return len(lines), len(lines) - len(kept), b"\n".join(kept).decode() if len(kept) < len(lines) else text
+
+
+_OUT = T.StructType().add("n_lines", T.LongType()).add("n_dropped", T.LongType()).add("kept", T.StringType())
+
+
+def _drop_known(shared):
+    """Drops the lines of a table (line: keeper) that every task has."""
+
+    @F.pandas_udf(_OUT)
+    def drop(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, ids in parts:
+            yield pd.DataFrame([without(t, i, shared.value.get) for t, i in zip(texts, ids)], columns=_OUT.names)
+
+    return drop
+
+
+@F.pandas_udf(_OUT)
+def _drop_listed(texts: pd.Series, ids: pd.Series, lines: pd.Series, keepers: pd.Series) -> pd.DataFrame:
+    """Drops the lines that come with each text."""
+    listed = [{} if ls is None else dict(zip(ls, ks)) for ls, ks in zip(lines, keepers)]
+    return pd.DataFrame([without(t, i, ls.get) for t, i, ls in zip(texts, ids, listed)], columns=_OUT.names)
+
+
+def repeated_lines(docs: DataFrame, min_docs: int, min_chars: int, keep_first: bool, bits: int) -> DataFrame:
+    """``line, keeper``: keys in at least ``min_docs`` documents, and the document that keeps its first line."""
+    counted = (suspects(docs, bits, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first"))
+               .filter(F.col("docs") >= min_docs))
+    keeper = F.coalesce("first", F.lit(_NULL_ID)) if keep_first else F.lit(_NOBODY)
+    return stored(counted.select("line", keeper.alias("keeper")), "repeated-lines")
+
+
 def drop_repeated_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False,
-                        bits: int = BITS) -> DataFrame:
+                        bits: int = BITS, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """All columns of ``docs`` in ``row``, and ``n_lines, n_dropped, kept``.
 
     A line's key is the line stripped of blanks, A-Z lower-cased.  Keys of at least ``min_chars`` code
     points found in at least ``min_docs`` documents (rows) lose their lines everywhere or, with
     ``keep_first``, all but the first line in the document with the least doc_id.  A null or empty text is one
     empty line; rows that repeat a doc_id count as documents and share its choice; an empty table gives no rows.
-    Texts meet their dropped lines by a key of the text, so ids may be null, and equal texts of any
-    number are spread by Spark's skew join.
+
+    Up to ``sent_bytes`` of repeated lines are sent to every task, and the texts stay where they are.  More
+    are joined to the texts that have them, by a key of the text, so ids may be null and a third of all
+    texts may be equal: Spark's skew join splits them.  Both ways give the same rows.
     """
-    found = materialise(suspects(docs, bits, min_chars), "line-suspects")
-    counted = found.groupBy("line").agg(F.sum("n").alias("docs"), F.min("first").alias("first")).filter(F.col("docs") >= min_docs)
-    keeper = F.coalesce("first", F.lit(_NULL_ID)) if keep_first else F.lit(_NOBODY)
-    # Written out, so that the join below reads both sides by themselves and Spark can split a frequent line.
-    repeated = materialise(counted.select("line", keeper.alias("keeper")), "repeated-lines")
-    drops = (found.select("text_key", "line").join(repeated, "line").groupBy("text_key")
-             .agg(F.collect_list(F.struct("line", "keeper")).alias("drops")))
-    rows = docs.select(F.struct("*").alias("row"), text_key().alias("text_key"))
-    joined = rows.join(drops, "text_key", "left")
-    return joined.select("row", _drop(
-        F.coalesce("row.text", F.lit("")), F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_NULL_ID)),
-        F.col("drops.line"), F.col("drops.keeper")).alias("out")).select("row", "out.*")
+    repeated = repeated_lines(docs, min_docs, min_chars, keep_first, bits)
+    ids = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(_NULL_ID))
+    size = repeated.agg(F.sum(F.octet_length("line") + 64).alias("bytes")).first()["bytes"] or 0
+    if size <= sent_bytes:
+        known = {bytes(r["line"]): r["keeper"] for r in repeated.collect()}
+        # Not deterministic for the planner only: a filter on the results must not run the function twice.
+        drop = _drop_known(docs.sparkSession.sparkContext.broadcast(known)).asNondeterministic()
+        return docs.select(F.struct("*").alias("row"), drop(python_text(docs), ids("doc_id")).alias("out")).select("row", "out.*")
+    pairs = suspects(docs, bits, min_chars).select("text_key", "line").distinct()
+    # Written out, so that the join with the texts reads both sides by themselves and can split a frequent text.
+    drops = materialise(pairs.join(repeated, "line").groupBy("text_key").agg(F.collect_list(F.struct("line", "keeper")).alias("drops")), "lines-to-drop")
+    joined = docs.select(F.struct("*").alias("row"), text_key().alias("text_key")).join(drops, "text_key", "left")
+    found = _drop_listed.asNondeterministic()(F.coalesce("row.text", F.lit("")), ids("row.doc_id"), F.col("drops.line"), F.col("drops.keeper"))
+    return joined.select("row", found.alias("out")).select("row", "out.*")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .frames import per_worker, whole_text
+from .frames import per_worker, python_text, stored
 from .ranking import hash_bucket, positions, seeded_hash
 
 WINDOW = 2048
@@ -90,7 +90,7 @@ def token_pieces(docs: DataFrame, window: int = WINDOW, with_ids: bool = False,
             out.append(rows)
         return pd.Series(out, dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(pieces(whole_text())).alias("p")).select("doc_id", "p.*")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(pieces(python_text(docs))).alias("p")).select("doc_id", "p.*")
 
 
 @dataclass
@@ -170,7 +170,8 @@ def pack(docs: DataFrame, window: int = WINDOW, with_ids: bool = False, **files:
     empty table gives no rows; other columns are not read.  Texts are tokenised once and not shuffled.
     The histogram has at most ``window`` rows, and the plan's size follows from ``window`` too, not from the input.
     """
-    pieces = materialise(token_pieces(docs, window, with_ids, **files), "token-pieces")
+    store = materialise if with_ids else stored
+    pieces = store(token_pieces(docs, window, with_ids, **files), "token-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     where = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, window)))
     ranked = positions(pieces.withColumn("_h", seeded_hash(SEED, "doc_id", "start", "ids_crc32")), ["length"], hash_bucket("_h"),

@@ -19,9 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
 from .calibration import fit_logistic, sigmoid
-from .frames import held_out, per_worker, whole_text
+from .frames import held_out, per_worker, python_text, stored
 
 FOLDS, HELD_OUT = 5, 0
 POOL_SHRINK, IDENTITY_SHRINK = 0.3, 0.05
@@ -173,7 +172,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality") ->
     of an empty text; rows with null or repeated ids are each scored; other columns are not read.
     Texts are read once and never shuffled: what is joined with the labels is the statistics.
     """
-    rows = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_of(whole_text()).alias("x")), "text-statistics")
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), statistics_of(python_text(docs)).alias("x")), "text-statistics")
     learned = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
                .filter("y in (0, 1)").filter(~held_out("doc_id", FOLDS, HELD_OUT)))
     model = fit(rows.join(learned, "doc_id").select("x", "y"))

@@ -18,6 +18,15 @@ def hash_bucket(column: str) -> Column:
     return F.shiftrightunsigned(column, 52).cast("int")
 
 
+def drawn(hash_column: Column, wanted: int, of: Column) -> Column:
+    """True for about ``wanted`` of ``of`` rows, each taken by its hash alone.
+
+    Every row is drawn with chance wanted / of (all of them if there are no more), so nothing is sorted
+    or gathered; that a draw exceeds the wanted number by a fifth has no practical chance.
+    """
+    return F.shiftrightunsigned(hash_column, 11) / F.lit(float(1 << 53)) < F.lit(float(wanted)) / of
+
+
 def positions(df: DataFrame, group: list[str], bucket: Column, order: list, name: str, total: str | None = None) -> DataFrame:
     """Add the row's position (from 0) within its group.
 

@@ -17,8 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
-from .frames import whole_text
+from .frames import python_text, stored
 from .graph import components
 
 RADIUS = 3
@@ -133,8 +132,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows that repeat an id are each returned.  Texts are read once and never shuffled; links are
     made between distinct fingerprints, so copies of any number cost one.
     """
-    prints = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(whole_text()).alias("fp")), "fingerprints")
-    distinct = materialise(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
+    prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(python_text(docs)).alias("fp")), "fingerprints")
+    distinct = stored(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
     roots = components(link_fingerprints(distinct, radius))
     # A component of nodes named by their least doc_id: its least node is its least doc_id.
     classes = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))

@@ -11,17 +11,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
 from .calibration import sigmoid
-from .frames import held_out, whole_text
+from .frames import held_out, python_text, stored
 from .grams import GramSets
+from .ranking import drawn
 
 SIZES, BITS = (3, 4, 5), 18
 FOLDS, HELD_OUT = 5, 0
-# Labelled rows per class that the classifier is fitted on, the first by a hash of doc_id.
+# Labelled rows per class, about, that the classifier is fitted on, drawn by a hash of doc_id.
 SAMPLE = 5000
 SMOOTHING = 1.0
 FEATURES = 4096
@@ -107,16 +107,20 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, scale:
     return w, b
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
-    """``y, slots`` of at most ``sample`` labelled documents per class outside the held-out fold."""
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-             .filter("y in (0, 1) and doc_id is not null").filter(~held_out("doc_id", FOLDS, HELD_OUT)))
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample).drop("n")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    # The chosen ids are at most two samples: the texts stay where they are.
-    drawn = texts.join(F.broadcast(chosen), "doc_id").select("y", "text")
-    return materialise(drawn.mapInPandas(_gram_rows, "y int, slots binary"), "toxic-sample")
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y``: labels of 0 and 1 outside the held-out fold."""
+    return (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+            .filter("y in (0, 1) and doc_id is not null").filter(~held_out("doc_id", FOLDS, HELD_OUT)))
+
+
+def sample_rows(docs: DataFrame, known: DataFrame, totals: dict[int, int], sample: int) -> DataFrame:
+    """``y, slots`` of about ``sample`` labelled documents per class."""
+    of = F.when(F.col("y") == 1, F.lit(totals.get(1, 0))).otherwise(F.lit(totals.get(0, 0)))
+    chosen = known.filter(drawn(F.xxhash64("doc_id"), sample, of))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), python_text(docs).alias("text"))
+    # The chosen ids are about two samples: the texts stay where they are.
+    taken = texts.join(F.broadcast(chosen), "doc_id").select("y", "text")
+    return stored(taken.mapInPandas(_gram_rows, "y int, slots binary"), "toxic-sample")
 
 
 def _narrow(chosen: np.ndarray):
@@ -131,24 +135,24 @@ def _narrow(chosen: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """The classifier of at most ``sample`` labelled texts per class, weighted back to the classes' share.
+    """The classifier of about ``sample`` labelled texts per class, weighted back to the classes' share.
 
     Without rows of both classes every text gets the smoothed share of the class.
     """
-    known = labels.filter(F.col(label).isin(0, 1)).filter(~held_out("doc_id", FOLDS, HELD_OUT))
-    totals = {r[0]: r[1] for r in known.groupBy(F.col(label).cast("int")).agg(F.count(F.lit(1))).collect()}
-    rows = sample_rows(docs, labels, label, sample)
-    drawn = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = (drawn.get(1, 0) + 1) / (sum(drawn.values()) + 2)
-    if len(drawn) < 2:
+    known = training_labels(labels, label)
+    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = sample_rows(docs, known, totals, sample)
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
+    if len(sizes) < 2:
         return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
     counts = count_grams(rows)
     ratios = log_ratios(counts)
-    chosen = select_features(counts, np.array([drawn[0], drawn[1]], np.float64))
+    chosen = select_features(counts, np.array([sizes[0], sizes[1]], np.float64))
     kept = rows.mapInPandas(_narrow(chosen), "y int, features binary").collect()
     kept = sorted((r["y"], bytes(r["features"])) for r in kept)
     y = np.array([k for k, _ in kept], np.float64)
-    weight = np.where(y == 1, totals[1] / drawn[1], totals[0] / drawn[0])
+    weight = np.where(y == 1, totals[1] / sizes[1], totals[0] / sizes[0])
     weight *= len(y) / weight.sum()
     w, b = fit_linear([np.frombuffer(f, np.int16) for _, f in kept], y, weight, ratios[chosen])
     weights = np.zeros(1 << BITS)
@@ -166,7 +170,7 @@ def toxic_score(docs: DataFrame, model: Model) -> Column:
         for texts in parts:
             yield pd.Series([float(sigmoid(weights[grams.of(t)].sum() + bias)) for t in texts], dtype="float64")
 
-    return score(whole_text())
+    return score(python_text(docs))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> DataFrame:
