@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .frames import python_text
 
 SEED_WORDS = 3
-SPAN = 4
+SPAN = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6
 # Words of test items in one block.
@@ -121,7 +121,9 @@ def find(text: str, block: Block, min_score: float = MIN_SCORE) -> list[tuple]:
     """Items that ``text`` holds: (item_id, score, start_word, end_word, matched_words), best alignment each."""
     numbers = np.array([block.vocabulary.get(w, -1) for w in words(text)], np.int64)
     codes = gram_codes(numbers, len(block.vocabulary))
-    places = np.flatnonzero(codes >= 0)
+    known = np.flatnonzero(codes >= 0)
+    at = np.minimum(np.searchsorted(block.grams, codes[known]), len(block.grams) - 1)
+    places = known[block.grams[at] == codes[known]] if len(block.grams) else known[:0]
     hits = [(no, int(p) - at) for p in places for no, at in block.seeds.get(int(codes[p]), ())]
     best: dict[int, tuple] = {}
     regions: dict[int, list[list[int]]] = defaultdict(list)

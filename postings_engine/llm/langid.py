@@ -50,10 +50,10 @@ def presence(sets: list[np.ndarray]) -> np.ndarray:
 def train(sets: list[np.ndarray], langs: list[str]) -> Model:
     """Kernel ridge regression, one language against the rest, on Nyström features of the landmarks."""
     languages = sorted(set(langs))
-    y = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in langs]).reshape(len(langs), -1)
-    marks = [i for lang in languages for i in [j for j, x in enumerate(langs) if x == lang][:LANDMARKS]]
-    if not marks:
+    if not languages:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0))
+    y = np.array([[1.0 if x == lang else -1.0 for lang in languages] for x in langs])
+    marks = [i for lang in languages for i in [j for j, x in enumerate(langs) if x == lang][:LANDMARKS]]
     landmarks = presence([sets[i] for i in marks]).astype(np.float64)
     values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
     keep = values > 1e-8 * values.max()
