@@ -25,12 +25,14 @@ from .graph import components
 from .ranking import drawn
 
 THRESHOLD = 0.95
-# Vectors per cluster aimed at, and the most that one may hold before it is clustered again.
+# Vectors per cluster aimed at (each is dealt to several), and the most that one may hold before it is clustered again.
 CLUSTER, MOST = 1000, 4096
 FANOUT = 64
 SAMPLE = 4096
 OVERLAP = 2
 NEAREST, RANDOM = 32, 16
+# Edges to members drawn within the threshold: they keep a large group of near copies connected.
+WITHIN = 8
 DEGREE, ALPHA = 24, 1.2
 BEAM, EXPAND = 32, 4
 AUDIT_QUERIES, MIN_RECALL, ROUNDS = 400, 0.9, 3
@@ -84,7 +86,6 @@ def _centroids(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
 
 def _fit_cell(group: pd.DataFrame) -> pd.DataFrame:
     x, cell = _matrix(group["unit"]), int(group["cell"].iloc[0])
-    # Twice the target, as the overlap puts every vector into two clusters.
     k = int(min(FANOUT, max(2, -(-int(group["n"].iloc[0]) // CLUSTER))))
     return pd.DataFrame({"cell": [cell], "centroids": [_centroids(x, k, cell % (1 << 32)).tobytes()]})
 
@@ -143,7 +144,7 @@ def prune(x: np.ndarray, rows: np.ndarray, candidates: np.ndarray, degree: int =
     return [cand[k] for cand, k in zip(candidates, kept)]
 
 
-def build(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
+def build(x: np.ndarray, threshold: float = THRESHOLD, seed: int = 0) -> list[np.ndarray]:
     """Neighbour lists (row numbers) of the graph on the rows of ``x``, backward edges included."""
     m, rng = len(x), np.random.default_rng(seed)
     x = x.astype(np.float32)
@@ -155,8 +156,11 @@ def build(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         near = np.concatenate([near, rng.integers(0, m, (len(rows), RANDOM))], axis=1)
         order = np.argsort(-np.take_along_axis(sims, near, axis=1), axis=1, kind="stable")
-        for row, kept in zip(rows, prune(x, rows, np.take_along_axis(near, order, axis=1))):
+        lots = np.where(sims >= threshold, rng.random(sims.shape, np.float32), -1)
+        inside = np.argpartition(-lots, min(WITHIN, m) - 1, axis=1)[:, :WITHIN]
+        for row, kept, drawn_in in zip(rows, prune(x, rows, np.take_along_axis(near, order, axis=1)), inside):
             out[row].extend(kept)
+            out[row].extend(drawn_in[lots[row - at, drawn_in] >= 0])
     back: list[list] = [[] for _ in range(m)]
     for row, kept in enumerate(out):
         for y in kept:
@@ -165,12 +169,14 @@ def build(x: np.ndarray, seed: int = 0) -> list[np.ndarray]:
     return [np.unique(np.array([*a, *b], np.int64)) for a, b in zip(out, back)]
 
 
-def _build_cell(group: pd.DataFrame) -> pd.DataFrame:
-    nodes = group["node"].to_numpy(np.int64)
-    order = np.argsort(nodes)
-    nodes = nodes[order]
-    lists = build(_matrix(group["unit"])[order])
-    return pd.DataFrame({"node": nodes, "near": [nodes[y] for y in lists], "cell": int(group["cell"].iloc[0])})
+def _build_cell(threshold: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        nodes = group["node"].to_numpy(np.int64)
+        lists = build(_matrix(group["unit"]), threshold)
+        return pd.DataFrame({"node": nodes, "near": [nodes[y] for y in lists], "cell": int(group["cell"].iloc[0])})
+
+    return run
 
 
 def _padded(lists: list[np.ndarray], width: int) -> np.ndarray:
@@ -285,7 +291,7 @@ def _search_cell(settings: Settings):
 def search(vectors: DataFrame, settings: Settings) -> DataFrame:
     """``node, links, root`` per distinct vector (node, unit, n) and cluster it is in."""
     dealt = clusters(vectors, settings.overlap)
-    built = dealt.groupBy("cell").applyInPandas(_build_cell, "node long, near array<long>, cell long")
+    built = dealt.groupBy("cell").applyInPandas(_build_cell(settings.threshold), "node long, near array<long>, cell long")
     united = (built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("cell").alias("cells")))
     united = materialise(united.join(vectors.select("node", "n"), "node"), "graph")
     return dealt.join(united, "node").groupBy("cell").applyInPandas(_search_cell(settings), "node long, links long, root long")
