@@ -75,7 +75,7 @@ def find_amounts(text: ColumnLike) -> Column:
         large = F.filter(ranges, lambda r: (F.get(r, F.lit(0)) > 5000) & (F.get(r, F.lit(1)) > 5000))
         return F.concat(
             F.when(t.contains("£"), F.filter(pounds, lambda a: a.isNotNull())).otherwise(none),
-            F.when(t.rlike("[0-9].*(?:-|[tT][oO]|–)"), F.flatten(large)).otherwise(none),
+            F.when(t.rlike("(?s)[0-9].*(?:-|[tT][oO]|–)"), F.flatten(large)).otherwise(none),
         )
 
     return bind(col(text), found)

@@ -11,8 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..session import materialise
-
 
 def _ranked(df: DataFrame, keys: list[Column], order: list[str | Column], n: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -44,71 +42,32 @@ def last_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(row).select(key, "_row.*")
 
 
-def bucket_chars_for(rows: int, bucket_rows: int = 500_000) -> int:
-    """Leading hex characters of an id that make buckets of at most about ``bucket_rows``."""
-    chars = 2
-    while rows > bucket_rows * 16**chars:
-        chars += 1
-    return chars
-
-
 def assign_batches(
-    df: DataFrame, batch_size: int = 5, id_column: str = "job_id", bucket_chars: int | None = None,
-    order: list[str] | tuple[str, ...] = (),
+    df: DataFrame, batch_size: int = 5, id_column: str = "job_id", order: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
-    """Consecutive batches of ``batch_size`` rows, numbered inside buckets of the hex id.
+    """Consecutive full batches of ``batch_size`` rows; only the last one may be short.
 
-    Buckets replace one global numbering, which would need a single task.  ``id_column`` is a
-    hash; where it repeats, ``order`` names columns that tell the rows apart, and these take part
-    in choosing the bucket, so that a frequent id spreads too.  Without ``bucket_chars`` the rows
-    are counted first and the buckets made small enough.  Adds ``batch_id`` and ``pos`` (0-based
-    within the batch).
+    ``id_column`` is a hex hash; where it repeats, ``order`` names columns that tell the rows apart, and
+    rows are then dealt by a hash of all of them, so that a frequent id spreads.  Rows are numbered inside
+    the 4096 buckets of its first three digits, and the counts of the buckets, a small table, give each its first number.
+    Adds ``batch_id`` and ``pos`` (0-based within the batch).
     """
     spread_id = F.sha1(F.to_json(F.struct(id_column, *order))) if order else F.col(id_column)
-    bucket = F.substring(spread_id, 1, bucket_chars or bucket_chars_for(df.count()))
-    position = F.row_number().over(Window.partitionBy(bucket).orderBy(id_column, *order)) - 1
-    numbered = df.withColumn("_n", position)
+    rows = df.withColumn("_bucket", F.conv(F.substring(spread_id, 1, 3), 16, 10).cast("int"))
+    counts = rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_bucket", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(id_column, *order)) - 1
+    numbered = rows.withColumn("_inside", inside).join(starts, "_bucket").withColumn("_n", F.col("_start") + F.col("_inside"))
     return numbered.withColumn(
-        "batch_id", F.concat_ws("-", bucket, F.floor(F.col("_n") / batch_size).cast("string"))
-    ).withColumn("pos", (F.col("_n") % batch_size).cast("int")).drop("_n")
-
-
-def _lag_in(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.lag(F.struct(F.col(value).alias("value"))).over(window))
-
-
-def has_hot_key(df: DataFrame, key: str, max_rows: int) -> bool:
-    """Whether some key holds more than ``max_rows`` rows (a narrow, map-side-combined count)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return not counts.filter(F.col("n") > max_rows).isEmpty()
+        "batch_id", F.floor(F.col("_n") / batch_size).cast("string")
+    ).withColumn("pos", (F.col("_n") % batch_size).cast("int")).drop("_bucket", "_start", "_inside", "_n")
 
 
-def previous_in_group(
-    df: DataFrame, key: str, order: list[str], value: str, out: str = "previous",
-    max_group_rows: int | None = 5_000_000,
-) -> DataFrame:
+def previous_in_group(df: DataFrame, key: str, order: list[str], value: str, out: str = "previous") -> DataFrame:
     """Add ``out``: a struct holding the value of the preceding row of the same key, or NULL.
 
-    A plain window sends a key to one task.  When some key exceeds ``max_group_rows`` the rows
-    are range-partitioned on key and order instead, written once, looked back inside each slice,
-    and the first row of a slice takes its predecessor from the last row of the key's previous
-    slice.  ``max_group_rows=None`` skips the check.
+    Pass narrow rows: a frequent key is sorted in one task, which spills but carries what it is given.
     """
-    if max_group_rows is None or not has_hot_key(df.select(key), key, max_group_rows):
-        return _lag_in(df, [key], order, value, out)
-
-    sliced = materialise(
-        df.repartitionByRange(key, *order).withColumn("_slice", F.spark_partition_id()), "slices"
-    )
-    tails = sliced.groupBy(key, "_slice").agg(
-        F.max_by(F.struct(F.col(value).alias("value")), F.struct(*order)).alias("_tail")
-    )
-    # Only keys that cross a slice border matter: at most two rows per slice remain.
-    crossing = tails.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(key)
-    carried = tails.join(crossing, key).withColumn(
-        "_carried", F.lag("_tail").over(Window.partitionBy(key).orderBy("_slice"))
-    ).select(key, "_slice", "_carried")
-    looked = _lag_in(sliced, [key, "_slice"], order, value, "_inside")
-    joined = looked.join(carried, [key, "_slice"], "left")
-    return joined.withColumn(out, F.coalesce("_inside", "_carried")).drop("_inside", "_carried", "_slice")
+    window = Window.partitionBy(key).orderBy(*order)
+    return df.withColumn(out, F.lag(F.struct(F.col(value).alias("value"))).over(window))

@@ -84,8 +84,8 @@ def word_hits(postings: DataFrame, words: DataFrame) -> DataFrame:
     """
     texts = postings.select(
         "job_id",
-        F.length(F.lower("title")).alias("title_chars"),
-        F.concat(F.lower("title"), F.lit(" "), F.lower(F.coalesce("description", F.lit("")))).alias("text"),
+        F.length(F.lower(F.coalesce("title", F.lit("")))).alias("title_chars"),
+        F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), F.lower(F.coalesce("description", F.lit("")))).alias("text"),
     )
     distinct = words.select("word").filter(F.col("word") != "").distinct()
     total = distinct.count()

@@ -6,12 +6,12 @@ One full outer join on ``job_id`` replaces a lookup and an update per record.  U
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import is_stale
 from ..schema import CONTENT_COLUMNS, HISTORY, POSTING, SCORE_COLUMNS
-from .dedup import last_per_key, previous_in_group
+from .dedup import previous_in_group
 from .filters import f_status_valid
 
 _PAYLOAD = [f.name for f in POSTING.fields if f.name != "job_id"]
@@ -21,25 +21,15 @@ def _same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
-def _with_previous(incoming: DataFrame, order: list[str], max_group_rows: int | None) -> DataFrame:
-    return previous_in_group(
-        incoming, "job_id", order, "jd_content_hash", "_previous", max_group_rows
-    )
-
-
-def sync_actions(
-    existing: DataFrame, incoming: DataFrame, order: list[str], max_group_rows: int | None = 5_000_000
-) -> DataFrame:
+def sync_actions(existing: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
     """What each incoming record does: ``inserted``, ``updated_jd`` or ``updated_meta``.
 
     Records of one posting apply in ``order``; each is compared with the text hash left by its
     predecessor, the first one with the stored hash.
     """
     known = existing.select("job_id", F.col("jd_content_hash").alias("_stored"), F.lit(True).alias("_known"))
-    rows = _with_previous(
-        incoming.select("job_id", "jd_content_hash", *[c for c in order if c not in ("job_id", "jd_content_hash")]),
-        order, max_group_rows,
-    ).join(known, "job_id", "left")
+    narrow = incoming.select("job_id", "jd_content_hash", *[c for c in order if c not in ("job_id", "jd_content_hash")])
+    rows = previous_in_group(narrow, "job_id", order, "jd_content_hash", "_previous").join(known, "job_id", "left")
     first = F.col("_previous").isNull()
     before = F.when(first, F.col("_stored")).otherwise(F.col("_previous.value"))
     action = (
@@ -50,27 +40,30 @@ def sync_actions(
     return rows.withColumn("action", action).drop("_previous", "_stored", "_known")
 
 
-def fold_run(
-    incoming: DataFrame, order: list[str], max_group_rows: int | None = 5_000_000
-) -> DataFrame:
+def fold_run(incoming: DataFrame, order: list[str]) -> DataFrame:
     """One row per posting of a run: ``first`` record and ``changed`` content.
 
     ``changed`` holds the content of the last record whose text differs from its predecessor's;
-    it is NULL when all records of the run carry the same text.
+    it is NULL when all records of the run carry the same text.  The look-back sorts ids, positions and
+    hashes alone; the two records that matter are then fetched by id and position, so that the
+    records of a frequent posting are spread over the tasks.
     """
-    rows = _with_previous(incoming, order, max_group_rows)
-    differs = F.col("_previous").isNotNull() & ~_same(F.col("_previous.value"), F.col("jd_content_hash"))
-    position = F.struct(*order)
-    changes = F.when(differs, position)
-    return rows.groupBy("job_id").agg(
-        F.min_by(F.struct(*_PAYLOAD), position).alias("first"),
-        F.max_by(F.struct(*CONTENT_COLUMNS), changes).alias("changed"),
+    at = F.struct(*order)
+    narrow = incoming.select("job_id", F.col("jd_content_hash").alias("_hash"), at.alias("_at"))
+    rows = previous_in_group(narrow, "job_id", ["_at"], "_hash", "_previous")
+    differs = F.col("_previous").isNotNull() & ~_same(F.col("_previous.value"), F.col("_hash"))
+    marks = rows.groupBy("job_id").agg(F.min("_at").alias("_first"), F.max(F.when(differs, F.col("_at"))).alias("_changed"))
+    wanted = marks.select("job_id", F.explode(F.array_distinct(F.array("_first", F.coalesce("_changed", "_first")))).alias("_at"),
+                          "_first", "_changed")
+    fetched = incoming.withColumn("_at", at).join(wanted, ["job_id", "_at"])
+    return fetched.groupBy("job_id").agg(
+        F.min_by(F.struct(*_PAYLOAD), F.when(F.col("_at") == F.col("_first"), F.col("_at"))).alias("first"),
+        F.min_by(F.struct(*CONTENT_COLUMNS), F.when(F.col("_at") == F.col("_changed"), F.col("_at"))).alias("changed"),
     )
 
 
 def sync(
     existing: DataFrame, incoming: DataFrame, order: list[str], run_date,
-    max_group_rows: int | None = 5_000_000,
 ) -> DataFrame:
     """The history table after a run, with an ``action`` column.
 
@@ -79,7 +72,7 @@ def sync(
     text changed, the content columns.
     """
     run_date = F.lit(run_date).cast("date")
-    folded = fold_run(incoming, order, max_group_rows)
+    folded = fold_run(incoming, order)
     # The id stays a column of its own so that a table bucketed by it keeps its partitioning.
     old = existing.select(
         F.col("job_id").alias("_old_id"), F.struct(*[f.name for f in HISTORY.fields]).alias("old")
@@ -121,15 +114,13 @@ def sync(
 
 def sync_touched(
     existing: DataFrame, incoming: DataFrame, order: list[str], run_date,
-    max_group_rows: int | None = 5_000_000,
 ) -> DataFrame:
     """:func:`sync` limited to the postings a run brought: the rows of a delta.
 
-    The history is first reduced to the incoming ids.  For a small run AQE broadcasts these, so
-    the history is scanned but neither shuffled nor sorted.
+    The history is first reduced to the incoming ids.
     """
     ids = incoming.select("job_id").distinct()
-    return sync(existing.join(ids, "job_id", "left_semi"), incoming, order, run_date, max_group_rows)
+    return sync(existing.join(ids, "job_id", "left_semi"), incoming, order, run_date)
 
 
 def sync_diff(existing: DataFrame, incoming: DataFrame, order: list[str], run_date) -> DataFrame:
@@ -157,34 +148,41 @@ def rejected_edits(edits: DataFrame) -> DataFrame:
 
 
 def import_edits(jobs: DataFrame, edits: DataFrame) -> DataFrame:
-    """Jobs after the user's edits, with ``edited`` and ``conflict`` flags.
+    """Jobs after the user's edits, with ``edited`` and ``conflict`` flags and ``edits_applied``.
 
-    ``edits(job_id, status, notes, edited_at, row_no)``: later rows win; a blank status keeps the
-    current one while blank notes erase; rows that change nothing are ignored.  A job edited
-    after ``edited_at`` is a conflict, which is flagged and the edit still wins.
+    ``edits(job_id, status, notes, edited_at, row_no)`` apply one after another by time and row: a blank status
+    keeps the current one while blank notes erase, and a row that changes nothing is ignored.  A row applied
+    to a job that was edited after ``edited_at`` is a conflict, which is flagged; the edit still wins.
     """
-    valid = edits.filter(f_status_valid()).select(
-        "job_id",
-        F.coalesce("status", F.lit("")).alias("status"),
-        F.coalesce("notes", F.lit("")).alias("notes"),
-        "edited_at", "row_no",
-    )
-    last = last_per_key(valid, "job_id", ["row_no"]).select(
-        "job_id", F.struct("status", "notes", "edited_at").alias("edit")
-    )
-    joined = jobs.join(last, "job_id", "left")
-    status, notes = F.coalesce("status", F.lit("")), F.coalesce("notes", F.lit(""))
-    changed = F.col("edit").isNotNull() & ~((F.col("edit.status") == status) & (F.col("edit.notes") == notes))
-    joined = joined.withColumn("edited", changed)
-    newer = F.coalesce(F.col("last_user_edit") > F.col("edit.edited_at"), F.lit(False))
+    # Only the first row applied can be a conflict: it leaves its own time, and later rows are no older.
+    in_order = Window.partitionBy("job_id").orderBy("edited_at", "row_no")
+    earlier = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    blank = F.lit("")
+    now = jobs.select("job_id", F.coalesce("status", blank).alias("_status"), F.coalesce("notes", blank).alias("_notes"))
+    rows = edits.filter(f_status_valid()).select(
+        "job_id", F.coalesce("status", blank).alias("status"), F.coalesce("notes", blank).alias("notes"), "edited_at", "row_no",
+    ).join(now, "job_id")
+    given = F.nullif(F.col("status"), blank)
+    before_status = F.coalesce(F.last(given, ignorenulls=True).over(earlier), F.col("_status"))
+    before_notes = F.coalesce(F.lag("notes").over(in_order), F.col("_notes"))
+    rows = rows.withColumn("_applied", (F.col("status") != before_status) | (F.col("notes") != before_notes))
+    position, applied = F.struct("edited_at", "row_no"), F.col("_applied")
+    folded = rows.groupBy("job_id").agg(F.struct(
+        F.count_if(applied).alias("applied"),
+        F.max_by(given, F.when(given.isNotNull(), position)).alias("status"),
+        F.max_by("notes", position).alias("notes"),
+        F.min(F.when(applied, F.col("edited_at"))).alias("first_at"),
+        F.max(F.when(applied, F.col("edited_at"))).alias("edited_at"),
+    ).alias("edit"))
+    joined = jobs.join(folded, "job_id", "left").withColumn("edits_applied", F.coalesce("edit.applied", F.lit(0).cast("bigint")))
+    joined = joined.withColumn("edited", F.col("edits_applied") > 0)
+    newer = F.coalesce(F.col("last_user_edit") > F.col("edit.first_at"), F.lit(False))
     edited = F.col("edited")
     return joined.withColumn("conflict", edited & newer).withColumns({
-        "status": F.when(
-            edited & (F.col("edit.status") != ""), F.col("edit.status")
-        ).otherwise(F.col("status")),
+        "status": F.when(edited, F.coalesce("edit.status", "status")).otherwise(F.col("status")),
         "notes": F.when(edited, F.col("edit.notes")).otherwise(F.col("notes")),
         "last_user_edit": F.when(edited, F.col("edit.edited_at")).otherwise(F.col("last_user_edit")),
-    }).select(*jobs.columns, "edited", "conflict")
+    }).select(*jobs.columns, "edited", "conflict", "edits_applied")
 
 
 def update_scores(jobs: DataFrame, scores: DataFrame) -> DataFrame:

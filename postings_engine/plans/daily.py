@@ -13,6 +13,7 @@ from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
 from ..operators.merge import close_stale, import_edits, sync
 from ..operators.scoring import ScoreBatches, prescore_and_route, score_round_trip
 from ..schema import HISTORY
+from ..session import materialise
 from ..sources.tables import append_run, current_version, read_history, write_version
 from .reports import run_metrics
 
@@ -36,7 +37,7 @@ def daily_run(
     goes stale like one that disappeared.
     """
     if edits is not None:
-        jobs = import_edits(jobs, edits).drop("edited", "conflict")
+        jobs = import_edits(jobs, edits).drop("edited", "conflict", "edits_applied")
     kept = apply_filters(postings, profile, jobs, as_of)
     scored = prescore_and_route(kept, profile, threshold, ranker_version, score_batches is not None)
     if score_batches is not None:
@@ -59,13 +60,16 @@ def run_and_store(
     found = current_version(spark, root)
     jobs = read_history(spark, root) if found else empty_history(spark)
     version = found[0] + 1 if found else 1
+    # Conforming is the costly part: its rows are written once, and counted before the filters.
+    postings = materialise(postings, "conformed")
+    scraped = postings.count()
     result = daily_run(jobs, postings, order, profile, as_of, **options)
     # The action flags are stored with the rows they describe: the counters then read two columns
     # of the written version instead of running the merge again, and readers of the history ask
     # for its own columns only.
     written = write_version(result.jobs, root, version)
     stored = spark.read.parquet(written)
-    metrics = run_metrics(stored).select(F.col("seen").alias("scraped"), "new", "closed")
+    metrics = run_metrics(stored).select(F.lit(scraped).cast("bigint").alias("scraped"), "new", "closed")
     finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     append_run(
         spark, f"{root}/_runs", version, started, finished, metrics, sources_ok, sources_failed, errors or []
@@ -73,9 +77,7 @@ def run_and_store(
     return RunResult(stored, metrics)
 
 
-def replay_bronze(
-    bronze: DataFrame, day: str, order: list[str], max_group_rows: int | None = 5_000_000
-) -> DataFrame:
+def replay_bronze(bronze: DataFrame, day: str, order: list[str]) -> DataFrame:
     """The history rebuilt from all raw snapshots, as if each day had been merged in turn.
 
     ``bronze`` holds conformed snapshots with a partition column ``day``.  Without user edits the
@@ -83,7 +85,7 @@ def replay_bronze(
     """
     spark = bronze.sparkSession
     days = bronze.groupBy("job_id").agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    merged = sync(empty_history(spark), bronze, [day, *order], dt.date(1970, 1, 1), max_group_rows)
+    merged = sync(empty_history(spark), bronze, [day, *order], dt.date(1970, 1, 1))
     return merged.select(*HISTORY.names).join(days, "job_id").withColumns(
         {"first_seen": F.col("_first"), "last_seen": F.col("_last")}
     ).select(*HISTORY.names)

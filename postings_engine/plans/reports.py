@@ -289,5 +289,5 @@ def run_metrics(merged: DataFrame) -> DataFrame:
 
 def edit_metrics(edited: DataFrame) -> DataFrame:
     return edited.agg(
-        F.count_if(F.col("edited")).alias("updated"), F.count_if(F.col("conflict")).alias("conflicts")
+        F.sum("edits_applied").alias("updated"), F.count_if(F.col("conflict")).alias("conflicts")
     )

@@ -67,7 +67,7 @@ def paged_landed(t):
 _PAGED = """pages AS (SELECT *, lower(p_type) AS query, length(p_type) * 100 + ascii(p_type) AS query_pos, p_partkey // 50 AS page FROM part),
     good AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY p_partkey) AS n FROM pages
         WHERE NOT (page % 5 = 4 AND query = 'large')),
-    capped AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE CAST(p_partkey % 700 AS VARCHAR) END AS id FROM good WHERE n <= 50),
+    capped AS (SELECT *, CASE WHEN p_partkey % 7 = 0 THEN '' ELSE CAST(p_partkey % 700 AS VARCHAR) END AS id FROM good),
     items AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY query_pos, p_partkey) AS k FROM capped) WHERE k = 1 OR id = '')"""
 
 
@@ -125,7 +125,7 @@ def _list_items(t):
 
 @query("map_list_detail", sql=f"""
     WITH pages AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part),
-    items AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 900 ORDER BY CAST(p_brand[7:] AS INT), p_partkey) AS k FROM pages WHERE n <= 50) WHERE k = 1)
+    items AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 900 ORDER BY CAST(p_brand[7:] AS INT), p_partkey) AS k FROM pages) WHERE k = 1)
     SELECT p_name AS title, p_brand AS company, 'https://r.example/' || p_partkey AS url, 'Leeds' AS location, {_sql_range()} AS salary_raw,
         md5(CASE WHEN doc_id IS NULL THEN 'short ' || p_type WHEN doc_id % 6 = 0 THEN '' ELSE text END) AS digest, lower(p_brand) AS matched_query
     FROM items LEFT JOIN documents ON doc_id = p_partkey % 900""")
@@ -220,7 +220,7 @@ def map_widget(t):
     SELECT p_name AS title, p_brand AS company, CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'https://t.example/job/' || p_partkey WHEN 1 THEN 'https://t.example/alt/' || p_partkey
             ELSE 'https://u.example/' || p_partkey END AS url,
         CASE WHEN p_partkey % 2 = 0 THEN 'Here' ELSE 'There' END AS location, CASE WHEN p_partkey % 4 = 0 THEN 'brief' ELSE p_type END AS description
-    FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part) WHERE n <= 20""")
+    FROM part""")
 def map_tenant(t):
     key, kind = F.col("p_partkey").cast("string"), F.col("p_partkey") % 3
     item = F.struct(
@@ -233,7 +233,7 @@ def map_tenant(t):
         "company": F.col("p_brand"), "api_base": F.lit("https://t.example/wday/cxs/t/site/jobs"), "offset": (F.floor(F.col("p_partkey") / 20) * 20).cast("int")})
     pages = _pages(rows, ["company", "api_base", "offset"], "jobPostings", item, "p_partkey")
     parsed = L.parse_landed(pages.select(_text(pages, "company", "api_base", "offset", "jobPostings").alias("body")), "body", H.TENANT)
-    return H.map_tenant(H.tenant_items(L.good_records(parsed), cap=20)).select("title", "company", "url", "location", "description")
+    return H.map_tenant(H.tenant_items(L.good_records(parsed))).select("title", "company", "url", "location", "description")
 
 
 def _frame(t):

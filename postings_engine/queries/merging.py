@@ -63,8 +63,8 @@ def cap_per_company(t):
 
 
 @query("assign_batches", uses=("jobs",), sql="""
-    SELECT job_id, concat(job_id[1:2], '-', n // 5) AS batch_id, CAST(n % 5 AS INTEGER) AS pos FROM (
-        SELECT job_id, row_number() OVER (PARTITION BY job_id[1:2] ORDER BY job_id) - 1 AS n FROM jobs)""")
+    SELECT job_id, CAST(n // 5 AS VARCHAR) AS batch_id, CAST(n % 5 AS INTEGER) AS pos FROM (
+        SELECT job_id, row_number() OVER (ORDER BY job_id) - 1 AS n FROM jobs)""")
 def assign_batches(t):
     return K.assign_batches(t.inputs.jobs().select("job_id"))
 
@@ -180,18 +180,24 @@ def close_stale(t):
     return G.close_stale(stored(t), SPLIT_DAY).select("job_id", "status", "closed_now")
 
 
-_EDITS = f"""edits AS (SELECT job_id, status, notes, TIMESTAMP '1999-06-01 12:00:00' AS edited_at, row_no FROM (
+_ALL_EDITS = f"""all_edits AS (SELECT job_id, status, notes, TIMESTAMP '1999-06-01 12:00:00' AS edited_at, nth, back FROM (
         SELECT job_id, ['new', 'applied', 'interview', 'offer', 'rejected', 'ignore', 'archive', 'closed', 'maybe', ''
             ][CAST(l_partkey % 10 AS INT) + 1] AS status,
             CASE WHEN l_suppkey % 2 = 0 THEN concat('note ', l_partkey) ELSE '' END AS notes,
-            l_orderkey * 10 + l_linenumber AS row_no, row_number() OVER (PARTITION BY job_id ORDER BY
-                l_orderkey * 10 + l_linenumber DESC, l_partkey DESC) AS back
-        FROM keyed WHERE l_linenumber = 3 AND l_partkey % 10 <> 8 AND seen_date < DATE '{SPLIT_DAY}') WHERE back = 1)"""
-
-_EDITED = f"""WITH {_HISTORY}, {_EDITS},
-    edited AS (SELECT h.job_id, coalesce(e.job_id IS NOT NULL AND NOT (e.status = h.status AND e.notes = h.notes), false) AS edited,
-        e.status AS new_status, e.notes AS new_notes, e.edited_at, h.status, h.notes, h.last_user_edit
-        FROM history h LEFT JOIN edits e ON h.job_id = e.job_id)"""
+            row_number() OVER (PARTITION BY job_id ORDER BY l_orderkey * 10 + l_linenumber, l_partkey) AS nth,
+            row_number() OVER (PARTITION BY job_id ORDER BY l_orderkey * 10 + l_linenumber DESC, l_partkey DESC) AS back
+        FROM keyed WHERE l_linenumber = 3 AND l_partkey % 10 <> 8 AND seen_date < DATE '{SPLIT_DAY}'))"""
+
+# The rows of a job, applied one after another.
+_EDITED = f"""WITH RECURSIVE {_HISTORY}, {_ALL_EDITS},
+    steps AS (SELECT job_id, 0 AS nth, status, notes, last_user_edit, CAST(0 AS BIGINT) AS applied, false AS conflict FROM history
+        UNION ALL SELECT s.job_id, e.nth, CASE WHEN e.status <> '' THEN e.status ELSE s.status END, e.notes,
+            CASE WHEN e.status = s.status AND e.notes = s.notes THEN s.last_user_edit ELSE e.edited_at END,
+            s.applied + CASE WHEN e.status = s.status AND e.notes = s.notes THEN 0 ELSE 1 END,
+            s.conflict OR (NOT (e.status = s.status AND e.notes = s.notes) AND coalesce(s.last_user_edit > e.edited_at, false))
+        FROM steps s JOIN all_edits e ON e.job_id = s.job_id AND e.nth = s.nth + 1),
+    edited AS (SELECT job_id, status, notes, last_user_edit, applied, conflict, applied > 0 AS edited FROM (
+        SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY nth DESC) AS back FROM steps) WHERE back = 1)"""
 
 
 def edits(t):
@@ -207,18 +213,14 @@ def edits(t):
 
 
 @query("import_edits", uses=("versions",), sql=f"""{_EDITED}
-    SELECT job_id, edited, CASE WHEN edited AND new_status <> '' THEN new_status ELSE status END AS status,
-        CASE WHEN edited THEN new_notes ELSE notes END AS notes,
-        CASE WHEN edited THEN edited_at ELSE last_user_edit END AS last_user_edit,
-        edited AND coalesce(last_user_edit > edited_at, false) AS conflict FROM edited""")
+    SELECT job_id, edited, status, notes, last_user_edit, conflict, applied AS edits_applied FROM edited""")
 def import_edits(t):
     return G.import_edits(stored(t), edits(t)).select(
-        "job_id", "edited", "status", "notes", F.col("last_user_edit").cast("timestamp_ntz").alias("last_user_edit"), "conflict")
+        "job_id", "edited", "status", "notes", F.col("last_user_edit").cast("timestamp_ntz").alias("last_user_edit"), "conflict", "edits_applied")
 
 
 @query("edit_metrics", uses=("versions",), sql=f"""{_EDITED}
-    SELECT count(*) FILTER (WHERE edited) AS updated,
-        count(*) FILTER (WHERE edited AND last_user_edit > edited_at) AS conflicts FROM edited""")
+    SELECT CAST(sum(applied) AS BIGINT) AS updated, count(*) FILTER (WHERE conflict) AS conflicts FROM edited""")
 def metrics_of_edits(t):
     return edit_metrics(G.import_edits(stored(t), edits(t)))
 
@@ -230,7 +232,7 @@ def rejected_edits(t):
     return G.rejected_edits(edits(t)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("last_edit_wins", uses=("keyed",), sql=f"WITH {_EDITS} SELECT job_id, status, notes FROM edits")
+@query("last_edit_wins", uses=("keyed",), sql=f"WITH {_ALL_EDITS} SELECT job_id, status, notes FROM all_edits WHERE back = 1")
 def last_edit_wins(t):
     valid = edits(t).filter(F.col("status") != "maybe")
     return K.last_per_key(valid, "job_id", ["row_no"]).select("job_id", "status", "notes")
@@ -296,8 +298,7 @@ _RUN_PROFILE = {
 
 
 @query("daily_run", uses=("versions",), sql=f"""{_EDITED},
-    now AS (SELECT h.* EXCLUDE (status), CASE WHEN e.edited AND new_status <> '' THEN new_status ELSE e.status END AS status
-        FROM history h JOIN edited e ON h.job_id = e.job_id),
+    now AS (SELECT h.* EXCLUDE (status), e.status FROM history h JOIN edited e ON h.job_id = e.job_id),
     kept AS (SELECT * FROM versions WHERE seen_date >= DATE '{SPLIT_DAY}' AND CAST(l_quantity AS BIGINT) * 1100 >= 12000
         AND datediff('day', posted_date, DATE '{AS_OF}') <= 500 AND lower(company) <> 'supplier#000000003' AND NOT title LIKE 'Lead %'
         AND lower(company) NOT IN (SELECT lower(company) FROM now WHERE status = 'rejected' AND last_seen >= DATE '{AS_OF}' - 590)),

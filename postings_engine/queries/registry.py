@@ -7,7 +7,6 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
 from .sql_inputs import with_inputs
 
 
@@ -23,9 +22,6 @@ class Tables:
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
     )
 
-    # Tables whose rows get costly text or pay parsing.
-    WORKED = ("lineitem", "documents", "pages", "customer")
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
@@ -36,8 +32,7 @@ class Tables:
         path = f"{self.folder}/{name}.parquet"
         if path not in _SCHEMAS:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        table = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
-        return spread(table) if name in Tables.WORKED else table
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     @cached_property
     def inputs(self):

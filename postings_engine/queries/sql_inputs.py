@@ -116,6 +116,8 @@ def with_inputs(sql: str, names: tuple[str, ...]) -> str:
         return sql
     parts = ", ".join(f"{name} AS ({INPUTS[name]})" for name in _ordered(names))
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {parts}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {parts}, {body[5:]}"
     return f"WITH {parts} {body}"

@@ -28,7 +28,7 @@ class Feed(Protocol):
 @dataclass(frozen=True)
 class PagedApi:
     name: str = H.SOURCE_NAMES["paged_api"]
-    results_per_query: int = H.DEFAULT_RESULTS_PER_QUERY
+    results_per_query: int | None = None
 
     def read(self, spark: SparkSession, path: str) -> DataFrame:
         return H.paged_items(good_records(read_landed(spark, path, H.PAGED_API)), self.results_per_query)
@@ -42,7 +42,7 @@ class ListDetail:
     """List pages under ``path/list`` and per-id details under ``path/detail``."""
 
     name: str = H.SOURCE_NAMES["list_detail"]
-    results_per_query: int = H.DEFAULT_RESULTS_PER_QUERY
+    results_per_query: int | None = None
 
     def read(self, spark: SparkSession, path: str) -> DataFrame:
         pages = good_records(read_landed(spark, f"{path}/list", H.LIST_PAGE))
@@ -81,7 +81,7 @@ class Postings:
 @dataclass(frozen=True)
 class Tenant:
     name: str = H.SOURCE_NAMES["tenant"]
-    cap: int = H.TENANT_CAP
+    cap: int | None = None
 
     def read(self, spark: SparkSession, path: str) -> DataFrame:
         return H.tenant_items(good_records(read_landed(spark, path, H.TENANT)), self.cap)

@@ -104,6 +104,10 @@ def _aliased(df: DataFrame, field: str) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in present]) if present else F.lit(None).cast("string")
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string").try_cast("double") if name in df.columns else F.lit(None).cast("double")
+
+
 def require_fields(df: DataFrame) -> DataFrame:
     """Rows that have a title, a company and an address."""
     wanted = [F.coalesce(strip(c), F.lit("")) != "" for c in ("title", "company", "url")]
@@ -132,8 +136,9 @@ def conform(
         fields["description"].alias("_raw_text"),
         fields["created"].alias("_created"),
         salary_fallback(fields["salary_raw"], fields["salary_min"], fields["salary_max"]).alias("salary_raw"),
-        fields["salary_min"].try_cast("double").alias("_low"),
-        fields["salary_max"].try_cast("double").alias("_high"),
+        # The aliases may make up the text; numbers are taken over from the columns of these names alone.
+        _number(raw, "salary_min").alias("_low"),
+        _number(raw, "salary_max").alias("_high"),
         F.coalesce(fields["source"], F.lit(default_source)).alias("source"),
         fields["matched_query"].alias("matched_query"),
     )

@@ -26,8 +26,6 @@ SOURCE_NAMES = {
 }
 BOARD_URL = "https://boards.greenhouse.io/{slug}/jobs/{id}"
 WIDGET_URL = "https://apply.workable.com/{slug}/j/{id}"
-TENANT_CAP = 200
-DEFAULT_RESULTS_PER_QUERY = 50
 
 COMMON = (
     "title", "company", "url", "location", "description",
@@ -97,10 +95,10 @@ def _named(df: DataFrame, companies: DataFrame) -> DataFrame:
     return joined.withColumn("company_name", F.coalesce("_name", "slug")).drop("_name")
 
 
-def paged_items(pages: DataFrame, results_per_query: int = DEFAULT_RESULTS_PER_QUERY) -> DataFrame:
-    """Rows of paged responses: at most N per query, first query wins, empty ids all kept."""
+def paged_items(pages: DataFrame, results_per_query: int | None = None) -> DataFrame:
+    """Rows of paged responses, all or at most N per query; first query wins, empty ids all kept."""
     rows = _exploded(pages, "results", "query", "query_pos", "page")
-    capped = cap_per_group(rows, ["query"], ["page", "pos"], results_per_query)
+    capped = cap_per_group(rows, ["query"], ["page", "pos"], results_per_query) if results_per_query else rows
     return keep_first_known(capped, "id", ["query_pos", "page", "pos"])
 
 
@@ -123,11 +121,11 @@ def map_paged_api(items: DataFrame, name: str = SOURCE_NAMES["paged_api"]) -> Da
 
 
 def list_items(
-    pages: DataFrame, details: DataFrame, results_per_query: int = DEFAULT_RESULTS_PER_QUERY
+    pages: DataFrame, details: DataFrame, results_per_query: int | None = None
 ) -> DataFrame:
     """List rows, one per id, with the full text from the per-id detail responses."""
     rows = _exploded(pages, "results", "query", "query_pos", "page")
-    capped = cap_per_group(rows, ["query"], ["page", "pos"], results_per_query)
+    capped = cap_per_group(rows, ["query"], ["page", "pos"], results_per_query) if results_per_query else rows
     first = keep_first(capped, ["jobId"], ["query_pos", "page", "pos"])
     text = details.select("jobId", _or_empty(F.col("jobDescription")).alias("detail"))
     return first.join(text, "jobId", "left").withColumn(
@@ -204,10 +202,10 @@ def map_postings(items: DataFrame, name: str = SOURCE_NAMES["postings"]) -> Data
     )
 
 
-def tenant_items(pages: DataFrame, cap: int = TENANT_CAP) -> DataFrame:
-    """Rows of offset pages, at most ``cap`` per company."""
+def tenant_items(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Rows of offset pages, all or at most ``cap`` per company."""
     rows = _exploded(pages, "jobPostings", "company", "api_base", "offset")
-    return cap_per_group(rows, ["company"], ["offset", "pos"], cap)
+    return cap_per_group(rows, ["company"], ["offset", "pos"], cap) if cap else rows
 
 
 def map_tenant(items: DataFrame, name: str = SOURCE_NAMES["tenant"]) -> DataFrame:

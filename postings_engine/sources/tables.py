@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -12,35 +13,52 @@ from pyspark.sql import functions as F
 from ..operators.dedup import keep_first
 from ..schema import HISTORY
 
-LEDGER = "version bigint, kind string, path string"
+LEDGER = "version bigint, kind string, path string, stream string, batch bigint"
 
 
-def write_version(df: DataFrame, root: str, version: int, kind: str = "full") -> str:
+def write_version(
+    df: DataFrame, root: str, version: int, kind: str = "full", stream: str | None = None, batch: int | None = None
+) -> str:
     """Write a new version folder, then record it; readers never see a half-written table.
 
-    The folder being read is never the folder being written, so a lost executor or a failed job
-    leaves the previous version in place.  A ``delta`` holds only the rows that changed.
+    Every write has a folder of its own, so a lost executor, a failed job or a second writer leaves what is
+    recorded in place.  A version is recorded once: the later of two writers of one version fails.
+    A ``delta`` holds only the rows that changed.  ``stream`` and ``batch`` name the micro-batch written.
     """
     spark = df.sparkSession
-    path = f"{root}/v{version:08d}-{kind}"
-    df.write.mode("overwrite").parquet(path)
-    entry = (F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), F.lit(path).alias("path"))
-    spark.range(1).select(*entry).write.mode("append").parquet(f"{root}/_versions")
+    path = f"{root}/v{version:08d}-{kind}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    entry = (
+        F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), F.lit(path).alias("path"),
+        F.lit(stream).cast("string").alias("stream"), F.lit(batch).cast("bigint").alias("batch"),
+    )
+    spark.range(1).select(*entry).write.mode("error").parquet(f"{root}/_versions/v{version:08d}")
     return path
 
 
-def _recorded(spark: SparkSession, root: str) -> list:
-    """Ledger entries from the last full version on, oldest first; a full one hides its delta."""
+def _ledger(spark: SparkSession, root: str) -> DataFrame | None:
     try:
-        ledger = spark.read.schema(LEDGER).parquet(f"{root}/_versions")
+        return spark.read.schema(LEDGER).parquet(f"{root}/_versions/v*")
     except AnalysisException as error:
         if "PATH_NOT_FOUND" in str(error):
-            return []
+            return None
         raise
+
+
+def has_batch(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Whether this micro-batch of this stream was recorded, whatever was written since."""
+    ledger = _ledger(spark, root)
+    return ledger is not None and not ledger.filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
+
+
+def _recorded(spark: SparkSession, root: str) -> list:
+    """Ledger entries from the last full version on, oldest first."""
+    ledger = _ledger(spark, root)
+    if ledger is None:
+        return []
     full = ledger.filter("kind = 'full'").agg(F.max("version").alias("v")).first()["v"]
     entries = ledger.filter(F.col("version") >= F.lit(full if full is not None else 0)).collect()
-    kept = [e for e in entries if e["kind"] == "full" or e["version"] != full]
-    return sorted(kept, key=lambda e: e["version"])
+    return sorted(entries, key=lambda e: e["version"])
 
 
 def current_version(spark: SparkSession, root: str) -> tuple[int, str] | None:
@@ -77,9 +95,9 @@ def scan_jobs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def compact(spark: SparkSession, root: str, version: int) -> None:
+def compact(spark: SparkSession, root: str) -> None:
     """Replace the last full version and its deltas by one new full version."""
-    write_version(scan_jobs(spark, root), root, version, "full")
+    write_version(scan_jobs(spark, root), root, current_version(spark, root)[0] + 1, "full")
 
 
 def point_lookup(jobs: DataFrame, job_id: str) -> DataFrame:

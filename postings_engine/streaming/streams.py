@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -13,30 +13,37 @@ from ..plans.costs import SOFT_CAP_GBP
 from ..plans.daily import empty_history
 from ..schema import HISTORY
 from ..sources.tables import (
-    compact, current_version, deltas_since_full, read_history, write_version,
+    compact, current_version, deltas_since_full, has_batch, read_history, write_version,
 )
 
 
+def stream_id(session: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps in its checkpoint: a new checkpoint is a new stream."""
+    return session.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
 def merge_batch(
-    root: str, order: list[str], run_date: Callable[[DataFrame], object], compact_every: int = 50
+    root: str, order: list[str], run_date: Callable[[DataFrame], object], checkpoint: str, compact_every: int = 50
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function merging each micro-batch into the versioned table at ``root``.
 
-    A batch writes only the rows it touched, as a delta; every ``compact_every`` deltas the table
-    is rewritten in full.  A batch id is also the version it writes, so a batch replayed after a
-    failure finds its version recorded and is skipped.
+    A batch writes only the rows it touched, as a delta and as the table's next version; every
+    ``compact_every`` deltas the table is rewritten in full.  The batch is recorded by the stream's own
+    id, which its checkpoint keeps, and its number: a batch replayed after a failure is found and skipped,
+    while daily runs on the same table and streams begun anew get versions of their own.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        found = current_version(session, root)
-        version = batch_id + 1
-        if found and found[0] >= version:
+        stream = stream_id(session, checkpoint)
+        if has_batch(session, root, stream, batch_id):
             return
+        found = current_version(session, root)
         jobs = read_history(session, root)
         touched = sync_touched(empty_history(session) if jobs is None else jobs, batch, order, run_date(batch))
-        write_version(touched.select(*HISTORY.names), root, version, "delta" if found else "full")
+        version = found[0] + 1 if found else 1
+        write_version(touched.select(*HISTORY.names), root, version, "delta" if found else "full", stream, batch_id)
         if deltas_since_full(session, root) >= compact_every:
-            compact(session, root, version)
+            compact(session, root)
 
     return merge
 
@@ -46,7 +53,7 @@ def stream_sync(
     run_date: Callable[[DataFrame], object], compact_every: int = 50,
 ) -> DataStreamWriter:
     """Merge a stream of conformed postings; start it with the trigger of your choice."""
-    return postings.writeStream.foreachBatch(merge_batch(root, order, run_date, compact_every)).option(
+    return postings.writeStream.foreachBatch(merge_batch(root, order, run_date, checkpoint, compact_every)).option(
         "checkpointLocation", checkpoint
     )
 
@@ -81,6 +88,8 @@ def stream_soft_cap(calls: DataFrame, cap: float = SOFT_CAP_GBP, delay: str = "1
 def write_latest(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """Keep the newest full result of an aggregation as a table: one folder per micro-batch."""
     def store(batch: DataFrame, batch_id: int) -> None:
-        write_version(batch, path, batch_id + 1)
+        if not has_batch(batch.sparkSession, path, stream_id(batch.sparkSession, checkpoint), batch_id):
+            found = current_version(batch.sparkSession, path)
+            write_version(batch, path, found[0] + 1 if found else 1, stream=stream_id(batch.sparkSession, checkpoint), batch=batch_id)
 
     return df.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint)

@@ -47,7 +47,7 @@ SALARIES = {
     "Band 6 (£35,392 - £42,618)": (35392, 42618),
     "£35-40k": (65800, 65800),
     "£, please": (None, None),
-    "30000 - 40000": (30000, 40000),
+    "30000 - 40000": (30000, 40000), "30000\n- 40000": (30000, 40000),
     "30k to 40k": (30000, 40000),
     "£450 per day": (103500, 103500),
     "£80 per session": (32000, 32000),

@@ -72,8 +72,7 @@ def random_rows(rng, n, jobs="abcdefgh", hot="a"):
                fit_score=float(i)) for i in range(n)]
 
 
-@pytest.mark.parametrize("max_group_rows", [5_000_000, 5])
-def test_sync_equals_record_at_a_time(spark, max_group_rows):
+def test_sync_equals_record_at_a_time(spark):
     rng = random.Random(7)
     stored = {}
     for job in "abcz":
@@ -82,12 +81,12 @@ def test_sync_equals_record_at_a_time(spark, max_group_rows):
     rows = random_rows(rng, 120)
     want, actions = brute_sync(stored, rows, RUN_DAY)
     existing, incoming = history(spark, stored), records(spark, rows).repartition(5)
-    got = {r["job_id"]: r.asDict() for r in G.sync(existing, incoming, ORDER, RUN_DAY, max_group_rows).collect()}
+    got = {r["job_id"]: r.asDict() for r in G.sync(existing, incoming, ORDER, RUN_DAY).collect()}
     assert got.keys() == want.keys()
     for job, expected in want.items():
         for field in HISTORY.fields:
             assert got[job][field.name] == expected.get(field.name), (job, field.name)
-    per_record = G.sync_actions(existing, incoming, ORDER, max_group_rows).collect()
+    per_record = G.sync_actions(existing, incoming, ORDER).collect()
     assert sorted((r["seq"], r["action"]) for r in per_record) == actions
     assert got["z"]["action"] == "kept" and got["z"]["status"] == "applied"
 
@@ -119,7 +118,7 @@ def test_replay_equals_daily_merges(spark):
     assert got == {k: {f.name: v.get(f.name) for f in HISTORY.fields} for k, v in jobs.items()}
 
 
-def test_previous_in_group_over_slices(spark):
+def test_previous_in_group(spark):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(30)}", i, rng.choice(["p", "q", None])) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, n int, v string").repartition(7)
@@ -127,10 +126,21 @@ def test_previous_in_group_over_slices(spark):
     for k, n, v in sorted(rows, key=lambda r: r[1]):
         want[n] = last.get(k, "none")
         last[k] = v
-    for limit in (None, 50):
-        got = {r["n"]: "none" if r["previous"] is None else r["previous"]["value"]
-               for r in K.previous_in_group(df, "k", ["n"], "v", max_group_rows=limit).collect()}
-        assert got == want
+    got = {r["n"]: "none" if r["previous"] is None else r["previous"]["value"]
+           for r in K.previous_in_group(df, "k", ["n"], "v").collect()}
+    assert got == want
+
+
+def test_building_a_merge_runs_no_job(spark):
+    existing, incoming = history(spark, {}), records(spark, random_rows(random.Random(3), 20))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan only", "")
+    try:
+        G.sync(existing, incoming, ORDER, RUN_DAY)
+        G.sync_touched(existing, incoming, ORDER, RUN_DAY)
+        assert list(tracker.getJobIdsForGroup("plan only")) == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_keep_first_and_caps_limit_groups_before_the_shuffle(spark):
@@ -306,17 +316,71 @@ def test_score_round_trip_retries_singly(spark):
     rows = [record(f"{i:040x}", i, "x" * i, title="silent" if i == 4 else f"t{i}") for i in range(12)]
     routed = S.prescore_and_route(records(spark, rows), {}, 3.0, "v1")
     got = {int(r["job_id"], 16): (r["fit_score"], r["fit_confidence"], r["fit_reason"]) for r in
-           S.score_round_trip(routed, scorer, "v2", bucket_chars=1).collect()}
+           S.score_round_trip(routed, scorer, "v2").collect()}
     assert got == {i: (5.0, 0.3, None) if i == 4 else (float(i), 0.5, f"t{i}") for i in range(12)}
 
 
 def test_batches_tell_rows_of_one_posting_apart(spark):
     df = spark.range(1000).select(F.lit("ab" * 20).alias("job_id"), F.col("id").alias("seq"))
-    got = K.assign_batches(df, 5, bucket_chars=1, order=["seq"]).collect()
+    got = K.assign_batches(df, 5, order=["seq"]).collect()
     sizes = collections.Counter(r["batch_id"] for r in got)
-    assert len(got) == 1000 and len({r["batch_id"].split("-")[0] for r in got}) == 16 and max(sizes.values()) == 5
+    assert len(got) == 1000 and set(sizes.values()) == {5} and len(sizes) == 200
     assert len({(r["batch_id"], r["pos"]) for r in got}) == 1000
-    assert K.bucket_chars_for(1000) == 2 and K.bucket_chars_for(10**10) == 4
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 52])
+def test_only_the_last_batch_is_short(spark, n):
+    df = spark.range(n).select(F.sha1(F.col("id").cast("string")).alias("job_id"))
+    sizes = collections.Counter(r["batch_id"] for r in K.assign_batches(df).collect())
+    assert len(sizes) == -(-n // 5) and sorted(sizes.values(), reverse=True) == [5] * (n // 5) + [n % 5] * (n % 5 > 0)
+
+
+def test_one_failing_batch_loses_no_other(spark):
+    import json
+
+    def scorer(batches):
+        for frame in batches:
+            answers = []
+            for payload in frame["payload"]:
+                rows = json.loads(payload)
+                if any("broken" in r["title"] for r in rows):
+                    raise RuntimeError("no connection")
+                answers.append(json.dumps([{"s": 9} for _ in rows]))
+            yield frame[["batch_id"]].assign(response=answers)
+
+    rows = [record(f"{i:040x}", i, "x", title="broken" if i == 7 else "t") for i in range(15)]
+    routed = S.prescore_and_route(records(spark, rows), {}, 3.0, "v1")
+    got = {int(r["job_id"], 16): (r["fit_score"], r["ranker_version"]) for r in S.score_round_trip(routed, scorer, "v2").collect()}
+    assert got == {i: (5.0, None) if 5 <= i < 10 else (9.0, "v2") for i in range(15)}
+
+
+@pytest.mark.parametrize("response, want", [
+    ('[{"s":"7"}]', [(7.0, True)]), ('[{"s":7}] trailing', []), ('[1,{"s":3}]', [None, (3.0, True)]), ('{"s":2}', [(2.0, True)]),
+    ('[{"s":"x"}]', [(None, False)]), ('[{"s":null}]', [(None, False)]), ("7", []), (None, []), ("```json\n[{}]\n```", [(None, True)]),
+])
+def test_parse_scores_reads_element_by_element(spark, response, want):
+    df = spark.createDataFrame([(response,)], "t string").select(S.parse_scores("t").alias("s"))
+    assert [None if e is None else (e["s"], e["usable"]) for e in df.first()["s"]] == want
+
+
+def test_keywords_that_are_no_list_change_nothing(spark):
+    batched = spark.createDataFrame([("0", i, 1.0, 0.3, "", ["old"], None) for i in range(3)],
+        "batch_id string, pos int, fit_score double, fit_confidence double, fit_reason string, matched_keywords array<string>, ranker_version string")
+    answers = spark.createDataFrame([("0", '[{"s":1,"k":"x"},{"s":2,"k":[1,"b"]},{"s":3}]')], "batch_id string, response string")
+    got = {r["pos"]: r["matched_keywords"] for r in S.apply_scores(batched, answers, "v").collect()}
+    assert got == {0: ["old"], 1: ["1", "b"], 2: []}
+
+
+def test_edits_apply_row_by_row(spark):
+    jobs = {j: {**record(j, 0, "x"), "first_seen": RUN_DAY, "last_seen": RUN_DAY, "status": "new", "notes": "n",
+                "last_user_edit": dt.datetime(2025, 3, 1) if j == "b" else None} for j in "abc"}
+    early, late = dt.datetime(2025, 2, 1), dt.datetime(2025, 4, 1)
+    rows = [("a", "applied", "", late, 1), ("a", "", "", late, 2), ("a", "maybe", "zz", late, 3), ("b", "new", "n", early, 4), ("b", "offer", "x", early, 5),
+            ("b", "closed", "y", late, 0), ("c", "new", "n", late, 6), ("d", "new", "n", late, 7)]
+    edits = spark.createDataFrame(rows, "job_id string, status string, notes string, edited_at timestamp, row_no int")
+    got = {r["job_id"]: (r["status"], r["notes"], r["edits_applied"], r["conflict"]) for r in G.import_edits(history(spark, jobs), edits).collect()}
+    # A blank status always differs, so the second row of a is applied as well.
+    assert got == {"a": ("applied", "", 2, False), "b": ("closed", "y", 2, True), "c": ("new", "n", 0, False)}
 
 
 def test_generate_queries(spark):
