@@ -226,8 +226,11 @@ def rerank_stale(jobs: DataFrame, current_version: str) -> DataFrame:
     )
 
 
-def rank_expiry(jobs: DataFrame, as_of, scored_on: ColumnLike = "scored_on", days: int = 30) -> DataFrame:
-    """Postings whose score is older than ``days``."""
+def rank_expiry(jobs: DataFrame, as_of, scored_on: ColumnLike, days: int = 30) -> DataFrame:
+    """Postings whose score is older than ``days``; ``scored_on`` is the day of the last scoring.
+
+    The history keeps no such day of its own: name the column that your scoring writes.
+    """
     column = F.col(scored_on) if isinstance(scored_on, str) else scored_on
     return jobs.filter(F.datediff(_day(as_of), column) > days)
 

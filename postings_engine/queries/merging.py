@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import dedup as K
@@ -290,6 +292,23 @@ def append_api_calls(t):
         F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"))
 
 
+@query("append_run", uses=("versions",), sql=f"""{_SYNCED},
+    m AS (SELECT count(*) FILTER (WHERE action <> 'kept') AS seen, count(*) FILTER (WHERE action = 'inserted') AS new,
+        count(*) FILTER (WHERE status = 'new' AND last_seen < DATE '{AS_OF}' - 14) AS closed FROM synced)
+    SELECT CAST(i AS BIGINT) AS id, CAST(i AS DOUBLE) * 60 AS duration_s, 2 AS sources_ok, CAST(i - 1 AS INTEGER) AS sources_failed,
+        seen AS jobs_scraped, new AS jobs_new, closed AS jobs_closed, CASE i WHEN 1 THEN CAST([] AS VARCHAR[]) ELSE ['no answer'] END AS errors
+    FROM m, (SELECT unnest([1, 2]) AS i)""")
+def append_run(t):
+    """Two runs appended to a log, which is read back."""
+    path = scratch_path(t.spark, "runs")
+    counted = run_metrics(G.close_stale(merged(t), AS_OF)).select(F.col("seen").alias("scraped"), "new", "closed")
+    start = dt.datetime(2001, 8, 1, 6)
+    for n, errors in ((1, []), (2, ["no answer"])):
+        B.append_run(t.spark, path, n, start, start + dt.timedelta(minutes=n), counted, 2, len(errors), errors)
+    return t.spark.read.parquet(path).select(
+        "id", "duration_s", "sources_ok", "sources_failed", "jobs_scraped", "jobs_new", "jobs_closed", "errors")
+
+
 # The profile of the registered daily run; it names no skills, so all score 5.
 _RUN_PROFILE = {
     "negative_signals": {"title_excludes": ["lead"], "company_blocklist": ["supplier#000000003"]},

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.columns import with_once
 from ..functions.money import parse_salary
 from ..operators import filters as P
+from ..schema import HISTORY
+from ..session import scratch_path
 from .registry import query
 from .sql_inputs import FILTER_DAY, REPORT_DAY
 from .values import SALARY_PARTS
@@ -167,5 +169,12 @@ def point_lookup(t):
 @query("scan_jobs", uses=("jobs",), sql=f"""
     SELECT job_id, source, status, last_seen FROM jobs WHERE last_seen < DATE '{REPORT_DAY}'""")
 def scan_jobs(t):
-    return t.inputs.jobs().filter(F.col("last_seen") < F.lit(REPORT_DAY).cast("date")).select(
-        "job_id", "source", "status", "last_seen")
+    """Columns of the stored table, filtered; the scan reads these columns alone."""
+    from ..sources import tables as B
+
+    root = scratch_path(t.spark, "scanned")
+    rows = t.inputs.jobs()
+    missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in HISTORY.fields if f.name not in rows.columns]
+    B.write_version(rows.select("*", *missing).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields]), root, 1)
+    found = B.scan_jobs(t.spark, root, "job_id", "source", "status", "last_seen")
+    return found.filter(F.col("last_seen") < F.lit(REPORT_DAY).cast("date"))

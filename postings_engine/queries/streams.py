@@ -79,9 +79,15 @@ def stream_dedup(t):
         DATE '{AS_OF}' AS first_seen, DATE '{AS_OF}' AS last_seen, 'new' AS status
     FROM changes c JOIN lagged f ON f.job_id = c.job_id AND f.rn = 1""")
 def stream_sync(t):
+    """Line items landed in four files, by the time of their records: four micro-batches, with deltas and a compaction."""
     root = scratch_path(t.spark, "stream-sync")
-    inputs = _Streamed(t, "lineitem").inputs
-    records = inputs.records(inputs.versions())
-    finish(S.stream_sync(records, f"{root}/jobs", f"{root}/progress", ORDER, lambda batch: AS_OF))
+    streamed = Tables(t.spark, t.folder)
+    day, cuts = F.to_date("l_shipdate"), ["1994-01-01", "1996-01-01", "1998-01-01"]
+    part = sum((F.when(day >= F.lit(c).cast("date"), 1).otherwise(0) for c in cuts), F.lit(0))
+    for n in range(len(cuts) + 1):
+        t.lineitem.filter(part == n).coalesce(1).write.mode("append").parquet(f"{root}/landed")
+    streamed.lineitem = t.spark.readStream.schema(t.lineitem.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landed")
+    records = streamed.inputs.records(streamed.inputs.versions())
+    finish(S.stream_sync(records, f"{root}/jobs", f"{root}/progress", ORDER, lambda batch: AS_OF, compact_every=2))
     return scan_jobs(t.spark, f"{root}/jobs").select(
         "job_id", "source", "jd_content_hash", F.length("description").alias("description_chars"), "closes_on", "first_seen", "last_seen", "status")

@@ -291,23 +291,24 @@ _YEARS = """list_max(list_transform(regexp_extract_all(body, '(?:^|[^0-9])([0-9]
     lambda y: CAST(y AS INTEGER)))"""
 
 
+def sql_level(title: str, body: str, years: str) -> str:
+    """The level by SQL, from the fixed wordings of :mod:`..functions.classify`."""
+    cases = [f"WHEN regexp_matches({title}, '{p}') THEN '{level}'" for level, p in C.TITLE_LEVELS.items()]
+    cases += [f"WHEN regexp_matches({body}, '{p}') THEN '{level}'" for level, p in C.TEXT_LEVELS.items()]
+    return f"""CASE {" ".join(cases)} WHEN {years} >= 6 THEN 'Senior/Lead' WHEN {years} >= 3 THEN 'Mid-level'
+        WHEN {years} >= 1 THEN 'Junior' WHEN {years} >= 0 THEN 'Graduate/Entry' ELSE 'Unspecified' END"""
+
+
+# Jobs with their texts and what the level is read from.
+LEVELLED = f"""levelled AS (SELECT *, {_YEARS} AS years FROM (SELECT jobs.*, text AS description, lower(title) AS low_title,
+    lower(concat(title, ' ', text)) AS body FROM jobs JOIN documents d ON d.doc_id = jobs.doc_id))"""
+SQL_LEVEL = sql_level("low_title", "body", "years")
+
+
 @query("experience_level", sql=f"""
     WITH d AS (SELECT doc_id, lower({_TITLE}) AS title, lower(concat({_TITLE}, ' ', {_BODY})) AS body FROM documents),
     y AS (SELECT *, {_YEARS} AS years FROM d)
-    SELECT doc_id, CASE
-        WHEN regexp_matches(title, '\\b(senior|staff|principal|lead|head of|director)\\b') THEN 'Senior/Lead'
-        WHEN regexp_matches(title, '\\b(manager|product owner|programme manager|program manager)\\b') THEN 'Manager/Owner'
-        WHEN regexp_matches(title, '\\b(intern|internship|placement|sandwich year)\\b') THEN 'Internship'
-        WHEN regexp_matches(title, '\\b(apprentice|trainee)\\b') THEN 'Apprentice/Trainee'
-        WHEN regexp_matches(title, '\\b(graduate|new grad|entry[- ]level|early career)\\b') THEN 'Graduate/Entry'
-        WHEN regexp_matches(title, '\\b(junior|associate)\\b') THEN 'Junior'
-        WHEN regexp_matches(title, '\\b(mid[- ]level|intermediate)\\b') THEN 'Mid-level'
-        WHEN regexp_matches(body, '\\b(entry[- ]level|early career|no experience required)\\b') THEN 'Graduate/Entry'
-        WHEN regexp_matches(body, '\\b(junior|associate)\\b') THEN 'Junior'
-        WHEN regexp_matches(body, '\\b(mid[- ]level|intermediate|experienced)\\b') THEN 'Mid-level'
-        WHEN regexp_matches(body, '\\b(senior|staff|principal|lead)\\b') THEN 'Senior/Lead'
-        WHEN years >= 6 THEN 'Senior/Lead' WHEN years >= 3 THEN 'Mid-level' WHEN years >= 1 THEN 'Junior'
-        WHEN years >= 0 THEN 'Graduate/Entry' ELSE 'Unspecified' END AS level, years
+    SELECT doc_id, {sql_level('title', 'body', 'years')} AS level, years
     FROM y""")
 def experience_level(t):
     rows = t.documents.select("doc_id", F.expr(_TITLE).alias("title"), F.expr(_BODY).alias("body"))

@@ -9,7 +9,7 @@ from ..plans import reports as R
 from ..sources.landing import parse_cost_log
 from .registry import query
 from .sql_inputs import COST_DAY, REPORT_DAY, STATUS_LIST
-from .values import SQL_PRIORITY, SQL_RANK
+from .values import LEVELLED, SQL_LEVEL, SQL_PRIORITY, SQL_RANK
 
 _DAY = f"DATE '{REPORT_DAY}'"
 _LABELS = "['P1 Apply', 'P2 Strong', 'P3 Maybe', 'P4 Low', 'Applied', 'Interview', 'Offer']"
@@ -50,22 +50,28 @@ def overview_candidates(t):
     return R.overview_candidates(t.inputs.jobs()).select("job_id", "fit_score", "closes_on", "first_seen")
 
 
-@query("overview_top15", uses=("jobs",), sql=f"""
-    SELECT job_id, priority, fit_score, status, closes_on, CASE WHEN title LIKE 'Senior%' OR title LIKE 'Lead%' THEN 'Senior/Lead'
-        WHEN title LIKE 'Graduate%' THEN 'Graduate/Entry' WHEN title LIKE 'Junior%' THEN 'Junior' ELSE 'Unspecified' END AS experience
-    FROM (SELECT *, {SQL_PRIORITY} AS priority FROM ({_CANDIDATES}))
+@query("overview_top15", uses=("jobs",), sql=f"""WITH {LEVELLED}
+    SELECT job_id, priority, fit_score, status, closes_on, {SQL_LEVEL} AS experience
+    FROM (SELECT *, {SQL_PRIORITY} AS priority FROM ({_CANDIDATES.replace('FROM jobs', 'FROM levelled')}))
     ORDER BY {SQL_RANK}, fit_score DESC NULLS LAST, coalesce(closes_on, DATE '9999-12-31'), job_id LIMIT 15""")
 def overview_top15(t):
-    # Only titles decide here: the documents name no level.
-    jobs = t.inputs.jobs().withColumn("description", F.lit(""))
-    return R.overview_top(jobs, REPORT_DAY).select("job_id", "priority", "fit_score", "status", "closes_on", "experience")
+    return R.overview_top(t.inputs.jobs_with_text(), REPORT_DAY).select("job_id", "priority", "fit_score", "status", "closes_on", "experience")
 
 
-@query("new_today", uses=("jobs",), sql=f"""
-    SELECT job_id, fit_score, closes_on, closes_on <= {_DAY} + 7 AS closes_soon FROM jobs
-    WHERE first_seen = {_DAY} AND status = 'new' ORDER BY fit_score DESC NULLS LAST, job_id LIMIT 50""")
+# Days of one year count as its first day here, so that the day's lists are longer than their limits.
+_NEW_YEAR = "1995-01-01"
+_YEARLY = "jobs_of_year AS (SELECT * REPLACE (CAST(date_trunc('year', first_seen) AS DATE) AS first_seen) FROM jobs)"
+
+
+def _yearly(t):
+    return t.inputs.jobs().withColumn("first_seen", F.trunc("first_seen", "year"))
+
+
+@query("new_today", uses=("jobs",), sql=f"""WITH {_YEARLY}
+    SELECT job_id, fit_score, closes_on, closes_on <= DATE '{_NEW_YEAR}' + 7 AS closes_soon FROM jobs_of_year
+    WHERE first_seen = DATE '{_NEW_YEAR}' AND status = 'new' ORDER BY fit_score DESC NULLS LAST, job_id LIMIT 50""")
 def new_today(t):
-    return R.new_today(t.inputs.jobs(), REPORT_DAY).select("job_id", "fit_score", "closes_on", "closes_soon")
+    return R.new_today(_yearly(t), _NEW_YEAR).select("job_id", "fit_score", "closes_on", "closes_soon")
 
 
 def _sql_closing(rows: int) -> str:
@@ -83,26 +89,26 @@ def closing_soon_digest(t):
     return R.digest_tables(t.inputs.jobs(), REPORT_DAY)["closing_soon"].select("job_id", "title", "fit_score", "closes_on", "status")
 
 
-_FRESH = f"first_seen = {_DAY} AND status = 'new'"
-_HIGH = f"SELECT job_id, fit_score FROM jobs WHERE {_FRESH} AND fit_score >= 7 ORDER BY fit_score DESC, job_id LIMIT 20"
-_MID = f"SELECT job_id, fit_score FROM jobs WHERE {_FRESH} AND fit_score >= 5 AND fit_score < 7 ORDER BY fit_score DESC, job_id LIMIT 10"
+_FRESH = f"first_seen = DATE '{_NEW_YEAR}' AND status = 'new'"
+_HIGH = f"SELECT job_id, fit_score FROM jobs_of_year WHERE {_FRESH} AND fit_score >= 7 ORDER BY fit_score DESC, job_id LIMIT 20"
+_MID = f"SELECT job_id, fit_score FROM jobs_of_year WHERE {_FRESH} AND fit_score >= 5 AND fit_score < 7 ORDER BY fit_score DESC, job_id LIMIT 10"
 
 
-@query("high_fit", uses=("jobs",), sql=_HIGH)
+@query("high_fit", uses=("jobs",), sql=f"WITH {_YEARLY} {_HIGH}")
 def high_fit(t):
-    return R.high_fit(t.inputs.jobs(), REPORT_DAY).select("job_id", "fit_score")
+    return R.high_fit(_yearly(t), _NEW_YEAR).select("job_id", "fit_score")
 
 
-@query("mid_fit", uses=("jobs",), sql=_MID)
+@query("mid_fit", uses=("jobs",), sql=f"WITH {_YEARLY} {_MID}")
 def mid_fit(t):
-    return R.mid_fit(t.inputs.jobs(), REPORT_DAY).select("job_id", "fit_score")
+    return R.mid_fit(_yearly(t), _NEW_YEAR).select("job_id", "fit_score")
 
 
-@query("digest_counts", uses=("jobs",), sql=f"""
+@query("digest_counts", uses=("jobs",), sql=f"""WITH {_YEARLY}
     SELECT (SELECT count(*) FROM ({_HIGH})) + (SELECT count(*) FROM ({_MID})) AS jobs_new,
         (SELECT count(*) FROM ({_HIGH})) AS jobs_high_fit""")
 def digest_counts(t):
-    return R.digest_counts(t.inputs.jobs(), REPORT_DAY)
+    return R.digest_counts(_yearly(t), _NEW_YEAR)
 
 
 @query("passive_digest", uses=("jobs",), sql=f"""
@@ -111,18 +117,20 @@ def passive_digest(t):
     return R.passive_digest(t.inputs.jobs(), REPORT_DAY).select("job_id", "fit_score")
 
 
-@query("export_jobs_view", uses=("jobs",), sql=f"""
-    SELECT job_id AS "Job ID", {SQL_PRIORITY} AS "Action", fit_score AS "Score", title AS "Title", company AS "Company",
-        CAST(datediff('day', {_DAY}, closes_on) AS INTEGER) AS "Days Left", status AS "Status", 'a, ' || source AS "Matched Keywords",
-        CASE WHEN title LIKE 'Senior%' OR title LIKE 'Lead%' THEN 'Senior/Lead' WHEN title LIKE 'Graduate%' THEN 'Graduate/Entry'
-            WHEN title LIKE 'Junior%' THEN 'Junior' ELSE 'Unspecified' END AS "Experience" FROM jobs""")
+@query("export_jobs_view", uses=("jobs",), sql=f"""WITH {LEVELLED}
+    SELECT {SQL_PRIORITY} AS "Action", fit_score AS "Score", {SQL_LEVEL} AS "Experience", title AS "Title", company AS "Company",
+        location AS "Location", salary_raw AS "Salary", closes_on AS "Closes", CAST(datediff('day', {_DAY}, closes_on) AS INTEGER) AS "Days Left",
+        url AS "Apply", 'because ' || l_partkey AS "Fit Reason", status AS "Status", CASE WHEN l_partkey % 3 = 0 THEN 'seen' ELSE '' END AS "Notes",
+        job_id AS "Job ID", posted_date AS "Posted", source AS "Source", 'a, ' || source AS "Matched Keywords",
+        CASE WHEN l_partkey % 4 > 0 THEN lower(title) END AS "Query", CAST(l_quantity AS BIGINT) * 1000 AS "Salary Min",
+        CAST(l_quantity AS BIGINT) * 1100 AS "Salary Max", first_seen AS "First Seen", ranker_version AS "Ranker Ver." FROM levelled""")
 def export_jobs_view(t):
-    none = F.lit(None)
-    jobs = t.inputs.jobs().withColumns({
-        "description": F.lit(""), "fit_reason": F.lit(""), "notes": F.lit(""), "matched_query": none.cast("string"),
-        "matched_keywords": F.array(F.lit("a"), F.col("source")), "salary_min": none.cast("bigint"), "salary_max": none.cast("bigint")})
-    return R.export_jobs_view(jobs, REPORT_DAY).select(
-        "Job ID", "Action", "Score", "Title", "Company", "Days Left", "Status", "Matched Keywords", "Experience")
+    key, pay = F.col("l_partkey"), F.col("l_quantity").cast("bigint")
+    jobs = t.inputs.jobs_with_text().withColumns({
+        "fit_reason": F.concat(F.lit("because "), key.cast("string")), "notes": F.when(key % 3 == 0, "seen").otherwise(""),
+        "matched_query": F.when(key % 4 > 0, F.lower("title")), "matched_keywords": F.array(F.lit("a"), F.col("source")),
+        "salary_min": pay * 1000, "salary_max": pay * 1100})
+    return R.export_jobs_view(jobs, REPORT_DAY)
 
 
 @query("next_steps", uses=("jobs",), sql=f"""
@@ -157,9 +165,12 @@ def rerank_stale(t):
     return R.rerank_stale(t.inputs.jobs(), "v2").select("job_id", "ranker_version")
 
 
-@query("rank_expiry", uses=("jobs",), sql=f"SELECT job_id, last_seen FROM jobs WHERE datediff('day', last_seen, {_DAY}) > 30")
+@query("rank_expiry", uses=("jobs",), sql=f"""
+    SELECT job_id, scored_on FROM (SELECT *, CASE WHEN fit_score IS NOT NULL THEN last_seen - CAST(l_partkey % 40 AS INTEGER) END AS scored_on FROM jobs)
+    WHERE datediff('day', scored_on, {_DAY}) > 30""")
 def rank_expiry(t):
-    return R.rank_expiry(t.inputs.jobs(), REPORT_DAY, "last_seen").select("job_id", "last_seen")
+    scored = F.when(F.col("fit_score").isNotNull(), F.date_sub("last_seen", (F.col("l_partkey") % 40).cast("int")))
+    return R.rank_expiry(t.inputs.jobs().withColumn("scored_on", scored), REPORT_DAY, "scored_on").select("job_id", "scored_on")
 
 
 # --- runs ----------------------------------------------------------------------------------
@@ -184,10 +195,17 @@ def quiet_streak(t):
 
 
 @query("heartbeat_due", uses=("runs",), sql="""
-    SELECT sum(n) = 0 AS quiet, sum(n) = 0 AS due FROM (SELECT CASE WHEN id < 10000 THEN 0 ELSE jobs_new END AS n FROM runs ORDER BY id DESC LIMIT 3)""")
+    SELECT sent, quiet, quiet AND (sent IS NULL OR datediff('day', sent, DATE '2024-01-30') >= 7) AS due
+    FROM (SELECT sum(n) = 0 AS quiet FROM (SELECT CASE WHEN id < 10000 THEN 0 ELSE jobs_new END AS n FROM runs ORDER BY id DESC LIMIT 3)),
+        (SELECT unnest([DATE '2024-01-20', DATE '2024-01-24', NULL]) AS sent)""")
 def heartbeat_due(t):
+    """Once with the last mail long ago, once lately, and once without any."""
     quiet = F.when(F.col("id") < 10000, F.lit(0)).otherwise(F.col("jobs_new"))
-    return R.heartbeat_due(t.inputs.runs().withColumn("jobs_new", quiet), "2024-01-30", "2024-01-20")
+    runs, out = t.inputs.runs().withColumn("jobs_new", quiet), None
+    for sent in ("2024-01-20", "2024-01-24", None):
+        one = R.heartbeat_due(runs, "2024-01-30", sent).select(F.lit(sent).cast("date").alias("sent"), "quiet", "due")
+        out = one if out is None else out.union(one)
+    return out
 
 
 # --- costs ---------------------------------------------------------------------------------
