@@ -1,17 +1,19 @@
 """Full-text search: an inverted table of terms and BM25 ranking.
 
-The index is two plain tables, ``terms(job_id, term, field, tf, positions)`` and
-``lengths(job_id, tokens)``; searching filters the first by the query's few terms.
+The index is two plain tables, ``terms(job_id, term, field, tf)`` and ``lengths(job_id, tokens)``;
+searching filters the first by the query's few terms.  :func:`write_index` stores them, the terms in
+order, so that a search reads the files of its words alone.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 from operator import or_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnLike, col
@@ -26,10 +28,26 @@ MIN_IDF = 1e-6
 FIELDS = ("title", "company", "description")
 
 
-def tokenize(text: ColumnLike) -> Column:
-    """Lower-cased runs of letters and digits."""
+# Latin letters with marks, and the letters that are left without them.
+_MARKED = {
+    chr(cp): base for cp in range(0xC0, 0x250)
+    if (base := unicodedata.normalize("NFD", chr(cp))[0]) != chr(cp) and chr(cp).islower()
+}
+
+
+def fold(text: ColumnLike) -> Column:
+    """Lower-cased text with the accents of Latin letters removed."""
     lowered = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.regexp_extract_all(lowered, F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
+    return F.translate(lowered, "".join(_MARKED), "".join(_MARKED.values()))
+
+
+def _folded(word: str) -> str:
+    return word.lower().translate(str.maketrans(_MARKED))
+
+
+def tokenize(text: ColumnLike) -> Column:
+    """Lower-cased runs of letters and digits, accents folded."""
+    return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
 def posting_tokens(
@@ -60,14 +78,14 @@ def build_terms(
     """The inverted table, with counts pre-aggregated inside the map tasks.
 
     ``tf`` counts a term per document and field.  Positions are not kept here: phrase search
-    reads :func:`posting_tokens` for the few documents that hold all its words.
+    reads :func:`posting_tokens` for the documents that hold all its words.
     """
     counts = posting_tokens(docs, fields, id_column).groupBy("job_id", "field", "token").agg(
         F.count(F.lit(1)).alias("tf")
     )
     if not stem:
         return counts.withColumnRenamed("token", "term")
-    stemmed = counts.join(stems(posting_tokens(docs, fields, id_column)), "token")
+    stemmed = counts.join(stems(counts), "token")
     return stemmed.groupBy("job_id", "field", "term").agg(F.sum("tf").alias("tf"))
 
 
@@ -81,6 +99,20 @@ def build_lengths(
     return docs.select(F.col(id_column).alias("job_id"), total.cast("bigint").alias("tokens"))
 
 
+def write_index(
+    docs: DataFrame, root: str, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id", stem: bool = True
+) -> None:
+    """Store the index under ``root``: terms in order, a frequent one over as many files as it fills."""
+    terms = build_terms(docs, fields, id_column, stem)
+    terms.repartitionByRange("term", "job_id").sortWithinPartitions("term", "job_id").write.parquet(f"{root}/terms")
+    build_lengths(docs, fields, id_column).write.parquet(f"{root}/lengths")
+
+
+def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    """The stored ``(terms, lengths)``."""
+    return spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/lengths")
+
+
 def refresh_terms(terms: DataFrame, changed_docs: DataFrame, removed_ids: DataFrame, **options) -> DataFrame:
     """The index after some documents changed or disappeared, without reading the others' texts."""
     gone = removed_ids.select("job_id").union(changed_docs.select("job_id")).distinct()
@@ -88,7 +120,7 @@ def refresh_terms(terms: DataFrame, changed_docs: DataFrame, removed_ids: DataFr
 
 
 def _query_terms(query: list[str], stem: bool) -> list[str]:
-    words = [w.lower() for w in query]
+    words = [_folded(w) for w in query]
     return [porter_stem(w) for w in words] if stem else words
 
 
@@ -139,9 +171,11 @@ def matching_slots(terms: DataFrame, query: list[str], stem: bool = True, prefix
 
 def search(
     docs: DataFrame, terms: DataFrame, lengths: DataFrame, query: list[str], k: int = 20,
-    stem: bool = True, prefix: bool = False,
+    stem: bool = True, prefix: bool = False, field: str | None = None,
 ) -> DataFrame:
-    """Top ``k`` documents holding every query word, best first."""
+    """Top ``k`` documents holding every query word (in ``field``, if given), best first."""
+    if field is not None:
+        terms = terms.filter(F.col("field") == field)
     scored = _weigh(matching_slots(terms, query, stem, prefix), lengths, len(query))
     top = scored.orderBy(F.desc("score"), "job_id").limit(k)
     return docs.join(top, "job_id").orderBy(F.desc("score"), "job_id")
@@ -153,11 +187,12 @@ def phrase_hits(
 ) -> DataFrame:
     """``(job_id, slot, tf)``: times the words stand next to each other in one field."""
     tokens = posting_tokens(docs, fields, id_column)
+    words = _query_terms(phrase, stem)
     if stem:
-        tokens = tokens.join(stems(tokens), "token").drop("token")
+        # Of all words, only those of the phrase's stems meet the tokens.
+        tokens = tokens.join(stems(tokens).filter(F.col("term").isin(*words)), "token").drop("token")
     else:
         tokens = tokens.withColumnRenamed("token", "term")
-    words = _query_terms(phrase, stem)
     # Every occurrence votes for the position the phrase would start at.
     votes = F.filter(
         F.array(*[F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(words)]),
@@ -174,8 +209,17 @@ def phrase_hits(
 
 def search_phrase(
     docs: DataFrame, lengths: DataFrame, phrase: list[str], k: int = 20,
-    fields: tuple[str, ...] = FIELDS, stem: bool = True,
+    fields: tuple[str, ...] = FIELDS, stem: bool = True, terms: DataFrame | None = None,
 ) -> DataFrame:
-    scored = _weigh(phrase_hits(docs, phrase, fields, stem=stem), lengths, 1)
+    """Top ``k`` documents with the words next to each other in a field.
+
+    With ``terms`` only the documents that hold all the words are read.
+    """
+    held = docs
+    if terms is not None:
+        words = set(_query_terms(phrase, stem))
+        ids = terms.filter(F.col("term").isin(*words)).groupBy("job_id").agg(F.countDistinct("term").alias("n"))
+        held = docs.join(ids.filter(F.col("n") == len(words)), "job_id", "left_semi")
+    scored = _weigh(phrase_hits(held, phrase, fields, stem=stem), lengths, 1)
     top = scored.orderBy(F.desc("score"), "job_id").limit(k)
     return docs.join(top, "job_id").orderBy(F.desc("score"), "job_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import search as X
+from ..session import scratch_path
 from .registry import query
 
 _FIELDS = ("title", "description")
@@ -18,9 +19,9 @@ def _docs(t):
 
 _SQL_TOKENS = """d AS (SELECT doc_id AS job_id, concat('Posting ', lang, ' that ', source) AS title, text FROM documents),
     tokens AS (SELECT job_id, 'title' AS field, t, p FROM (SELECT job_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (
-            SELECT job_id, list_filter(regexp_split_to_array(lower(title), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM d))
+            SELECT job_id, list_filter(regexp_split_to_array(strip_accents(lower(title)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM d))
         UNION ALL SELECT job_id, 'description', t, p FROM (SELECT job_id, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (
-            SELECT job_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM d))),
+            SELECT job_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM d))),
     lens AS (SELECT job_id, count(*) AS tokens FROM tokens GROUP BY 1),
     facts AS (SELECT count(*) AS n, avg(tokens) AS average FROM (SELECT d.job_id, coalesce(tokens, 0) AS tokens FROM d LEFT JOIN lens USING (job_id)))"""
 
@@ -35,8 +36,10 @@ def _sql_rank(hits: str, wanted: int) -> str:
 
 
 def _indexed(t, stem=False):
-    docs = _docs(t)
-    return docs, X.build_terms(docs, _FIELDS, stem=stem), X.build_lengths(docs, _FIELDS)
+    """The documents, and their index as it is read from the shared folder."""
+    docs, root = _docs(t), scratch_path(t.spark, "index")
+    X.write_index(docs, root, _FIELDS, stem=stem)
+    return docs, *X.read_index(t.spark, root)
 
 
 @query("build_terms", sql=f"WITH {_SQL_TOKENS} SELECT t AS term, count(DISTINCT job_id) AS docs, count(*) AS tf FROM tokens GROUP BY 1")
@@ -63,16 +66,22 @@ def bm25_prefix(t):
     return X.search(docs, terms, lengths, ["the", "onwh"], stem=False, prefix=True).select("job_id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_field", sql=_sql_rank("SELECT job_id, t AS slot, count(*) AS tf FROM tokens WHERE t = 'src7' AND field = 'title' GROUP BY 1, 2", 1))
+def bm25_field(t):
+    docs, terms, lengths = _indexed(t)
+    return X.search(docs, terms, lengths, ["SRC7"], stem=False, field="title").select("job_id", F.round("score", 6).alias("score"))
+
+
 @query("bm25_phrase", sql=_sql_rank("""SELECT a.job_id, 0 AS slot, count(*) AS tf FROM tokens a JOIN tokens b
     ON a.job_id = b.job_id AND a.field = b.field AND b.p = a.p + 1 WHERE a.t = 'of' AND b.t = 'the' GROUP BY 1""", 1))
 def bm25_phrase(t):
-    docs = _docs(t)
-    lengths = X.build_lengths(docs, _FIELDS)
-    return X.search_phrase(docs, lengths, ["of", "the"], fields=_FIELDS, stem=False).select("job_id", F.round("score", 6).alias("score"))
+    docs, terms, lengths = _indexed(t)
+    return X.search_phrase(docs, lengths, ["of", "the"], fields=_FIELDS, stem=False, terms=terms).select("job_id", F.round("score", 6).alias("score"))
 
 
-# Stemming has no SQL equivalent; the words below fold several endings into one term.
-@query("bm25_search_porter")
+# SQL cannot stem, but the words that share the stems of this query can be listed.
+@query("bm25_search_porter", sql=_sql_rank("""SELECT job_id, CASE WHEN t LIKE 'that%' THEN 0 ELSE 1 END AS slot, count(*) AS tf FROM tokens
+    WHERE t IN ('that', 'thats', 'thated', 'thating', 'tion', 'tions', 'tione', 'tiones', 'tioned', 'tioning') GROUP BY 1, 2""", 2))
 def bm25_search_porter(t):
     docs, terms, lengths = _indexed(t, stem=True)
     return X.search(docs, terms, lengths, ["that", "tions"], stem=True).select("job_id", F.round("score", 6).alias("score"))

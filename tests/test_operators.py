@@ -291,6 +291,17 @@ def test_search_equals_brute_force(spark, stem):
     assert phrase == {k for k, t in docs.items() if re.search(pattern, t)}
 
 
+def test_stored_index_folds_accents_and_knows_fields(spark, tmp_path):
+    df = spark.createDataFrame([("a", "Café", "Co", "tea"), ("b", "Bar", "Co", "the cafe NOËL"), ("c", "Bar", "Co", "noel the café")],
+                               "job_id string, title string, company string, description string")
+    Z.write_index(df, str(tmp_path / "index"), stem=False)
+    terms, lengths = Z.read_index(spark, str(tmp_path / "index"))
+    found = lambda *q, **o: {r["job_id"] for r in Z.search(df, terms, lengths, list(q), stem=False, **o).collect()}
+    assert found("CAFÉ") == {"a", "b", "c"} and found("cafe", field="title") == {"a"} and found("noël", "the") == {"b", "c"}
+    phrase = Z.search_phrase(df, lengths, ["The", "cafe"], stem=False, terms=terms).collect()
+    assert [r["job_id"] for r in phrase] == ["b", "c"]
+
+
 def test_similarity_keeps_scores_of_minor_changes(spark):
     words = [f"w{i}" for i in range(200)]
     a, b, c = " ".join(words), " ".join(words[:-3] + ["new"]), " ".join(reversed(words))
