@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from ..sources.tables import current_version, scan_jobs
+from ..sources.tables import read_updates, scan_jobs
 from ..streaming import streams as S
 from .inputs import ORDER
 from .registry import Tables, query
@@ -32,10 +32,6 @@ class _Streamed(Tables):
         setattr(self, name, as_stream(tables, name))
 
 
-def _latest(t, root: str):
-    return t.spark.read.parquet(current_version(t.spark, root)[1])
-
-
 def _streamed_calls(t):
     calls = _Streamed(t, "events").inputs.unpriced_calls()
     from ..plans.costs import price_calls
@@ -49,16 +45,16 @@ def _streamed_calls(t):
         round(sum(est_cost_gbp), 4) AS est_cost_gbp FROM calls GROUP BY ALL""")
 def stream_cost(t):
     root = scratch_path(t.spark, "stream-cost")
-    finish(S.write_latest(S.stream_cost(_streamed_calls(t)), f"{root}/table", f"{root}/progress"))
-    return _latest(t, f"{root}/table").withColumn("est_cost_gbp", F.round("est_cost_gbp", 4))
+    finish(S.write_updates(S.stream_cost(_streamed_calls(t)), f"{root}/table", f"{root}/progress"))
+    return read_updates(t.spark, f"{root}/table", ["day", "operation", "model"]).withColumn("est_cost_gbp", F.round("est_cost_gbp", 4))
 
 
 @query("stream_soft_cap", uses=("calls",), sql="""
     SELECT CAST(timestamp AS DATE) AS day, round(sum(est_cost_gbp), 4) AS cost_gbp FROM calls GROUP BY 1 HAVING sum(est_cost_gbp) > 0.42""")
 def stream_soft_cap(t):
     root = scratch_path(t.spark, "stream-cap")
-    finish(S.write_latest(S.stream_soft_cap(_streamed_calls(t), 0.42), f"{root}/table", f"{root}/progress"))
-    return _latest(t, f"{root}/table").withColumn("cost_gbp", F.round("cost_gbp", 4))
+    finish(S.write_updates(S.stream_soft_cap(_streamed_calls(t), 0.42), f"{root}/table", f"{root}/progress"))
+    return read_updates(t.spark, f"{root}/table", ["day"]).withColumn("cost_gbp", F.round("cost_gbp", 4))
 
 
 @query("stream_dedup", sql="SELECT DISTINCT user_id, event_type FROM events")

@@ -287,3 +287,26 @@ def conformed(t):
         "job_id", "source", "title", "company", "url", *_summary("description"), "jd_content_hash",
         "closes_on", "posted_date", "salary_raw", "salary_min", "salary_max",
     )
+
+
+@query("conform_with_packs", sql="""
+    SELECT 'https://x.example/p/' || p_partkey AS url, CAST((10 + p_size) * CASE WHEN p_partkey % 2 = 0 THEN 1820 ELSE 1880 END AS BIGINT) AS salary_min,
+        CASE WHEN p_partkey % 2 = 0 THEN make_date(2002, 3, CAST(1 + p_partkey % 28 AS INT)) END AS closes_on,
+        CASE WHEN p_partkey % 3 = 0 THEN 53.8::DOUBLE END AS lat, CASE WHEN p_partkey % 3 = 0 THEN -1.5::DOUBLE END AS lon FROM part""")
+def conformed_with_packs(t):
+    """Half of the rows have a domain with its own pay rules and closing wording; a third have a known place."""
+    even = F.col("p_partkey") % 2 == 0
+    raw = t.part.select(
+        F.col("p_name").alias("title"), F.col("p_brand").alias("company"),
+        F.concat(F.lit("https://x.example/p/"), F.col("p_partkey").cast("string")).alias("url"),
+        F.when(F.col("p_partkey") % 3 == 0, "Leeds").when(F.col("p_partkey") % 3 == 1, "Remote").otherwise("Elsewhere").alias("location"),
+        F.concat(F.lit("£"), (F.col("p_size") + 10).cast("string")).alias("salary"),
+        F.concat(F.col("p_type"), F.lit("\nDoors shut: "), (1 + F.col("p_partkey") % 28).cast("string"), F.lit(" March 2002")).alias("description"),
+        F.when(even, "care").otherwise("other").alias("domain"))
+    packs = t.region.limit(1).select(
+        F.lit("care").alias("name"),
+        F.struct(F.lit("hourly_gbp").alias("default_unit"), F.lit(True).alias("agenda_for_change_bands"),
+                 F.lit(1820).alias("hourly_to_annual_multiplier"), F.lit(230).alias("daily_to_annual_multiplier")).alias("salary"),
+        F.array(F.lit(r"Doors shut: ([^\n]+)"), F.lit("a signal")).alias("closing_date_patterns"))
+    places = t.region.limit(1).select(F.lit("Leeds").alias("location_key"), F.lit(53.8).alias("lat"), F.lit(-1.5).alias("lon"))
+    return conform(raw, "2001-08-01", places, packs).select("url", "salary_min", "closes_on", "lat", "lon")

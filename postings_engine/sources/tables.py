@@ -87,6 +87,12 @@ def read_history(spark: SparkSession, root: str) -> DataFrame | None:
     return keep_first(reduce(DataFrame.unionByName, parts), ["job_id"], [F.desc("_version")]).drop("_version")
 
 
+def read_updates(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    """A table kept by updates: the newest row per key over all recorded versions."""
+    parts = [spark.read.parquet(e["path"]).withColumn("_version", F.lit(e["version"])) for e in _recorded(spark, root)]
+    return keep_first(reduce(DataFrame.unionByName, parts), keys, [F.desc("_version")]).drop("_version")
+
+
 def scan_jobs(spark: SparkSession, root: str, *columns: str) -> DataFrame:
     """The current history table, reading only the named columns."""
     df = read_history(spark, root)

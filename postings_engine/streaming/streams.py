@@ -85,11 +85,17 @@ def stream_soft_cap(calls: DataFrame, cap: float = SOFT_CAP_GBP, delay: str = "1
     return daily.filter(F.col("cost_gbp") > cap).select(F.to_date("window.start").alias("day"), "cost_gbp")
 
 
-def write_latest(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the newest full result of an aggregation as a table: one folder per micro-batch."""
+def write_updates(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Keep an aggregation as a table: each micro-batch adds the rows that it changed.
+
+    In update mode the watermark lets old days leave the state, and a batch writes changed rows alone;
+    :func:`postings_engine.sources.tables.read_updates` gives the newest row per key.
+    """
     def store(batch: DataFrame, batch_id: int) -> None:
-        if not has_batch(batch.sparkSession, path, stream_id(batch.sparkSession, checkpoint), batch_id):
-            found = current_version(batch.sparkSession, path)
-            write_version(batch, path, found[0] + 1 if found else 1, stream=stream_id(batch.sparkSession, checkpoint), batch=batch_id)
+        session = batch.sparkSession
+        stream = stream_id(session, checkpoint)
+        if not has_batch(session, path, stream, batch_id):
+            found = current_version(session, path)
+            write_version(batch, path, found[0] + 1 if found else 1, "delta" if found else "full", stream, batch_id)
 
-    return df.writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", checkpoint)
+    return df.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
