@@ -25,6 +25,8 @@ SIZES, BITS = (1, 2, 3, 4), 15
 FOLDS, HELD_OUT = 3, 1
 # The sample: texts per language, and how many of these are landmarks.
 SAMPLE, LANDMARKS = 300, 40
+# Languages that can be learned: the most frequent values of lang.
+LANGUAGES = 200
 RIDGE = 1e-2
 # Scores are spread over the languages by a softmax of this sharpness.
 SHARPNESS = 8.0
@@ -91,15 +93,16 @@ def _gram_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from about ``sample`` texts per language (doc_id, text, lang), drawn by a hash of doc_id.
+    """Learn from about ``sample`` texts per language (doc_id, text, lang), drawn by a hash.
 
-    The held-out fold and null languages are left out.  Languages are counted first; then each row tells by
-    itself whether it is drawn, so nothing but the drawn texts' n-grams is gathered.
+    The held-out fold and null languages are left out, and so are languages beyond the LANGUAGES most frequent.
+    Languages are counted first; then each row tells by itself whether it is drawn, by a hash of id and text, so nothing but
+    the drawn texts' n-grams is gathered.  Equal rows are drawn once.
     """
     known = (docs.select("doc_id", F.col("lang").cast("string").alias("lang"), python_text(docs).alias("text"))
              .filter("lang is not null").filter(~held_out("doc_id", FOLDS, HELD_OUT)))
-    sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
-    taken = known.join(sizes, "lang").filter(drawn(F.xxhash64("doc_id"), sample, F.col("n"))).select("lang", "text")
+    sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES), "languages")
+    taken = known.join(sizes, "lang").filter(drawn(F.xxhash64("doc_id", "text"), sample, F.col("n"))).dropDuplicates(["doc_id", "lang", "text"]).select("lang", "text")
     rows = sorted((r["lang"], bytes(r["slots"])) for r in stored(taken.mapInPandas(_gram_rows, "lang string, slots binary"), "lang-sample").collect())
     # Landmarks are the first texts of a language; a hash order makes them a fair draw.
     rows.sort(key=lambda r: (r[0], hash_of(r[1])))

@@ -120,12 +120,12 @@ def training_labels(labels: DataFrame, label: str) -> DataFrame:
 
 
 def sample_rows(docs: DataFrame, known: DataFrame, totals: dict[int, int], sample: int) -> DataFrame:
-    """``y, slots`` of about ``sample`` labelled documents per class."""
+    """``y, slots`` of about ``sample`` labelled documents per class; of rows that repeat an id one is taken."""
     of = F.when(F.col("y") == 1, F.lit(totals.get(1, 0))).otherwise(F.lit(totals.get(0, 0)))
-    chosen = known.filter(drawn(F.xxhash64("doc_id"), sample, of))
+    chosen = known.filter(drawn(F.xxhash64("doc_id"), sample, of)).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), python_text(docs).alias("text"))
     # The chosen ids are about two samples: the texts stay where they are.
-    taken = texts.join(F.broadcast(chosen), "doc_id").select("y", "text")
+    taken = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "y"]).select("y", "text")
     return stored(taken.mapInPandas(_gram_rows, "y int, slots binary"), "toxic-sample")
 
 
