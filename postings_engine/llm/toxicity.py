@@ -29,7 +29,6 @@ FEATURES = 768
 MIN_CHI = 10.83
 RIDGE = 1.0
 THRESHOLD = 0.5
-SEGMENT = 1 << 14
 
 
 @dataclass
@@ -52,15 +51,13 @@ def _counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for y, slots in zip(batch["y"], batch["slots"]):
             counts[y, np.frombuffer(slots, np.int32)] += 1
     for y in range(2):
-        for at in range(0, 1 << BITS, SEGMENT):
-            if counts[y, at:at + SEGMENT].any():
-                yield pd.DataFrame({"y": [y], "at": [at], "counts": [counts[y, at:at + SEGMENT]]})
+        slots = np.flatnonzero(counts[y])
+        yield pd.DataFrame({"y": np.full(len(slots), y, np.int32), "slot": slots, "n": counts[y, slots]})
 
 
 def count_grams(rows: DataFrame) -> np.ndarray:
-    """Texts per class and n-gram: two arrays of fixed size, summed by segment on the executors."""
-    parts = rows.mapInPandas(_counts, "y int, at int, counts array<long>").select("y", "at", F.posexplode("counts").alias("i", "n"))
-    summed = parts.groupBy("y", (F.col("at") + F.col("i")).alias("slot")).agg(F.sum("n").alias("n")).filter("n > 0")
+    """Texts per class and n-gram: two arrays of fixed size, summed on the executors."""
+    summed = rows.mapInPandas(_counts, "y int, slot int, n long").groupBy("y", "slot").agg(F.sum("n").alias("n"))
     out = np.zeros((2, 1 << BITS))
     found = summed.toPandas()
     out[found["y"].to_numpy(np.int64), found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.float64)
