@@ -17,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """A narrow table written to the shared folder in files of Spark's advisory size, and read back.
+    """A narrow table written to the shared folder and read back, in no more files than the cluster has cores.
 
     The tasks that made it may be many more than such a table is worth files.
     """
-    return materialise(df.hint("rebalance"), label)
+    return materialise(df.hint("rebalance").coalesce(df.sparkSession.sparkContext.defaultParallelism), label)
 
 
 def whole_text(name: str = "text") -> Column:
