@@ -144,11 +144,12 @@ def explain_filters(df: DataFrame, profile: Mapping, jobs: DataFrame | None, as_
 
 
 def filter_for_profiles(
-    pairs: DataFrame, as_of, posting: str = "p", profile: str = "f"
+    pairs: DataFrame, as_of, posting: str = "p", profile: str = "f", jobs: DataFrame | None = None,
 ) -> DataFrame:
-    """The column rules for (posting, profile) pairs held as two struct columns.
+    """The rules of :func:`apply_filters` for (posting, profile) pairs held as two struct columns.
 
-    The pairs come from an equi join (see ``operators.matching``), never from a cross join.
+    The pairs come from an equi join (see ``operators.matching``), never from a cross join.  ``jobs`` is the
+    history for the cooldown: the last rejection of a company is compared with each profile's own limit.
     """
     as_of = F.lit(as_of).cast("date")
 
@@ -174,14 +175,20 @@ def filter_for_profiles(
         distance <= F.coalesce(f("search_radius_miles"), F.lit(DEFAULT_RADIUS_MILES)), F.lit(True)
     )
     title_hit = F.exists(
-        terms, lambda t: F.rlike(p("title"), F.concat(F.lit(r"(?iU)\b\Q"), t, F.lit(r"\E\b")))
+        terms, lambda t: F.rlike(F.coalesce(p("title"), F.lit("")), F.concat(F.lit(r"(?iU)\b\Q"), t, F.lit(r"\E\b")))
     )
+    if jobs is not None:
+        rejected = jobs.filter(F.col("status") == "rejected").groupBy(F.lower("company").alias("_company")).agg(
+            F.max("last_seen").alias("_rejected"))
+        days = F.coalesce(f("filters.rejected_company_cooldown_days"), F.lit(DEFAULT_COOLDOWN_DAYS))
+        cooling = F.coalesce(F.col("_rejected") >= F.date_sub(as_of, days), F.lit(False))
+        pairs = pairs.join(rejected, F.lower(p("company")) == F.col("_company"), "left").filter(~cooling).drop("_company", "_rejected")
     return pairs.filter(
         p("salary_max").isNull() | (floor == 0) | (p("salary_max") >= floor)
     ).filter(
         p("posted_date").isNull() | (F.datediff(as_of, p("posted_date")) <= max_age)
     ).filter(
-        ~F.exists(blocked, lambda c: F.lower(c) == F.lower(p("company")))
+        ~F.exists(blocked, lambda c: F.lower(c) == F.lower(F.coalesce(p("company"), F.lit(""))))
     ).filter(~title_hit).filter(
         F.coalesce(f("remote_ok"), F.lit(True)) | is_remote(p("location")) | near
     )

@@ -1,27 +1,24 @@
 """Scoring many profiles against many postings without pairing every one with every other.
 
-A posting meets a profile only through a skill the posting's text contains: the distinct skills of
-all profiles are looked for in each text, and the hits join the profiles on the skill.
+A posting meets a profile only through a skill the posting's text contains.  Each distinct skill is looked up
+by one gram of its characters, the texts that hold this gram are read again, and the hits join the
+profiles on the skill.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, strings
-from ..session import ship_code
 from .scoring import (
-    ADJACENT_WEIGHT, CORE_WEIGHT, MAX_KEYWORDS, TEXT_PENALTY, TITLE_PENALTY,
+    ADJACENT_WEIGHT, CORE_WEIGHT, MAX_KEYWORDS, NEUTRAL_SCORE, TEXT_PENALTY, TITLE_PENALTY,
 )
 
-# Up to this many distinct words are looked for by native expressions; more by an automaton.
-NATIVE_WORDS = 64
-# Distinct words one automaton may hold; a larger dictionary is split into several passes.
-WORDS_PER_AUTOMATON = 500_000
+# Characters of a gram; a shorter word is its own gram.
+GRAM = 4
+# Bits of the filter of grams that the texts' own grams pass before they travel: 128 kB, whatever the dictionary.
+FILTER_BITS = 1 << 20
 
 
 def profile_words(profiles: DataFrame) -> DataFrame:
@@ -40,101 +37,116 @@ def profile_words(profiles: DataFrame) -> DataFrame:
     ).withColumn("word", F.lower("word"))
 
 
-def _hits_native(texts: DataFrame, words: list[str]) -> DataFrame:
-    found = F.filter(strings(words), lambda w: F.contains(F.col("text"), w))
-    return texts.select("job_id", "title_chars", F.explode(
-        F.transform(found, lambda w: F.struct(
-            w.alias("word"),
-            # The title stands first in the text.
-            F.contains(F.substring("text", F.lit(1), F.col("title_chars")), w).alias("in_title"),
-        ))
-    ).alias("h")).select("job_id", "h.*")
-
-
-def _hits_automaton(texts: DataFrame, words: list[str]) -> DataFrame:
-    ship_code(__name__)
-    shared = texts.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in shared.value:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        for frame in batches:
-            rows = []
-            for job_id, chars, text in zip(frame["job_id"], frame["title_chars"], frame["text"]):
-                ends: dict[str, int] = {}
-                for end, word in automaton.iter(text):
-                    ends.setdefault(word, end)
-                rows += [(job_id, word, end < chars) for word, end in ends.items()]
-            yield pd.DataFrame(rows, columns=["job_id", "word", "in_title"])
-
-    return texts.select("job_id", "title_chars", "text").mapInPandas(
-        run, "job_id string, word string, in_title boolean"
-    )
+def _overlapping(text: Column) -> Column:
+    """All runs of ``GRAM`` characters of a text, distinct, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _text_grams(text: Column) -> Column:
+    """Distinct runs of 1 to ``GRAM`` characters; the shorter ones begin a full run of the padded text."""
+    def starts(full: Column, n: int) -> Column:
+        return F.array_distinct(F.transform(full, lambda g: F.substring(g, 1, n)))
+
+    padded = F.concat(text, F.lit("\0" * (GRAM - 1)))
+    return bind(_overlapping(padded), lambda full: F.concat(full, *[starts(full, n) for n in range(1, GRAM)]))
+
+
+def _anchors(words: DataFrame) -> DataFrame:
+    """``(word, gram)``: of the grams of a word the one that the fewest words have."""
+    whole = F.length("word") < GRAM
+    grams = words.select("word", F.explode(F.when(whole, F.array("word")).otherwise(_overlapping(F.col("word")))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("_words"))
+    return grams.join(shared, "gram").groupBy("word").agg(F.min_by("gram", F.struct("_words", "gram")).alias("gram"))
+
+
+def _place(gram: str) -> tuple[Column, Column]:
+    """Slot and bit of a gram in the filter."""
+    at = F.pmod(F.xxhash64(gram), F.lit(FILTER_BITS))
+    return F.floor(at / 64).cast("int"), (at % 64).cast("int")
+
+
+def _filter_bits(anchors: DataFrame) -> Column:
+    """The filter: an array of 64-bit slots with the bits of all anchors set, as a scalar subquery."""
+    slot, bit = _place("gram")
+    slots = anchors.select(slot.alias("slot"), bit.alias("bit")).groupBy("slot").agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))).alias("bits"))
+    places = anchors.sparkSession.range(FILTER_BITS // 64).select(F.col("id").cast("int").alias("slot"))
+    listed = places.join(slots, "slot", "left").agg(
+        F.array_sort(F.collect_list(F.struct("slot", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits")))).alias("all"))
+    return listed.select(F.transform("all", lambda s: s["bits"])).scalar()
 
 
 def word_hits(postings: DataFrame, words: DataFrame) -> DataFrame:
     """``(job_id, word, in_title)`` for every distinct word contained in title or description.
 
-    The dictionary is read in chunks of a bounded size, by hash of the word; each chunk is one
-    narrow pass over the texts.
+    ``job_id`` is unique; empty words are left out.  Grams that may be a word's anchor travel, without the texts.
+    A text then meets its own candidates alone, and ``contains`` decides.
     """
-    texts = postings.select(
-        "job_id",
-        F.length(F.lower(F.coalesce("title", F.lit("")))).alias("title_chars"),
-        F.concat(F.lower(F.coalesce("title", F.lit(""))), F.lit(" "), F.lower(F.coalesce("description", F.lit("")))).alias("text"),
-    )
+    title, description = (F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "description"))
+    texts = postings.select("job_id", title.alias("title"), F.concat(title, F.lit(" "), description).alias("text"))
     distinct = words.select("word").filter(F.col("word") != "").distinct()
-    total = distinct.count()
-    chunks = max(1, -(-total // WORDS_PER_AUTOMATON))
-    out = None
-    for chunk in range(chunks):
-        part = distinct.filter(F.pmod(F.xxhash64("word"), F.lit(chunks)) == chunk) if chunks > 1 else distinct
-        listed = sorted(row["word"] for row in part.collect())
-        hits = (_hits_native if total <= NATIVE_WORDS else _hits_automaton)(texts, listed)
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def profiles_x_postings(profiles: DataFrame, postings: DataFrame) -> DataFrame:
-    """``(profile_id, job_id, score, keywords)`` for pairs sharing at least one skill.
-
-    All other pairs score 0 (or the neutral 5 of a profile without skills) and are not listed.
-    Scores equal :func:`postings_engine.operators.scoring.keyword_prescore`.
+    grams = texts.select("job_id", F.explode(_text_grams(F.col("text"))).alias("gram"))
+    anchors = _anchors(distinct)
+    slot, bit = _place("gram")
+    grams = grams.filter(F.getbit(F.get(_filter_bits(anchors), slot), bit) == 1)
+    candidates = grams.join(anchors, "gram").groupBy("job_id").agg(F.collect_set("word").alias("words"))
+    found = F.filter("words", lambda w: F.contains(F.col("text"), w))
+    hits = F.transform(found, lambda w: F.struct(w.alias("word"), F.contains(F.col("title"), w).alias("in_title")))
+    return texts.join(candidates, "job_id").select("job_id", F.explode(hits).alias("h")).select("job_id", "h.*")
+
+
+def profiles_x_postings(
+    profiles: DataFrame, postings: DataFrame, min_score: float | None = None, best: int | None = None,
+) -> DataFrame:
+    """``(profile_id, job_id, score, keywords)`` for pairs sharing at least one skill that is not empty.
+
+    Scores equal :func:`postings_engine.operators.scoring.keyword_prescore`; an empty word counts as in every
+    text.  Other pairs of a profile with skills score 0 or less than its empty words give, and are not listed.  A profile without
+    skills gives every posting the neutral 5 less penalties: it has one row, without a posting.
+    ``min_score`` and ``best`` (postings per profile, ties by id) bound what is listed.
     """
     words = profile_words(profiles)
-    hits = word_hits(postings, words)
-    weights = profiles.select(
-        "profile_id",
-        (
-            F.size(F.coalesce("core_skills", strings([]))) * CORE_WEIGHT
-            + F.size(F.coalesce("adjacent_skills", strings([]))) * ADJACENT_WEIGHT
-        ).alias("best"),
+    def empty(kind: str) -> Column:
+        return F.count_if((F.col("kind") == kind) & (F.col("word") == ""))
+
+    facts = words.groupBy("profile_id").agg(
+        F.count_if(F.col("kind") == "core").alias("n_core"), F.count_if(F.col("kind") == "adjacent").alias("n_adjacent"),
+        empty("core").alias("empty_core"), empty("adjacent").alias("empty_adjacent"),
+        (empty("title") > 0).alias("any_title"), (empty("text") > 0).alias("any_text"),
+        F.collect_list(F.when((F.col("kind") == "core") & (F.col("word") == ""), F.struct("ordinal", "word"))).alias("blanks"),
     )
     # A pair collects at most the profile's own words: a short list, whatever the table's size.
-    pairs = hits.join(words, "word").groupBy("profile_id", "job_id").agg(
+    pairs = word_hits(postings, words).join(words, "word").groupBy("profile_id", "job_id").agg(
         F.count_if(F.col("kind") == "core").alias("core"),
         F.count_if(F.col("kind") == "adjacent").alias("adjacent"),
         F.max((F.col("kind") == "title") & F.col("in_title")).alias("bad_title"),
         F.max(F.col("kind") == "text").alias("bad_text"),
-        F.array_sort(
-            F.collect_list(F.when(F.col("kind") == "core", F.struct("ordinal", "word")))
-        ).alias("matched"),
+        F.collect_list(F.when(F.col("kind") == "core", F.struct("ordinal", "word"))).alias("matched"),
     ).filter((F.col("core") > 0) | (F.col("adjacent") > 0))
-    scored = pairs.join(weights, "profile_id")
+    scored = pairs.join(facts, "profile_id")
 
-    points = F.col("core") * CORE_WEIGHT + F.col("adjacent") * ADJACENT_WEIGHT
-    base = F.least(F.lit(10.0), points / F.col("best") * 10.0)
+    points = (F.col("core") + F.col("empty_core")) * CORE_WEIGHT + (F.col("adjacent") + F.col("empty_adjacent")) * ADJACENT_WEIGHT
+    most = F.col("n_core") * CORE_WEIGHT + F.col("n_adjacent") * ADJACENT_WEIGHT
+    base = F.least(F.lit(10.0), points / most * 10.0)
 
     def penalised(score: Column) -> Column:
-        after = F.when(F.col("bad_title"), F.greatest(F.lit(0.0), score - TITLE_PENALTY)).otherwise(score)
-        return F.when(F.col("bad_text"), F.greatest(F.lit(0.0), after - TEXT_PENALTY)).otherwise(after)
+        bad_title, bad_text = F.col("bad_title") | F.col("any_title"), F.col("bad_text") | F.col("any_text")
+        after = F.when(bad_title, F.greatest(F.lit(0.0), score - TITLE_PENALTY)).otherwise(score)
+        return F.when(bad_text, F.greatest(F.lit(0.0), after - TEXT_PENALTY)).otherwise(after)
 
-    return scored.select(
+    matched = F.array_sort(F.concat("matched", "blanks"))
+    out = scored.select(
         "profile_id", "job_id",
         F.round(bind(base, penalised), 2).alias("score"),
-        F.slice(F.transform("matched", lambda m: m["word"]), 1, MAX_KEYWORDS).alias("keywords"),
+        F.slice(F.transform(matched, lambda m: m["word"]), 1, MAX_KEYWORDS).alias("keywords"),
     )
+    if min_score is not None:
+        out = out.filter(F.col("score") >= min_score)
+    if best is not None:
+        rank = F.row_number().over(Window.partitionBy("profile_id").orderBy(F.desc("score"), "job_id"))
+        out = out.withColumn("_rank", rank).filter(F.col("_rank") <= best).drop("_rank")
+    size = lambda c: F.size(F.coalesce(c, strings([])))
+    neutral = profiles.filter((size("core_skills") == 0) & (size("adjacent_skills") == 0)).select(
+        "profile_id", F.lit(None).cast(postings.schema["job_id"].dataType).alias("job_id"),
+        F.lit(NEUTRAL_SCORE).alias("score"), strings([]).alias("keywords"))
+    return out.unionByName(neutral)

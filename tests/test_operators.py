@@ -224,32 +224,39 @@ def test_prescore_defaults(spark):
     assert (neutral["fit_score"], neutral["fit_reason"]) == (5.0, S.NOT_SCORED)
 
 
-@pytest.mark.parametrize("native", [True, False])
-def test_profiles_against_postings_equal_single_profile_scores(spark, native, monkeypatch):
-    if not native:
-        monkeypatch.setattr(Q, "NATIVE_WORDS", 0)
-        monkeypatch.setattr(Q, "WORDS_PER_AUTOMATON", 5)
+@pytest.mark.parametrize("extra", [0, 200])
+def test_profiles_against_postings_equal_single_profile_scores(spark, extra):
     rng = random.Random(2)
-    words = ["python", "c", "Excel sheet", "é", "lead", "thon", "pyth", "sales", "c++"]
+    words = ["python", "c", "Excel sheet", "é", "lead", "thon", "pyth", "sales", "c++", "", "\U0001F600 x"] + [f"skill{i}x" for i in range(extra)]
     people = []
     for i in range(12):
         people.append({
-            "profile_id": f"p{i}", "core_skills": rng.sample(words, rng.randrange(0, 4)), "adjacent_skills": rng.sample(words, 2),
+            "profile_id": f"p{i}", "core_skills": rng.sample(words, min(len(words), rng.randrange(0, 4) + extra // 4)), "adjacent_skills": rng.sample(words, 2),
             "negative_signals": {"title_excludes": rng.sample(words, 1), "description_excludes": rng.sample(words, 1)}})
-    postings = [record(f"j{i}", i, " ".join(rng.sample([w.upper() for w in words] + ["x"] * 8, 4)), title=rng.choice(["Lead c", "Clerk", "Python"])) for i in range(25)]
+    people.append({"profile_id": "none", "core_skills": [], "adjacent_skills": [],
+                   "negative_signals": {"title_excludes": ["lead"], "description_excludes": []}})
+    some = words + ["x"] * 8 if not extra else words
+    postings = [record(f"j{i}", i, " ".join(rng.sample([w.upper() for w in some], 4 + extra // 10)), title=rng.choice(["Lead c", "Clerk", "Python", ""])) for i in range(25)]
+    postings.append(record("jnull", 30, None, title=""))
     profiles = R.default_profile(spark.createDataFrame(
         [(p["profile_id"], p["core_skills"], p["adjacent_skills"], (p["negative_signals"]["title_excludes"], 3, p["negative_signals"]["description_excludes"], [])) for p in people],
         "profile_id string, core_skills array<string>, adjacent_skills array<string>, negative_signals struct<title_excludes: array<string>, requires_years_above: int, description_excludes: array<string>, company_blocklist: array<string>>"))
-    df = records(spark, postings)
+    df = records(spark, postings).withColumn("title", F.nullif("title", F.lit("")))
     got = {(r["profile_id"], r["job_id"]): (r["score"], r["keywords"]) for r in Q.profiles_x_postings(profiles, df).collect()}
-    want = {}
+    want = {("none", None): (5.0, [])}
     for p in people:
-        skills = [s.lower() for s in p["core_skills"] + p["adjacent_skills"]]
+        skills = [s.lower() for s in p["core_skills"] + p["adjacent_skills"] if s]
         for r in df.select("*", S.keyword_prescore(p).alias("s")).collect():
-            text = f"{r['title']} {r['description']}".lower()
+            text = f"{r['title'] or ''} {r['description'] or ''}".lower()
             if any(s in text for s in skills):
                 want[p["profile_id"], r["job_id"]] = (r["s"]["score"], r["s"]["keywords"])
     assert got == want
+    top = Q.profiles_x_postings(profiles, df, min_score=1.0, best=2).filter("job_id is not null").collect()
+    ranked = collections.defaultdict(list)
+    for (person, job), (score, _) in want.items():
+        if job and score >= 1.0:
+            ranked[person].append((-score, job))
+    assert {(r["profile_id"], r["job_id"]) for r in top} == {(p, j) for p, js in ranked.items() for _, j in sorted(js)[:2]}
 
 
 def python_bm25(docs, query, stem):
