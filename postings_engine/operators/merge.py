@@ -44,7 +44,8 @@ def fold_run(incoming: DataFrame, order: list[str]) -> DataFrame:
     """One row per posting of a run: ``first`` record and ``changed`` content.
 
     ``changed`` holds the content of the last record whose text differs from its predecessor's;
-    it is NULL when all records of the run carry the same text.  The look-back sorts ids, positions and
+    it is NULL when all records of the run carry the same text.  ``first_at`` and ``last_at`` are the positions, structs
+    of ``order``, of its first and last record.  The look-back sorts ids, positions and
     hashes alone; the two records that matter are then fetched by id and position, so that the
     records of a frequent posting are spread over the tasks.
     """
@@ -52,13 +53,15 @@ def fold_run(incoming: DataFrame, order: list[str]) -> DataFrame:
     narrow = incoming.select("job_id", F.col("jd_content_hash").alias("_hash"), at.alias("_at"))
     rows = previous_in_group(narrow, "job_id", ["_at"], "_hash", "_previous")
     differs = F.col("_previous").isNotNull() & ~_same(F.col("_previous.value"), F.col("_hash"))
-    marks = rows.groupBy("job_id").agg(F.min("_at").alias("_first"), F.max(F.when(differs, F.col("_at"))).alias("_changed"))
+    marks = rows.groupBy("job_id").agg(F.min("_at").alias("_first"), F.max(F.when(differs, F.col("_at"))).alias("_changed"),
+                                       F.max("_at").alias("_last"))
     wanted = marks.select("job_id", F.explode(F.array_distinct(F.array("_first", F.coalesce("_changed", "_first")))).alias("_at"),
-                          "_first", "_changed")
+                          "_first", "_changed", "_last")
     fetched = incoming.withColumn("_at", at).join(wanted, ["job_id", "_at"])
     return fetched.groupBy("job_id").agg(
         F.min_by(F.struct(*_PAYLOAD), F.when(F.col("_at") == F.col("_first"), F.col("_at"))).alias("first"),
         F.min_by(F.struct(*CONTENT_COLUMNS), F.when(F.col("_at") == F.col("_changed"), F.col("_at"))).alias("changed"),
+        F.min("_first").alias("first_at"), F.max("_last").alias("last_at"),
     )
 
 

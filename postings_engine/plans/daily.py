@@ -6,13 +6,13 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
-from ..operators.merge import close_stale, import_edits, sync
+from ..operators.merge import close_stale, fold_run, import_edits, sync
 from ..operators.scoring import ScoreBatches, prescore_and_route, score_round_trip
-from ..schema import HISTORY
+from ..schema import CONTENT_COLUMNS, HISTORY
 from ..session import materialise
 from ..sources.tables import append_run, current_version, read_history, write_version
 from .reports import run_metrics
@@ -81,11 +81,21 @@ def replay_bronze(bronze: DataFrame, day: str, order: list[str]) -> DataFrame:
     """The history rebuilt from all raw snapshots, as if each day had been merged in turn.
 
     ``bronze`` holds conformed snapshots with a partition column ``day``.  Without user edits the
-    merges compose, so a single fold ordered by day and position replaces one merge per day.
+    merges compose, so a single fold ordered by day and position replaces one merge per day: a narrow
+    look-back, and one read of the records that matter.
     """
-    spark = bronze.sparkSession
-    days = bronze.groupBy("job_id").agg(F.min(day).alias("_first"), F.max(day).alias("_last"))
-    merged = sync(empty_history(spark), bronze, [day, *order], dt.date(1970, 1, 1))
-    return merged.select(*HISTORY.names).join(days, "job_id").withColumns(
-        {"first_seen": F.col("_first"), "last_seen": F.col("_last")}
-    ).select(*HISTORY.names)
+    folded = fold_run(bronze, [day, *order])
+    made = {
+        "job_id": F.col("job_id"), "first_seen": F.col(f"first_at.{day}"), "last_seen": F.col(f"last_at.{day}"),
+        "status": F.lit("new"), "notes": F.lit(""), "last_user_edit": F.lit(None),
+    }
+
+    def column(name: str) -> Column:
+        if name in made:
+            return made[name]
+        first = F.col(f"first.{name}")
+        if name not in CONTENT_COLUMNS:
+            return first
+        return F.when(F.col("changed").isNotNull(), F.col(f"changed.{name}")).otherwise(first)
+
+    return folded.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields])

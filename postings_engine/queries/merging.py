@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import dedup as K
@@ -309,16 +311,27 @@ def append_run(t):
         "id", "duration_s", "sources_ok", "sources_failed", "jobs_scraped", "jobs_new", "jobs_closed", "errors")
 
 
-# The profile of the registered daily run; it names no skills, so all score 5.
+# The profile of the registered daily run.
 _RUN_PROFILE = {
-    "negative_signals": {"title_excludes": ["lead"], "company_blocklist": ["supplier#000000003"]},
+    "core_skills": ["Senior", "brass", "copper"], "adjacent_skills": ["specialist"],
+    "negative_signals": {"title_excludes": ["lead"], "description_excludes": [], "company_blocklist": ["supplier#000000003"]},
     "filters": {"salary_floor_gbp": 12000, "max_days_since_posted": 500, "rejected_company_cooldown_days": 590},
 }
 
 
+def _text_scorer(batches):
+    """A deterministic stand-in for an external scorer; it reads the texts that it is sent."""
+    for frame in batches:
+        answers = [json.dumps([{"s": len(r["jd"]) % 10, "c": 0.75, "r": r["company"], "k": [r["title"]]} for r in json.loads(p)])
+                   for p in frame["payload"]]
+        yield pd.DataFrame({"batch_id": frame["batch_id"], "response": answers})
+
+
 @query("daily_run", uses=("versions",), sql=f"""{_EDITED},
     now AS (SELECT h.* EXCLUDE (status), e.status FROM history h JOIN edited e ON h.job_id = e.job_id),
-    kept AS (SELECT * FROM versions WHERE seen_date >= DATE '{SPLIT_DAY}' AND CAST(l_quantity AS BIGINT) * 1100 >= 12000
+    kept AS (SELECT *, (3 * (contains(lower(title), 'senior')::INT + contains(lower(title || ' ' || description), 'brass')::INT
+                + contains(lower(title || ' ' || description), 'copper')::INT) + 1) / 10.0::DOUBLE * 10 AS pre
+        FROM versions WHERE seen_date >= DATE '{SPLIT_DAY}' AND CAST(l_quantity AS BIGINT) * 1100 >= 12000
         AND datediff('day', posted_date, DATE '{AS_OF}') <= 500 AND lower(company) <> 'supplier#000000003' AND NOT title LIKE 'Lead %'
         AND lower(company) NOT IN (SELECT lower(company) FROM now WHERE status = 'rejected' AND last_seen >= DATE '{AS_OF}' - 590)),
     lagged AS (SELECT *, lag(jd_content_hash) OVER w AS before, row_number() OVER w AS rn FROM kept
@@ -328,10 +341,12 @@ _RUN_PROFILE = {
     synced AS (SELECT CASE WHEN f.job_id IS NULL THEN 'kept' WHEN n.job_id IS NULL THEN 'inserted'
             WHEN c.job_id IS NOT NULL OR n.jd_content_hash <> f.jd_content_hash THEN 'updated_jd' ELSE 'updated_meta' END AS action,
         coalesce(n.status, 'new') AS status, CASE WHEN f.job_id IS NOT NULL THEN DATE '{AS_OF}' ELSE n.last_seen END AS last_seen,
-        CASE WHEN n.job_id IS NULL THEN 5.0::DOUBLE END AS fit_score
+        CASE WHEN n.job_id IS NULL AND f.pre >= 3 THEN CAST(length(left(f.description, 3000)) % 10 AS DOUBLE)
+            WHEN n.job_id IS NULL THEN round(f.pre, 2) END AS fit_score,
+        CASE WHEN n.job_id IS NULL THEN CASE WHEN f.pre >= 3 THEN 0.75::DOUBLE ELSE 0.3::DOUBLE END END AS fit_confidence
         FROM now n FULL OUTER JOIN firsts f ON n.job_id = f.job_id LEFT JOIN changes c ON c.job_id = f.job_id)
     SELECT action, CASE WHEN status = 'new' AND last_seen < DATE '{AS_OF}' - 14 THEN 'closed' ELSE status END AS status,
-        status = 'new' AND last_seen < DATE '{AS_OF}' - 14 AS closed_now, fit_score, count(*) AS n FROM synced GROUP BY ALL""")
+        status = 'new' AND last_seen < DATE '{AS_OF}' - 14 AS closed_now, fit_score, fit_confidence, count(*) AS n FROM synced GROUP BY ALL""")
 def run_of_a_day(t):
-    result = daily_run(stored(t), incoming(t), ORDER, _RUN_PROFILE, AS_OF, edits=edits(t))
-    return result.jobs.groupBy("action", "status", "closed_now", "fit_score").agg(F.count(F.lit(1)).alias("n"))
+    result = daily_run(stored(t), incoming(t), ORDER, _RUN_PROFILE, AS_OF, edits=edits(t), score_batches=_text_scorer)
+    return result.jobs.groupBy("action", "status", "closed_now", "fit_score", "fit_confidence").agg(F.count(F.lit(1)).alias("n"))

@@ -209,11 +209,20 @@ def default_profile(t):
 
 @query("flatten_doc", sql=f"""WITH {_PEOPLE},
     flat AS (SELECT CAST(c_custkey AS VARCHAR) AS profile_id, unnest([
-        {{'key': 'domain', 'value': lower(seg)}}, {{'key': 'location.city', 'value': coalesce(city, '')}},
+        {{'key': 'domain', 'value': lower(seg)}},
+        {{'key': 'secondary_domains', 'value': '["' || ['automobile', 'building', 'nowhere'][c_custkey % 3 + 1] || '"]'}},
+        {{'key': 'location.city', 'value': coalesce(city, '')}}, {{'key': 'location.lat', 'value': 'null'}},
+        {{'key': 'location.lon', 'value': 'null'}}, {{'key': 'search_radius_miles', 'value': '60'}},
         {{'key': 'remote_ok', 'value': CAST(remote AS VARCHAR)}},
         {{'key': 'core_skills', 'value': CASE WHEN skilled THEN '["Excel","' || seg || '"]' ELSE '[]' END}},
-        {{'key': 'filters.salary_floor_gbp', 'value': '0'}}, {{'key': 'location.lat', 'value': 'null'}}]) AS e FROM people)
+        {{'key': 'adjacent_skills', 'value': '[]'}},
+        {{'key': 'negative_signals.title_excludes', 'value': CASE WHEN no_head THEN '["Head"]' ELSE '[]' END}},
+        {{'key': 'negative_signals.requires_years_above', 'value': '3'}}, {{'key': 'negative_signals.description_excludes', 'value': '[]'}},
+        {{'key': 'negative_signals.company_blocklist', 'value': '["excel city"]'}},
+        {{'key': 'target_roles.core', 'value': '["' || seg || '  Clerk"]'}}, {{'key': 'target_roles.adjacent', 'value': '["clerk ","Buyer"]'}},
+        {{'key': 'target_roles.stretch', 'value': '["Head Buyer"]'}}, {{'key': 'filters.salary_floor_gbp', 'value': '0'}},
+        {{'key': 'filters.max_days_since_posted', 'value': '30'}}, {{'key': 'filters.exclude_companies', 'value': '[]'}},
+        {{'key': 'filters.rejected_company_cooldown_days', 'value': '90'}}]) AS e FROM people)
     SELECT profile_id, e.key AS key, e.value AS value FROM flat""")
 def flatten_doc(t):
-    wanted = ("domain", "location.city", "remote_ok", "core_skills", "filters.salary_floor_gbp", "location.lat")
-    return R.flatten_doc(people(t), "profile_id").filter(F.col("key").isin(*wanted))
+    return R.flatten_doc(people(t), "profile_id")
