@@ -178,3 +178,11 @@ def test_embeddings_match_brute_force(spark, monkeypatch, most):
     assert all(g[1] <= w[1] for g, w in zip(got, want))
     assert sum(g == w for g, w in zip(got, want)) >= 0.98 * len(want)
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_audit_counts_pairs_missed_at_both_ends(spark):
+    points = np.float32(vectors(7, 50, 2, 0.05))
+    rows = [(20 * i, embeddings.unit(p).tobytes(), 1) for i, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "node long, unit binary, n long")
+    found = spark.createDataFrame([(r[0], int(i >= 40)) for i, r in enumerate(rows)], "node long, links long")
+    assert embeddings.audit(df, found, embeddings.Settings()) == (0.6, 100)
