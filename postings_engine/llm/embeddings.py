@@ -6,6 +6,9 @@ another neighbour is much nearer to it (the robust prune of Vamana).  A vector's
 its clusters are united.  Every vector is then searched for from the medoid of each of its clusters by a
 greedy beam, and a range search grows outwards from what the beam found within the threshold.  Each
 reported link is verified in double precision, and recall is audited against brute force.
+
+Large groups of near copies are taken out first and compared exactly, block against block: no split can cut
+them.  What the audit finds short after the last round is compared exactly, too.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ NEAREST, RANDOM = 32, 16
 WITHIN = 8
 DEGREE, ALPHA = 24, 1.2
 BEAM, EXPAND = 32, 4
+# A group is taken out if SEEN of its members are drawn and the draw makes it out as at least an eighth of MOST.
+SEEN, DRAW = 8, 256
+BLOCK = 4096
 # One vector in AUDIT_EACH is audited, or AUDIT_QUERIES drawn ones where these are fewer.
 AUDIT_EACH, AUDIT_QUERIES, MIN_RECALL, ROUNDS = 20, 20_000, 0.9, 3
 _ROWS = 512
@@ -128,7 +134,7 @@ def clusters(vectors: DataFrame, overlap: int) -> DataFrame:
         done = fits if done is None else done.union(fits)
         sample = rows.join(large, "cell").filter(drawn(F.xxhash64("node"), SAMPLE, F.col("n"))).select("cell", "n", "unit")
         centroids = materialise(sample.groupBy("cell").applyInPandas(_fit_cell, "cell long, centroids binary"), "centroids")
-        dealt = rows.join(centroids, "cell").mapInPandas(_deal(overlap if level == 0 else 2), "cell long, node long, unit binary")
+        dealt = rows.join(centroids, "cell").mapInPandas(_deal(overlap), "cell long, node long, unit binary")
         rows = materialise(dealt.dropDuplicates(["cell", "node"]), "clusters")
     return materialise(rows if done is None else done.union(rows), "clusters-done")
 
@@ -301,6 +307,126 @@ def search(vectors: DataFrame, settings: Settings) -> DataFrame:
     return dealt.join(united, "node").groupBy("cell").applyInPandas(_search_cell(settings), "node long, links long, root long")
 
 
+def _leaders(threshold: float, least: float):
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        x, found = _matrix(group["unit"]), []
+        linked = np.concatenate([x[at:at + _ROWS] @ x.T >= threshold for at in range(0, len(x), _ROWS)])
+        degree = linked.sum(axis=1)
+        open_ = degree >= least
+        while open_.any():
+            top = int(np.where(open_, degree, -1).argmax())
+            centre = unit(x[linked[top]].mean(axis=0))
+            found.append(centre.tobytes())
+            open_ &= x @ centre < threshold
+            open_[top] = False
+        return pd.DataFrame({"leader": found}, dtype=object)
+
+    return run
+
+
+def leaders(vectors: DataFrame, threshold: float) -> list[bytes]:
+    """Middles of the groups that a draw of ``vectors`` makes out as large: at most one per SEEN vectors drawn."""
+    total = vectors.count()
+    if not total:
+        return []
+    wanted = max(SAMPLE, total // DRAW)
+    sample = stored(vectors.filter(drawn(F.xxhash64("node"), wanted, F.lit(total))).select("node", "unit"), "dense-sample")
+    dims = F.octet_length("unit").cast("long").alias("cell")
+    cells = sample.select(dims, "node", "unit") if wanted <= SAMPLE else clusters(sample, 1)
+    least = max(SEEN, MOST / 8 * min(1.0, wanted / max(total, 1)))
+    return sorted(bytes(r["leader"]) for r in cells.groupBy("cell").applyInPandas(_leaders(threshold, least), "leader binary").collect())
+
+
+_CORE, _SHELL, _VISITOR, _REST = range(4)
+
+
+def _roles(shared, threshold: float):
+    """Every vector as a member of the group of its nearest leader, or as one of the rest, and as a visitor of other groups.
+
+    Members are within the threshold of the leader, so what they link with is within twice the angle: visitors
+    are all vectors there, but for members of earlier groups, which meet this group's members as visitors of theirs.
+    Core members are within half the angle, so each two of them are linked.
+    """
+    core, reach = np.sqrt((1 + threshold) / 2) + 1e-9, (2 * threshold ** 2 - 1 if threshold >= 0 else -1.0) - 1e-9
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_leaders = shared.value
+        for batch in batches:
+            for size, same in batch.groupby(batch["unit"].map(len), sort=False):
+                at_dims = np.array([k for k, c in enumerate(all_leaders) if len(c) == size], np.int64)
+                for at in range(0, len(same), _ROWS):
+                    part = same.iloc[at:at + _ROWS]
+                    home, role = np.full(len(part), -1), np.full(len(part), _REST)
+                    out = []
+                    if len(at_dims):
+                        sims = _matrix(part["unit"]) @ _matrix([all_leaders[k] for k in at_dims]).T
+                        best = sims.argmax(axis=1)
+                        top = sims[np.arange(len(part)), best]
+                        home = np.where(top >= threshold, at_dims[best], -1)
+                        role = np.where(top >= core, _CORE, np.where(top >= threshold, _SHELL, _REST))
+                        r, c = np.nonzero((sims >= reach) & ((home[:, None] < 0) | (home[:, None] > at_dims[None, :])))
+                        out.append(part.iloc[r].assign(group=at_dims[c], role=_VISITOR))
+                    out.append(part.assign(group=home, role=role))
+                    yield pd.concat(out)[["group", "role", "node", "unit", "n"]]
+
+    return run
+
+
+def _compare(threshold: float):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        a, b = (block[block["side"] == side] for side in (0, 1))
+        if a.empty or b.empty:
+            return pd.DataFrame({"node": [], "links": [], "root": []}, dtype=np.int64)
+        x, y = _matrix(a["unit"]), _matrix(b["unit"])
+        (ids, weight, role), (near, near_weight, near_role) = ((p["node"].to_numpy(np.int64), p["n"].to_numpy(np.float64), p["role"].to_numpy()) for p in (a, b))
+        linked = np.concatenate([x[at:at + _ROWS] @ y.T >= threshold for at in range(0, len(x), _ROWS)])
+        linked &= ids[:, None] != near[None, :]
+        count, near_count = np.zeros(len(x)), np.zeros(len(y))
+        # Two shell members meet twice, as each is on both sides.
+        once = (near_role == _CORE)[None, :] | (role == _VISITOR)[:, None]
+        for at in range(0, len(x), _ROWS):
+            part = slice(at, at + _ROWS)
+            count[part] = linked[part].astype(np.float64) @ near_weight
+            near_count += weight[part] @ (linked[part] & once[part]).astype(np.float64)
+        root, near_root, most = ids.copy(), near.copy(), np.iinfo(np.int64).max
+        while True:  # the least node reached, within this block
+            before = root.copy(), near_root.copy()
+            for at in range(0, len(x), _ROWS):
+                part = slice(at, at + _ROWS)
+                root[part] = np.minimum(root[part], np.where(linked[part], near_root[None, :], most).min(axis=1))
+                near_root = np.minimum(near_root, np.where(linked[part], root[part, None], most).min(axis=0))
+            if (before[0] == root).all() and (before[1] == near_root).all():
+                break
+        out = pd.DataFrame({"node": np.concatenate([ids, near]), "links": np.concatenate([count, near_count]).astype(np.int64), "root": np.concatenate([root, near_root])})
+        return out[(out["links"] > 0) | (out["root"] != out["node"])]
+
+    return run
+
+
+def exact_links(rows: DataFrame, threshold: float) -> DataFrame:
+    """``node, links, root``: the links of the members of every group (group, role, node, unit, n), all of them.
+
+    Core members are counted; the others are compared, blocks of members against blocks of shell and visitors.
+    """
+    def weight(role):
+        return F.coalesce(F.sum(F.when(F.col("role") == role, 1)), F.lit(0))
+
+    sizes = stored(rows.groupBy("group").agg(
+        F.ceil((weight(_CORE) + weight(_SHELL)) / BLOCK).cast("int").alias("inner"), F.ceil((weight(_SHELL) + weight(_VISITOR)) / BLOCK).cast("int").alias("outer"),
+        F.sum(F.when(F.col("role") == _CORE, F.col("n"))).alias("core"), F.min(F.when(F.col("role") == _CORE, F.col("node"))).alias("least")), "dense-sizes")
+    placed = rows.join(sizes, "group")
+    counted = placed.filter(F.col("role") == _CORE).select("node", (F.col("core") - F.col("n")).alias("links"), F.col("least").alias("root"))
+
+    def spread(mine, other):
+        return F.pmod(F.xxhash64("node"), F.col(mine)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+
+    inner, outer = placed.filter(F.col("role") <= _SHELL).filter("outer > 0"), placed.filter(F.col("role") >= _SHELL).filter("inner > 0")
+    own, crossed = spread("outer", "inner"), spread("inner", "outer")
+    blocks = outer.select("group", own[0].alias("o"), own[1].alias("i"), F.lit(0).alias("side"), "role", "node", "unit", "n").union(
+        inner.select("group", crossed[1].alias("o"), crossed[0].alias("i"), F.lit(1).alias("side"), "role", "node", "unit", "n"))
+    return counted.union(blocks.groupBy("group", "o", "i").applyInPandas(_compare(threshold), "node long, links long, root long"))
+
+
 def audit(vectors: DataFrame, found: DataFrame, settings: Settings, queries: int = AUDIT_QUERIES) -> tuple[float, int]:
     """The share of true links that were found, and how many true links it rests on; brute force against every vector.
 
@@ -346,20 +472,31 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, min_rec
     count, so copies of any number cost one.  A vector that is null, empty, zero or not finite links with nothing, nor
     do vectors of different dimension; a row without vec_id links with nothing and is never kept; rows that
     repeat an id are vectors of their own and linked as copies; an empty table gives no rows; labels and
-    other columns are not read.  If the audit finds a recall under ``min_recall``, clusters overlap more and beams get wider, up to ROUNDS times.
+    other columns are not read.  All links of members of large groups are found.  If the audit finds a recall of the
+    others under ``min_recall``, clusters overlap more and beams get wider, up to ROUNDS times; if that is not enough, all
+    of the others are compared with one another.
     """
     rows = stored(embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), _unit_bytes("embedding").alias("unit")), "units")
     vectors = materialise(rows.filter("unit is not null and vec_id is not null").groupBy("unit").agg(
         F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("n")), "vectors")
+    middles = leaders(vectors, threshold)
+    shared = rows.sparkSession.sparkContext.broadcast(middles)
+    dealt = materialise(vectors.mapInPandas(_roles(shared, threshold), "group long, role int, node long, unit binary, n long"), "dense") if middles else None
+    rest = vectors if dealt is None else dealt.filter(F.col("role") == _REST).select("unit", "node", "n")
     settings = Settings(threshold)
     for _ in range(ROUNDS):
-        parts = materialise(search(vectors, settings), "links-by-cluster")
-        found = materialise(parts.groupBy("node").agg(F.sum("links").alias("links")), "links-found")
-        recall, links = audit(vectors, found, settings)
+        parts = materialise(search(rest, settings), "links-by-cluster")
+        recall, links = audit(rest, parts.groupBy("node").agg(F.sum("links").alias("links")), settings)
         log.info("audit of op10: recall %.4f over %d true links", recall, links)
         if recall >= min_recall:
             break
         settings = Settings(threshold, settings.overlap + 1, settings.beam * 2)
+    else:
+        every = rest.select((-F.octet_length("unit")).cast("long").alias("group"), F.lit(_SHELL).alias("role"), "node", "unit", "n")
+        parts = materialise(exact_links(every, threshold), "links-of-all")
+    if dealt is not None:
+        parts = parts.union(materialise(exact_links(dealt.filter(F.col("role") != _REST), threshold), "links-of-groups"))
+    found = materialise(parts.groupBy("node").agg(F.sum("links").alias("links")), "links-found")
     roots = components(parts.select(F.col("node").alias("a"), F.col("root").alias("b")))
     classes = (vectors.join(found, "node", "left").join(roots, "node", "left")
                .select("unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "node").alias("component_id")))

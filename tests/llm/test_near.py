@@ -180,6 +180,29 @@ def test_embeddings_match_brute_force(spark, monkeypatch, most):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.002, 0.17])
+def test_links_of_a_noisy_group_larger_than_a_cluster_are_all_found(spark, monkeypatch, spread):
+    for name, value in (("MOST", 200), ("CLUSTER", 50), ("SAMPLE", 200), ("BLOCK", 150)):
+        monkeypatch.setattr(embeddings, name, value)
+    points = np.float32(vectors(4, 1, 900, spread) + vectors(5, 300, 1, 0.0))
+    df = spark.createDataFrame(as_rows(enumerate(points)), VECTORS)
+    units = np.stack([embeddings.unit(p) for p in points])
+    true = (units @ units.T >= 0.95) & ~np.eye(len(units), dtype=bool)
+    assert true[:900].sum(axis=1).max() > 4 * 200
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
+    assert sum(r["n_links"] for r in got.values()) >= 0.999 * true.sum()
+    assert all(got[i]["n_links"] <= true[i].sum() for i in got)
+
+
+def test_links_are_compared_exactly_when_the_search_stays_short(spark, monkeypatch):
+    nothing = lambda rows, settings: rows.selectExpr("node", "0L as links", "node as root")
+    monkeypatch.setattr(embeddings, "search", nothing)
+    monkeypatch.setattr(embeddings, "BLOCK", 40)
+    df = spark.createDataFrame(as_rows(enumerate(np.float32(vectors(6, 100, 2, 0.05)))), VECTORS)
+    got = sorted((tuple(r) for r in embeddings.near_duplicates(df).collect()), key=str)
+    assert got == plain_links([(r["vec_id"], r["embedding"], 0) for r in df.collect()])
+
+
 def test_audit_counts_pairs_missed_at_both_ends(spark):
     points = np.float32(vectors(7, 50, 2, 0.05))
     rows = [(20 * i, embeddings.unit(p).tobytes(), 1) for i, p in enumerate(points)]
