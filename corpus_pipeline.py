@@ -15,9 +15,9 @@ from postings_engine.session import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go (they are ``und``)."""
+    """Documents with a letter; no prediction or score rejects one, nor does a table that no language is learned from."""
     found = langid.language(docs, langid.fit(docs))
-    return _keep(docs, found["lang_pred"] != langid.UNDETERMINED)
+    return _keep(docs, found["lettered"])
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,15 +116,16 @@ def hash_of(data: bytes) -> int:
 
 
 def language(docs: DataFrame, model: Model) -> Column:
-    """A column (lang_pred, score) for the text of ``docs``."""
+    """A column (lang_pred, score, lettered) for the text of ``docs``; lettered tells whether it has a letter, whatever was learned."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.bias))
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, lettered boolean")
     def identified(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         grams, learned = GramSets(SIZES, BITS), Model(*shared.value)
         for texts in parts:
             langs, scores = predict(texts.tolist(), learned, grams)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores}).astype({"lang_pred": object})
+            lettered = [any(map(str.isalpha, text)) for text in texts]
+            yield pd.DataFrame({"lang_pred": langs, "score": scores, "lettered": lettered}).astype({"lang_pred": object})
 
     return identified(python_text(docs))
 
@@ -137,4 +138,4 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"),
                         language(docs, fit(docs, sample)).alias("found"))
-    return found.select("doc_id", "held_out", "found.*")
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")

@@ -57,3 +57,9 @@ def test_stages_return_the_columns_of_documents(spark, documents, prose, tmp_pat
 def test_every_operator_has_one_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     assert langid.UNDETERMINED == "und"
+
+
+def test_documents_with_letters_stay_when_no_language_is_learned(spark, documents, prose):
+    rows = [(i, prose(i, 20), None) for i in range(12)] + [(50, "12 34"), (51, None), (52, "")]
+    out = corpus_pipeline.language_id(spark, documents(rows), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(12))
