@@ -34,8 +34,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the least doc_id.
+    """One document of each group whose SimHashes (op3: 3-word shingles) differ in at most 3 bits: the one with the least doc_id.
 
+    Most near copies in the wider sense (5-word similarity of 0.8 or more) differ in more bits and stay.
     Of rows that repeat this id one stays; rows without an id cannot be grouped and stay.
     """
     found = simhash.near_duplicates(docs)
