@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL where SQL can express one."""
+"""Registered queries of the operators, and their SQL where SQL can express one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, embeddings, langid, line_dedup, packing, quality, sharding, simhash, toxicity
+from . import (
+    chat, decontam, divergence, embeddings, hard_negatives, hmm, langid, line_dedup, packing, quality, sharding, simhash, toxicity,
+)
 from .frames import table
 
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
@@ -72,10 +74,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sources of every language cost under one another's term shares, and the terms that tell them apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the anchors among all embeddings."""
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents under a hidden Markov language model."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_chat_format, op2_benchmark_decontamination, op3_simhash, op4_quality, op5_language_id, op6_toxicity,
-        op7_sharding, op8_packing, op9_line_dedup, op10_embedding_dedup)
+        op7_sharding, op8_packing, op9_line_dedup, op10_embedding_dedup, op11_source_divergence, op12_hard_negatives,
+        op13_lm_score)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,4 +118,53 @@ ORACLES = {
         SELECT doc_id, count(*) AS n_lines, count(gone.key) AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone.key IS NULL), '')) AS kept_sha256
         FROM lines LEFT JOIN gone ON lines.key = gone.key GROUP BY doc_id""",
+    "op11_source_divergence": rf"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+        found AS (
+            SELECT i, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS term FROM docs),
+        kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+        counts AS (SELECT f.lang, f.source, f.term, count(*) AS c FROM found f JOIN kept USING (lang, term) GROUP BY ALL),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+        own AS (SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL),
+        whole AS (SELECT lang, term, sum(c) AS c, sum(sum(c)) OVER (PARTITION BY lang) AS n FROM counts GROUP BY lang, term),
+        groups AS (SELECT DISTINCT lang, source FROM docs),
+        shares AS (
+            SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+                1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 1)) // (coalesce(o.n, 0) + v) AS p
+            FROM groups g JOIN kept k USING (lang) JOIN sizes USING (lang) LEFT JOIN own o USING (lang, source)
+            LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        priced AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        rows AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN priced p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, (p - q) * (p - q) // q
+            FROM (SELECT s.*, 1 + (CAST(1000000000 AS HUGEINT) * (w.c + 1)) // (w.n + v) AS q
+                  FROM shares s JOIN whole w USING (lang, term) JOIN sizes USING (lang))
+            WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+            CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+        FROM rows QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200""",
+    "op12_hard_negatives": """
+        WITH vectors AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+            FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+            other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scored USING (anchor_id)
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 10""",
 }
