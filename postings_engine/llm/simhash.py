@@ -9,6 +9,7 @@ pair within radius r shares a key in one of the 2^(r+1) - 1 tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -55,7 +56,7 @@ def fingerprint(text: str) -> int:
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_digest
     for start in range(0, total, _BLOCK):
-        joined = b"".join([digest(s, SEED) for s, _ in zip(shingles, range(min(_BLOCK, total - start)))])
+        joined = b"".join([digest(s, SEED) for s in islice(shingles, _BLOCK)])
         ones += np.unpackbits(np.frombuffer(joined, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return signed(int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big"))
 
@@ -129,8 +130,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     component_id is the least doc_id reached.  Null and empty texts have fingerprint 0 and are linked
     like any others.  A row without doc_id is fingerprinted but links to nothing (component_id null);
-    rows that repeat an id are each returned.  Texts are read once and never shuffled; links are
-    made between distinct fingerprints, so copies of any number cost one.
+    rows that repeat an id are each returned.  Texts of any length are read whole, once, a block of shingles at a
+    time, and never shuffled; links are made between distinct fingerprints, so copies of any number cost one.  A
+    bit set in exactly half of the hashes is 0.  Other columns are not read; an empty table gives no rows.
     """
     prints = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint_of(python_text(docs)).alias("fp")), "fingerprints")
     distinct = stored(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")

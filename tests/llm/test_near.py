@@ -108,6 +108,40 @@ def test_alignment(item, part):
     assert plain_align(item, part[start:end]) == score
 
 
+@pytest.mark.parametrize("every", [3, 4, 5])
+@pytest.mark.parametrize("copies", [0, 300])
+def test_edited_copies(spark, documents, prose, every, copies):
+    """A word in every few replaced: found as full alignment says, alone or beside verbatim copies."""
+    rows, items = [], [(k, " ".join(f"{w}{k}{at}" for at, w in enumerate(prose(k, 40).split()))) for k in range(4)]
+    for k, item in items:
+        edited = [w if (at + k) % every else "zzz" for at, w in enumerate(item.split())]
+        rows += [(k, f"{prose(50, 20)} {' '.join(edited)} {prose(51, 30)}")] + [(1000 * k + 100 + c, item) for c in range(copies)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {(d, k) for d, t in rows for k, item in items if plain_align(item.split(), t.split()) >= decontam.MIN_SCORE * 2 * len(item.split())} \
+        if copies < 2 else {(k, k) for k, _ in items if every > 3} | {(1000 * k + 100 + c, k) for k, _ in items for c in range(copies)}
+    assert got == want and (every == 3 or len(got) == 4 * (copies + 1))
+
+
+def test_short_items_and_scripts_without_blanks(spark, documents):
+    items = [(1, "Eureka"), (2, "blue moon"), (3, "日本語の文章です"), (4, "...")]
+    rows = [(10, "He said eureka!"), (11, "once in a blue, moon"), (12, "blue and moon"), (13, "これは日本語の文章です。短い文"), (14, "日本の文"), (15, "nothing")]
+    found = decontam.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(10, 1), (11, 2), (13, 3)}
+
+
+def test_alignment_of_long_items_stays_small():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    item = rng.integers(0, 5000, 6000)
+    part = np.concatenate([rng.integers(0, 5000, 3000), np.where(rng.random(6000) < 0.9, item, -1), rng.integers(0, 5000, 3000)])
+    tracemalloc.start()
+    score, start, end, matched = decontam.align(item, part)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and 5200 < matched <= 6000 and 2900 < start < 3100 and 8900 < end < 9100 and score > 0.6 * 2 * 6000
+
+
 def test_decontamination_matches_brute_force(spark, documents, prose):
     rng = random.Random(4)
     items = [(k, prose(1000 + k, rng.randint(15, 50))) for k in range(20)] + [(50, "de de de de de de de de de de"), (51, None), (52, ""), (53, "ba da"), (54, prose(1000, 9)), (None, prose(77, 20))]
@@ -129,7 +163,10 @@ def test_decontamination_matches_brute_force(spark, documents, prose):
         ws = decontam.words(t or "")
         for k, item in items:
             its = decontam.words(item or "")
-            if len(its) >= decontam.SEED_WORDS and set(its) & set(ws):
+            if 0 < len(its) < decontam.SEED_WORDS:  # word for word only
+                if any(ws[p:p + len(its)] == its for p in range(len(ws))):
+                    want.add((i, k, 1.0))
+            elif its and set(its) & set(ws):
                 score = plain_align(its, ws) / (decontam.MATCH * len(its))
                 if score >= decontam.MIN_SCORE:
                     want.add((i, k, round(score, 6)))
