@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import is_stale
 from ..schema import CONTENT_COLUMNS, HISTORY, POSTING, SCORE_COLUMNS
-from .dedup import previous_in_group
+from .dedup import cap_per_group, previous_in_group
 from .filters import f_status_valid
 
+# Parts that the records of one posting are dealt to where they meet its last change.
+SPREAD = 16
+
 _PAYLOAD = [f.name for f in POSTING.fields if f.name != "job_id"]
 
 
@@ -40,21 +43,40 @@ def sync_actions(existing: DataFrame, incoming: DataFrame, order: list[str]) ->
     return rows.withColumn("action", action).drop("_previous", "_stored", "_known")
 
 
+def last_changes(incoming: DataFrame, order: list[str]) -> DataFrame:
+    """``(job_id, _first, _last, _changed)``: positions (structs of ``order``) of a posting's first and last record, and of the last whose text hash differs from its predecessor's.
+
+    That record is the first one, after the last record with any other hash, that has the last record's hash.  So nothing is
+    sorted: records are reduced to one row per posting and hash inside the map tasks, the two hashes seen last
+    decide, and only postings with several hashes are looked at again, dealt out by position: a posting that
+    holds a third of all records is spread at every step.  ``_changed`` is NULL when all records carry the same text.
+    """
+    at = F.struct(*order)
+    narrow = incoming.select("job_id", F.col("jd_content_hash").alias("_hash"), at.alias("_at"))
+    seen = narrow.groupBy("job_id", "_hash").agg(F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    ends = seen.groupBy("job_id").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.count(F.lit(1)).alias("_hashes"))
+    several = ends.filter(F.col("_hashes") > 1).select("job_id")
+    two = cap_per_group(seen.join(several, "job_id", "left_semi"), ["job_id"], [F.desc("_last")], 2)
+    tail = two.groupBy("job_id").agg(F.max_by("_hash", "_last").alias("_tail"), F.min("_last").alias("_other"))
+    # Each of these postings meets its records in SPREAD parts.
+    dealt = tail.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    parts = narrow.withColumn("_part", F.pmod(F.xxhash64("_at"), F.lit(SPREAD)).cast("int"))
+    same = (parts["job_id"] == dealt["job_id"]) & (parts["_part"] == dealt["_part"]) & parts["_hash"].eqNullSafe(dealt["_tail"])
+    changed = parts.join(dealt, same).filter(F.col("_at") > F.col("_other")).groupBy(parts["job_id"]).agg(F.min("_at").alias("_changed"))
+    return ends.join(changed, "job_id", "left").select("job_id", "_first", "_last", "_changed")
+
+
 def fold_run(incoming: DataFrame, order: list[str]) -> DataFrame:
     """One row per posting of a run: ``first`` record and ``changed`` content.
 
     ``changed`` holds the content of the last record whose text differs from its predecessor's;
     it is NULL when all records of the run carry the same text.  ``first_at`` and ``last_at`` are the positions, structs
-    of ``order``, of its first and last record.  The look-back sorts ids, positions and
-    hashes alone; the two records that matter are then fetched by id and position, so that the
-    records of a frequent posting are spread over the tasks.
+    of ``order``, of its first and last record.  The two records that matter are found by ids, positions and hashes
+    alone and then fetched by id and position, so that the records of a frequent posting are spread over the tasks.
+    ``incoming`` is read for both: store it first if it is costly to derive.
     """
     at = F.struct(*order)
-    narrow = incoming.select("job_id", F.col("jd_content_hash").alias("_hash"), at.alias("_at"))
-    rows = previous_in_group(narrow, "job_id", ["_at"], "_hash", "_previous")
-    differs = F.col("_previous").isNotNull() & ~_same(F.col("_previous.value"), F.col("_hash"))
-    marks = rows.groupBy("job_id").agg(F.min("_at").alias("_first"), F.max(F.when(differs, F.col("_at"))).alias("_changed"),
-                                       F.max("_at").alias("_last"))
+    marks = last_changes(incoming, order)
     wanted = marks.select("job_id", F.explode(F.array_distinct(F.array("_first", F.coalesce("_changed", "_first")))).alias("_at"),
                           "_first", "_changed", "_last")
     fetched = incoming.withColumn("_at", at).join(wanted, ["job_id", "_at"])
@@ -72,7 +94,7 @@ def sync(
 
     ``action`` is ``inserted``, ``updated_jd``, ``updated_meta`` or, for postings the run did not
     bring, ``kept``.  New postings start as ``new``; known ones get ``last_seen`` and, when the
-    text changed, the content columns.
+    text changed, the content columns.  ``incoming`` is read twice, so store it if it is costly to derive.
     """
     run_date = F.lit(run_date).cast("date")
     folded = fold_run(incoming, order)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
 from ..operators.merge import close_stale, fold_run, import_edits, sync
 from ..operators.scoring import ScoreBatches, prescore_and_route, score_round_trip
-from ..schema import CONTENT_COLUMNS, HISTORY
+from ..schema import CONTENT_COLUMNS, HISTORY, POSTING
 from ..session import materialise
 from ..sources.tables import append_run, current_version, read_history, write_version
 from .reports import run_metrics
@@ -31,9 +31,9 @@ def daily_run(
     edits: DataFrame | None = None, score_batches: ScoreBatches | None = None,
     threshold: float = DEFAULT_PRESCORE_THRESHOLD, ranker_version: str = "v1", stale_days: int = 14,
 ) -> RunResult:
-    """One run over conformed ``postings``; nothing is written.
+    """One run over conformed ``postings``; the merged table is not written.
 
-    Filters run before the merge, so a known posting that no longer passes is not seen again and
+    The filtered and scored rows are stored once, since the merge reads them twice.  Filters run before the merge, so a known posting that no longer passes is not seen again and
     goes stale like one that disappeared.
     """
     if edits is not None:
@@ -42,7 +42,9 @@ def daily_run(
     scored = prescore_and_route(kept, profile, threshold, ranker_version, score_batches is not None)
     if score_batches is not None:
         scored = score_round_trip(scored, score_batches, ranker_version, order=order)
-    merged = sync(jobs, scored.drop("route"), order, as_of)
+    columns = [f.name for f in POSTING.fields]
+    routed = materialise(scored.select(*dict.fromkeys([*columns, *order])), "routed")
+    merged = sync(jobs, routed, order, as_of)
     closed = close_stale(merged, as_of, stale_days)
     return RunResult(closed, run_metrics(closed))
 
@@ -81,10 +83,11 @@ def replay_bronze(bronze: DataFrame, day: str, order: list[str]) -> DataFrame:
     """The history rebuilt from all raw snapshots, as if each day had been merged in turn.
 
     ``bronze`` holds conformed snapshots with a partition column ``day``.  Without user edits the
-    merges compose, so a single fold ordered by day and position replaces one merge per day: a narrow
-    look-back, and one read of the records that matter.
+    merges compose, so a single fold ordered by day and position replaces one merge per day.  The snapshots are
+    stored once: ids, positions and hashes are read from there, then the records that matter.
     """
-    folded = fold_run(bronze, [day, *order])
+    columns = [f.name for f in POSTING.fields]
+    folded = fold_run(materialise(bronze.select(*dict.fromkeys([*columns, day, *order])), "bronze"), [day, *order])
     made = {
         "job_id": F.col("job_id"), "first_seen": F.col(f"first_at.{day}"), "last_seen": F.col(f"last_at.{day}"),
         "status": F.lit("new"), "notes": F.lit(""), "last_user_edit": F.lit(None),

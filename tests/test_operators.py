@@ -131,6 +131,22 @@ def test_previous_in_group(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("spread", [1, 16])
+def test_last_changes_of_hot_postings(spark, monkeypatch, spread):
+    monkeypatch.setattr(G, "SPREAD", spread)
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.4 else f"k{rng.randrange(40)}", i, rng.choice(["p", "p", "p", "q", None])) for i in range(800)]
+    rows += [("one", 900, None), ("same", 901, "p"), ("same", 902, "p"), ("end", 903, None), ("end", 904, "q"), ("end", 905, None)]
+    df = spark.createDataFrame(rows, "job_id string, seq int, jd_content_hash string").repartition(7)
+    want = {}
+    for k, n, v in sorted(rows, key=lambda r: r[1]):
+        first, _, changed, last = want.get(k, (n, n, None, v))
+        want[k] = (first, n, n if v != last else changed, v)
+    got = {r["job_id"]: (r["_first"]["seq"], r["_last"]["seq"], r["_changed"] and r["_changed"]["seq"]) for r in G.last_changes(df, ["seq"]).collect()}
+    assert got == {k: v[:3] for k, v in want.items()}
+    assert "lag(" not in G.last_changes(df, ["seq"])._jdf.queryExecution().executedPlan().toString()
+
+
 def test_building_a_merge_runs_no_job(spark):
     existing, incoming = history(spark, {}), records(spark, random_rows(random.Random(3), 20))
     tracker = spark.sparkContext.statusTracker()
