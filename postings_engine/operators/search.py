@@ -1,8 +1,10 @@
 """Full-text search: an inverted table of terms and BM25 ranking.
 
-The index is two plain tables, ``terms(job_id, term, field, tf)`` and ``lengths(job_id, tokens)``;
-searching filters the first by the query's few terms.  :func:`write_index` stores them, the terms in
-order, so that a search reads the files of its words alone.
+The index is two plain tables, ``terms(job_id, term, field, tf, positions)`` and ``lengths(job_id, tokens)``;
+searching filters the first by the query's few terms, and phrases and nearness are decided by the sorted positions of
+a term in a field, so no text is read at search time.  :func:`write_index` stores both in buckets of ids, the terms of a
+bucket in order, so that a search reads the row groups of its words alone; :func:`refresh_index` rewrites the buckets
+of the documents that changed and leaves the others as they are.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import ColumnLike, col
-from ..session import ship_code
+from ..session import materialise, ship_code
 from .stemmer import porter_stem
 
 # BM25 constants and the smallest inverse document frequency.
 K1 = 1.2
 B = 0.75
 MIN_IDF = 1e-6
+# Fixed value: words that may stand between the first and the last of words that are near.
+NEAR_DISTANCE = 10
 
 FIELDS = ("title", "company", "description")
 
@@ -77,8 +81,7 @@ def build_terms(
 ) -> DataFrame:
     """The inverted table, with counts pre-aggregated inside the map tasks.
 
-    ``tf`` counts a term per document and field.  Positions are not kept here: phrase search
-    reads :func:`posting_tokens` for the documents that hold all its words.
+    ``tf`` counts a term per document and field; :func:`build_positions` also says where.
     """
     counts = posting_tokens(docs, fields, id_column).groupBy("job_id", "field", "token").agg(
         F.count(F.lit(1)).alias("tf")
@@ -99,18 +102,70 @@ def build_lengths(
     return docs.select(F.col(id_column).alias("job_id"), total.cast("bigint").alias("tokens"))
 
 
+def build_positions(
+    docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id", stem: bool = True
+) -> DataFrame:
+    """The inverted table with places: :func:`build_terms`, and ``positions``, sorted, from 0, as many as ``tf``.
+
+    A list holds the places of one term in one field of one document.
+    """
+    tokens = posting_tokens(docs, fields, id_column)
+    lists = tokens.groupBy("job_id", "field", "token").agg(F.collect_list("position").alias("positions"))
+    if stem:
+        lists = lists.join(stems(lists), "token").groupBy("job_id", "field", "term").agg(F.flatten(F.collect_list("positions")).alias("positions"))
+    else:
+        lists = lists.withColumnRenamed("token", "term")
+    return lists.select("job_id", "field", "term", F.size("positions").cast("bigint").alias("tf"), F.sort_array("positions").alias("positions"))
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col("job_id").cast("string")), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _store(rows: DataFrame, path: str, order: list[str], mode: str) -> None:
+    """Rows by bucket, in order; only the buckets among them are replaced."""
+    dealt = rows.repartitionByRange("bucket", *order).sortWithinPartitions("bucket", *order)
+    dealt.write.partitionBy("bucket").mode(mode).option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def write_index(
-    docs: DataFrame, root: str, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id", stem: bool = True
+    docs: DataFrame, root: str, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id", stem: bool = True, buckets: int = 16
 ) -> None:
-    """Store the index under ``root``: terms in order, a frequent one over as many files as it fills."""
-    terms = build_terms(docs, fields, id_column, stem)
-    terms.repartitionByRange("term", "job_id").sortWithinPartitions("term", "job_id").write.parquet(f"{root}/terms")
-    build_lengths(docs, fields, id_column).write.parquet(f"{root}/lengths")
+    """Store the index under ``root``, which holds none, in ``buckets`` buckets of ids."""
+    _store(build_positions(docs, fields, id_column, stem).select("*", _bucket(buckets)), f"{root}/terms", ["term", "job_id"], "error")
+    _store(build_lengths(docs, fields, id_column).select("*", _bucket(buckets)), f"{root}/lengths", ["job_id"], "error")
 
 
 def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """The stored ``(terms, lengths)``."""
-    return spark.read.parquet(f"{root}/terms"), spark.read.parquet(f"{root}/lengths")
+    return tuple(spark.read.parquet(f"{root}/{part}").drop("bucket").filter("job_id is not null") for part in ("terms", "lengths"))
+
+
+def refresh_index(
+    root: str, changed_docs: DataFrame, removed_ids: DataFrame, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id",
+    stem: bool = True, buckets: int = 16,
+) -> None:
+    """Bring the stored index up to date after some documents changed, came or disappeared; one writer at a time.
+
+    Only the buckets of these documents are read and replaced (a dynamic partition overwrite); the texts of others
+    are not read.  ``buckets``, ``fields`` and ``stem`` are those the index was written with.
+    """
+    spark = changed_docs.sparkSession
+    changed = changed_docs.withColumn("job_id", F.col(id_column))
+    gone = materialise(removed_ids.select("job_id").union(changed.select("job_id")).distinct().select("job_id", _bucket(buckets)), "index-gone")
+    touched = gone.select("bucket").distinct()
+    # A row without id keeps a bucket that lost all its documents among those replaced.
+    empty = touched.select("bucket")
+    for part, order, fresh in (
+        ("terms", ["term", "job_id"], build_positions(changed, fields, "job_id", stem)),
+        ("lengths", ["job_id"], build_lengths(changed, fields, "job_id")),
+    ):
+        old = spark.read.parquet(f"{root}/{part}")
+        ids = [r["bucket"] for r in touched.collect()]  # numbers below ``buckets``
+        kept = old.filter(F.col("bucket").isin(ids) & F.col("job_id").isNotNull()).join(gone.select("job_id"), "job_id", "left_anti")
+        rows = kept.unionByName(fresh.select("*", _bucket(buckets))).unionByName(empty, allowMissingColumns=True)
+        # The buckets are read before any is replaced.
+        _store(materialise(rows, f"index-{part}"), f"{root}/{part}", order, "overwrite")
 
 
 def refresh_terms(terms: DataFrame, changed_docs: DataFrame, removed_ids: DataFrame, **options) -> DataFrame:
@@ -181,45 +236,74 @@ def search(
     return docs.join(top, "job_id").orderBy(F.desc("score"), "job_id")
 
 
-def phrase_hits(
-    docs: DataFrame, phrase: list[str], fields: tuple[str, ...] = FIELDS, id_column: str = "job_id",
-    stem: bool = True,
-) -> DataFrame:
-    """``(job_id, slot, tf)``: times the words stand next to each other in one field."""
-    tokens = posting_tokens(docs, fields, id_column)
+def _places(terms: DataFrame, words: list[str], field: str | None) -> DataFrame:
+    """``(job_id, field, at)`` for the fields that hold all ``words``: a map from each to its positions."""
+    wanted = sorted(set(words))
+    found = terms.filter(F.col("term").isin(*wanted))
+    if field is not None:
+        found = found.filter(F.col("field") == field)
+    # At most one list per word of the query.
+    lists = found.groupBy("job_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+    return lists.filter(F.size("at") == len(wanted))
+
+
+def phrase_hits(terms: DataFrame, phrase: list[str], stem: bool = True, field: str | None = None) -> DataFrame:
+    """``(job_id, slot, tf)``: times the words stand next to each other in one field, by their positions alone."""
     words = _query_terms(phrase, stem)
-    if stem:
-        # Of all words, only those of the phrase's stems meet the tokens.
-        tokens = tokens.join(stems(tokens).filter(F.col("term").isin(*words)), "token").drop("token")
-    else:
-        tokens = tokens.withColumnRenamed("token", "term")
-    # Every occurrence votes for the position the phrase would start at.
-    votes = F.filter(
-        F.array(*[F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(words)]),
-        lambda i: i.isNotNull(),
-    )
-    starts = tokens.filter(F.col("term").isin(*words)).select(
-        "job_id", "field", "position", F.explode(votes).alias("offset")
-    ).groupBy("job_id", "field", (F.col("position") - F.col("offset")).alias("start")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    complete = starts.filter(F.col("n") == len(words))
-    return complete.groupBy("job_id").agg(F.count(F.lit(1)).alias("tf")).withColumn("slot", F.lit(0))
+
+    def starts_by(offset: int) -> Column:
+        return F.transform(F.element_at("at", F.lit(words[offset])), lambda p: p - offset)
+
+    starts = reduce(F.array_intersect, map(starts_by, range(len(words))))
+    counted = _places(terms, words, field).select("job_id", F.size(starts).cast("bigint").alias("n")).filter("n > 0")
+    return counted.groupBy("job_id").agg(F.sum("n").alias("tf")).withColumn("slot", F.lit(0))
+
+
+def near_hits(terms: DataFrame, words: list[str], distance: int = NEAR_DISTANCE, stem: bool = True, field: str | None = None) -> DataFrame:
+    """``(job_id, slot, tf)``: places in one field from which all words follow with at most ``distance`` words between the first and the last.
+
+    One pass over the merged positions, last to first, keeps where each word comes next; a place counts
+    if it holds one of the words and the others all come soon enough.  A repeated word counts once.
+    """
+    wanted = sorted(set(_query_terms(words, stem)))
+
+    def tagged(number: int) -> Column:
+        return F.transform(F.element_at("at", F.lit(wanted[number])), lambda p: F.struct(p.alias("p"), F.lit(number).alias("word")))
+
+    merged = F.reverse(F.array_sort(F.concat(*map(tagged, range(len(wanted))))))
+    never = F.lit(None).cast("int")
+    start = F.struct(F.array(*[never] * len(wanted)).alias("next"), F.lit(0).cast("bigint").alias("n"))
+
+    def step(state: Column, here: Column) -> Column:
+        following = F.transform(state["next"], lambda p, i: F.when(i == here["word"], here["p"]).otherwise(p))
+        soon = F.forall(following, lambda p: F.coalesce(p - here["p"] - 1 <= distance, F.lit(False)))
+        return F.struct(following.alias("next"), (state["n"] + F.when(soon, 1).otherwise(0)).alias("n"))
+
+    counted = _places(terms, wanted, field).select("job_id", F.aggregate(merged, start, step, lambda s: s["n"]).alias("n")).filter("n > 0")
+    return counted.groupBy("job_id").agg(F.sum("n").alias("tf")).withColumn("slot", F.lit(0))
+
+
+def _top(docs: DataFrame, hits: DataFrame, lengths: DataFrame, k: int) -> DataFrame:
+    top = _weigh(hits, lengths, 1).orderBy(F.desc("score"), "job_id").limit(k)
+    return docs.join(top, "job_id").orderBy(F.desc("score"), "job_id")
 
 
 def search_phrase(
     docs: DataFrame, lengths: DataFrame, phrase: list[str], k: int = 20,
-    fields: tuple[str, ...] = FIELDS, stem: bool = True, terms: DataFrame | None = None,
+    fields: tuple[str, ...] = FIELDS, stem: bool = True, terms: DataFrame | None = None, field: str | None = None,
 ) -> DataFrame:
     """Top ``k`` documents with the words next to each other in a field.
 
-    With ``terms`` only the documents that hold all the words are read.
+    With ``terms``, an index with positions, ``docs`` is read for the documents found alone; without, it is indexed first.
     """
-    held = docs
-    if terms is not None:
-        words = set(_query_terms(phrase, stem))
-        ids = terms.filter(F.col("term").isin(*words)).groupBy("job_id").agg(F.countDistinct("term").alias("n"))
-        held = docs.join(ids.filter(F.col("n") == len(words)), "job_id", "left_semi")
-    scored = _weigh(phrase_hits(held, phrase, fields, stem=stem), lengths, 1)
-    top = scored.orderBy(F.desc("score"), "job_id").limit(k)
-    return docs.join(top, "job_id").orderBy(F.desc("score"), "job_id")
+    if terms is None:
+        terms = build_positions(docs, fields, stem=stem)
+    return _top(docs, phrase_hits(terms, phrase, stem, field), lengths, k)
+
+
+def search_near(
+    docs: DataFrame, terms: DataFrame, lengths: DataFrame, words: list[str], distance: int = NEAR_DISTANCE, k: int = 20,
+    stem: bool = True, field: str | None = None,
+) -> DataFrame:
+    """Top ``k`` documents with all words near one another in a field."""
+    return _top(docs, near_hits(terms, words, distance, stem, field), lengths, k)

@@ -76,7 +76,19 @@ def bm25_field(t):
     ON a.job_id = b.job_id AND a.field = b.field AND b.p = a.p + 1 WHERE a.t = 'of' AND b.t = 'the' GROUP BY 1""", 1))
 def bm25_phrase(t):
     docs, terms, lengths = _indexed(t)
-    return X.search_phrase(docs, lengths, ["of", "the"], fields=_FIELDS, stem=False, terms=terms).select("job_id", F.round("score", 6).alias("score"))
+    return X.search_phrase(docs, lengths, ["of", "the"], stem=False, terms=terms).select("job_id", F.round("score", 6).alias("score"))
+
+
+_NEAR = ("of", "the", "and")
+
+
+@query("bm25_near", sql=_sql_rank(f"""SELECT a.job_id, 0 AS slot, count(*) AS tf FROM tokens a WHERE a.t IN {_NEAR}
+    {' '.join(f"AND EXISTS (SELECT 1 FROM tokens b WHERE b.job_id = a.job_id AND b.field = a.field AND b.t = '{w}' AND b.p BETWEEN a.p AND a.p + 6)" for w in _NEAR)}
+    GROUP BY 1""", 1))
+def bm25_near(t):
+    """All three words with at most five words between the first and the last."""
+    docs, terms, lengths = _indexed(t)
+    return X.search_near(docs, terms, lengths, list(_NEAR), distance=5, stem=False).select("job_id", F.round("score", 6).alias("score"))
 
 
 # SQL cannot stem, but the words that share the stems of this query can be listed.
@@ -96,3 +108,19 @@ def refresh_terms(t):
     changed, removed = docs.filter(F.col("job_id") % 10 == 3), docs.filter(F.col("job_id") % 10 == 4)
     fresh = X.refresh_terms(terms, changed, removed, fields=_FIELDS, stem=False)
     return fresh.groupBy("term").agg(F.sum("tf").alias("tf"))
+
+
+@query("refresh_index", sql=f"""WITH {_SQL_TOKENS},
+    kept AS (SELECT job_id, field, count(DISTINCT t) AS terms, count(*) AS tf, sum(p) AS places FROM tokens WHERE job_id % 10 <> 4 GROUP BY 1, 2)
+    SELECT k.job_id, k.field, k.terms, k.tf, CAST(k.places AS BIGINT) AS places, l.tokens FROM kept k JOIN lens l USING (job_id)""")
+def refresh_index(t):
+    """The stored index, document by document, after a tenth of them changed, a tenth disappeared and a tenth came."""
+    docs, root = _docs(t), scratch_path(t.spark, "index")
+    digit = F.col("job_id") % 10
+    stale = docs.filter(digit != 5).withColumn("description", F.when(digit == 3, F.lit("old words")).otherwise(F.col("description")))
+    X.write_index(stale, root, _FIELDS, stem=False)
+    X.refresh_index(root, docs.filter(digit.isin(3, 5)), docs.filter(digit == 4), _FIELDS, stem=False)
+    terms, lengths = X.read_index(t.spark, root)
+    found = terms.groupBy("job_id", "field").agg(
+        F.count(F.lit(1)).alias("terms"), F.sum("tf").alias("tf"), F.sum(F.aggregate("positions", F.lit(0).cast("bigint"), lambda a, p: a + p + 1)).alias("places"))
+    return found.join(lengths, "job_id").select("job_id", "field", "terms", "tf", "places", "tokens")

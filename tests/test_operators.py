@@ -339,6 +339,51 @@ def test_stored_index_folds_accents_and_knows_fields(spark, tmp_path):
     assert [r["job_id"] for r in phrase] == ["b", "c"]
 
 
+@pytest.mark.parametrize("stem", [True, False])
+def test_near_and_phrases_by_positions(spark, stem):
+    rng = random.Random(12)
+    vocabulary = ["nurse", "nurses", "ward", "wards", "day", "night", "Café"]
+    docs = {f"d{i:02d}": (" ".join(rng.choices(vocabulary, k=rng.randrange(0, 25))), " ".join(rng.choices(vocabulary, k=6))) for i in range(60)}
+    df = spark.createDataFrame([(k, t, d) for k, (t, d) in docs.items()], "job_id string, title string, description string")
+    index = Z.build_positions(df, ("title", "description"), stem=stem)
+    term = lambda w: porter_stem(Z._folded(w)) if stem else Z._folded(w)
+
+    def clumps(text, words, distance):
+        have, wanted = [term(w) for w in text.split()], {term(w) for w in words}
+        return sum(1 for p, w in enumerate(have) if w in wanted and wanted <= set(have[p:p + distance + 2]))
+
+    for words, distance in ((["nurse", "ward"], 0), (["nurse", "ward"], 3), (["day", "Cafe", "nurses"], 4), (["night", "night"], 1), (["absent", "day"], 9)):
+        want = {k: n for k, texts in docs.items() if (n := sum(clumps(t, words, distance) for t in texts))}
+        assert {r["job_id"]: r["tf"] for r in Z.near_hits(index, words, distance, stem).collect()} == want
+    for phrase in (["day", "night"], ["ward", "day", "ward"], ["nurse", "nurse"]):
+        terms = [term(w) for w in phrase]
+        count = lambda t: sum(1 for p in range(len(t.split())) if [term(w) for w in t.split()[p:p + len(terms)]] == terms)
+        want = {k: n for k, texts in docs.items() if (n := sum(map(count, texts)))}
+        assert {r["job_id"]: r["tf"] for r in Z.phrase_hits(index, phrase, stem).collect()} == want
+    title_only = {r["job_id"] for r in Z.near_hits(index, ["day", "night"], 2, stem, field="title").collect()}
+    assert title_only == {k for k, (t, _) in docs.items() if clumps(t, ["day", "night"], 2)}
+
+
+def test_refresh_rewrites_touched_buckets_only(spark, tmp_path):
+    root, texts = str(tmp_path / "index"), {f"j{i}": f"word{i} shared" for i in range(40)}
+    frame = lambda rows: spark.createDataFrame(list(rows.items()), "job_id string, title string")
+    options = dict(fields=("title",), stem=False, buckets=8)
+    Z.write_index(frame(texts), root, **options)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "index" / "terms").rglob("*.parquet")}
+    before = files()
+    Z.refresh_index(root, frame({"j3": "changed words", "new": "shared new"}), spark.createDataFrame([("j5",)], "job_id string"), **options)
+    same = set(before.items()) & set(files().items())
+    assert 0 < len(same) < len(before)
+    texts = {k: t for k, t in texts.items() if k != "j5"} | {"j3": "changed words", "new": "shared new"}
+    terms, lengths = Z.read_index(spark, root)
+    assert {(r["job_id"], r["term"], tuple(r["positions"])) for r in terms.collect()} == {(k, w, (p,)) for k, t in texts.items() for p, w in enumerate(t.split())}
+    assert {r["job_id"]: r["tokens"] for r in lengths.collect()} == {k: 2 for k in texts}
+    # A bucket may lose all its documents.
+    Z.refresh_index(root, spark.createDataFrame([], "job_id string, title string"), frame(texts).select("job_id"), **options)
+    terms, lengths = Z.read_index(spark, root)
+    assert terms.count() == 0 and lengths.count() == 0
+
+
 def test_similarity_keeps_scores_of_minor_changes(spark):
     words = [f"w{i}" for i in range(200)]
     a, b, c = " ".join(words), " ".join(words[:-3] + ["new"]), " ".join(reversed(words))
