@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bind, strings
 from .dedup import cap_per_group
+from .places import home_cells, posting_cells, within_radius
 from .scoring import (
     ADJACENT_WEIGHT, CORE_WEIGHT, MAX_KEYWORDS, NEUTRAL_SCORE, TEXT_PENALTY, TITLE_PENALTY,
 )
@@ -147,6 +148,7 @@ def _most_points() -> Column:
 
 def profiles_x_postings(
     profiles: DataFrame, postings: DataFrame, min_score: float | None = None, best: int | None = None,
+    in_reach: bool = False,
 ) -> DataFrame:
     """``(profile_id, job_id, score, keywords)`` for pairs sharing at least one skill that is not empty.
 
@@ -154,6 +156,8 @@ def profiles_x_postings(
     text.  Other pairs of a profile with skills score 0 or less than its empty words give, and are not listed.  A profile without
     skills gives every posting the neutral 5 less penalties: it has one row, without a posting.
     ``min_score`` and ``best`` (postings per profile, ties by id) bound what is listed, and which pairs are made.
+    With ``in_reach``, postings outside a profile's home radius make no pair (see :mod:`.places`; the columns of both sides
+    are those it reads).
     """
     words = profile_words(profiles)
     def empty(kind: str) -> Column:
@@ -204,10 +208,19 @@ def profiles_x_postings(
     )
     if min_score is not None:
         out = out.filter(F.col("score") >= min_score)
-    if best is not None:
+    named = sets.join(first, "held").select("first_id", "job_id")
+    if in_reach:
+        # Postings of a set meet profiles by the cells of their place.
+        homes = home_cells(profiles)
+        placed = named.join(posting_cells(postings, homes, ["job_id"]), "job_id")
+        met = out.join(homes, "profile_id").join(placed, ["first_id", "cell"]).filter(within_radius())
+        out = met.select("profile_id", "job_id", "score", "keywords")
+    elif best is None:
+        out = out.join(named, "first_id").select("profile_id", "job_id", "score", "keywords")
+    else:
         # A set stands for its first posting: one that has ``best`` sets before it has nothing among the best.
         out = cap_per_group(out, ["profile_id"], [F.desc("score"), "first_id"], best)
-    out = out.join(sets.join(first, "held").select("first_id", "job_id"), "first_id").select("profile_id", "job_id", "score", "keywords")
+        out = out.join(named, "first_id").select("profile_id", "job_id", "score", "keywords")
     if best is not None:
         out = cap_per_group(out, ["profile_id"], [F.desc("score"), "job_id"], best)
     size = lambda c: F.size(F.coalesce(c, strings([])))

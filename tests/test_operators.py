@@ -16,6 +16,7 @@ from postings_engine.operators import dedup as K
 from postings_engine.operators import filters as P
 from postings_engine.operators import matching as Q
 from postings_engine.operators import merge as G
+from postings_engine.operators import places as L
 from postings_engine.operators import profiles as R
 from postings_engine.operators import scoring as S
 from postings_engine.operators import search as Z
@@ -276,6 +277,38 @@ def test_profiles_against_postings_equal_single_profile_scores(spark, extra):
         assert {(r["profile_id"], r["job_id"]) for r in top} == {(p, j) for p, js in ranked.items() for _, j in sorted(js)[:best]}
 
 
+def test_home_radius_join_matches_every_pair(spark):
+    """Homes at poles, on the date line and anywhere; radii from nothing to half the globe."""
+    rng = random.Random(21)
+    spot = lambda: (rng.choice([90.0, -90.0, 89.9, -89.95, 0.0, rng.uniform(-90, 90), rng.uniform(50, 52)]), rng.choice([180.0, -180.0, 179.99, 0.0, rng.uniform(-180, 180), rng.uniform(-2, 2)]))
+    homes = [(f"p{i}", *spot(), rng.choice([0, 1, 30, 60, 500, 3000, 7000, 13000]), False) for i in range(60)]
+    homes += [("any", 51.0, 0.0, 10, True), ("nowhere", None, None, 10, False)]
+    posts = [(f"j{i}", *spot(), "x") for i in range(300)] + [("home", 51.0, 0.0, "Remote"), ("lost", None, 0.0, "x")]
+    profiles = spark.createDataFrame(homes, "profile_id string, lat double, lon double, search_radius_miles int, remote_ok boolean").selectExpr(
+        "profile_id", "struct(lat, lon) AS location", "search_radius_miles", "remote_ok", "1 AS cell")
+    postings = spark.createDataFrame(posts, "job_id string, lat double, lon double, location string")
+
+    def miles(a, b):
+        (p1, l1), (p2, l2) = (tuple(map(math.radians, x)) for x in (a, b))
+        h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin((l2 - l1) / 2) ** 2
+        return 2 * 3958.8 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    got = [(r["profile_id"], r["job_id"]) for r in L.profiles_near_postings(profiles, postings).collect()]
+    sure, maybe = set(), set()
+    for p, lat, lon, radius, remote_ok in homes:
+        for j, jlat, jlon, location in posts:
+            if lat is not None and not remote_ok and jlat is not None and location == "x":
+                far = miles((lat, lon), (jlat, jlon))
+                sure |= {(p, j)} if far <= radius - 1e-6 else set()
+                maybe |= {(p, j)} if far <= radius + 1e-6 else set()
+    assert len(got) == len(set(got)) and sure <= set(got) <= maybe and len(sure) > 1000
+    met = L.home_cells(profiles).join(L.posting_cells(postings, L.home_cells(profiles), ["job_id"]), "cell").filter(L.within_radius())
+    passes = {(r["profile_id"], r["job_id"]) for r in met.select("profile_id", "job_id").collect()}
+    everyone = {j for j, *_ in posts}
+    assert {j for p, j in passes if p == "any"} == everyone == {j for p, j in passes if p == "nowhere"}
+    assert all((p, j) in passes for p, *_ in homes for j in ("home", "lost"))
+
+
 def test_profile_matching_shuffles_no_text(spark):
     df = records(spark, [record("a", 1, "python and sales")])
     profiles = R.default_profile(spark.createDataFrame([("p", ["python"])], "profile_id string, core_skills array<string>"))
