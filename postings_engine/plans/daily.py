@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
@@ -62,16 +62,15 @@ def run_and_store(
     found = current_version(spark, root)
     jobs = read_history(spark, root) if found else empty_history(spark)
     version = found[0] + 1 if found else 1
-    # Conforming is the costly part: its rows are written once, and counted before the filters.
-    postings = materialise(postings, "conformed")
-    scraped = postings.count()
+    # Conforming is the costly part: its rows are written once, and counted as they are, before the filters.
+    read, merged = Observation("conformed"), Observation("merged")
+    postings = materialise(postings.observe(read, F.count(F.lit(1)).alias("scraped")), "conformed")
     result = daily_run(jobs, postings, order, profile, as_of, **options)
-    # The action flags are stored with the rows they describe: the counters then read two columns
-    # of the written version instead of running the merge again, and readers of the history ask
-    # for its own columns only.
-    written = write_version(result.jobs, root, version)
-    stored = spark.read.parquet(written)
-    metrics = run_metrics(stored).select(F.lit(scraped).cast("bigint").alias("scraped"), "new", "closed")
+    # The action flags are stored with the rows they describe, and counted by the write's own pass; readers of the
+    # history ask for its own columns only.
+    counters = (F.count_if(F.col("action") == "inserted").alias("new"), F.count_if(F.col("closed_now")).alias("closed"))
+    stored = spark.read.parquet(write_version(result.jobs.observe(merged, *counters), root, version))
+    metrics = spark.createDataFrame([(read.get["scraped"], merged.get["new"], merged.get["closed"])], "scraped bigint, new bigint, closed bigint")
     finished = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     append_run(
         spark, f"{root}/_runs", version, started, finished, metrics, sources_ok, sources_failed, errors or []

@@ -23,11 +23,12 @@ def write_version(
 
     Every write has a folder of its own, so a lost executor, a failed job or a second writer leaves what is
     recorded in place.  A version is recorded once: the later of two writers of one version fails.
-    A ``delta`` holds only the rows that changed.  ``stream`` and ``batch`` name the micro-batch written.
+    A ``delta`` holds only the rows that changed.  ``stream`` and ``batch`` name the micro-batch written.  Row groups carry a
+    Bloom filter of their ids, so a lookup of one id reads the row groups that may hold it.
     """
     spark = df.sparkSession
     path = f"{root}/v{version:08d}-{kind}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("parquet.bloom.filter.enabled#job_id", "true").parquet(path)
     entry = (
         F.lit(version).cast("bigint").alias("version"), F.lit(kind).alias("kind"), F.lit(path).alias("path"),
         F.lit(stream).cast("string").alias("stream"), F.lit(batch).cast("bigint").alias("batch"),

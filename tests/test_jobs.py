@@ -164,6 +164,19 @@ def test_stream_of_several_batches_equals_sequential_merges(spark, tmp_path):
             B.write_version(history(spark, jobs), root, version)
 
 
+def test_a_lookup_reads_the_row_group_that_holds_the_id(spark, tmp_path):
+    rows = spark.range(8000).select(F.sha1(F.col("id").cast("string")).alias("job_id"), F.col("id").alias("n")).repartition(8)
+    table = spark.read.parquet(B.write_version(rows, str(tmp_path / "jobs"), 1))
+    wanted = rows.filter("n = 4321").first()["job_id"]
+    # All files span nearly all ids, so only their Bloom filters can tell them apart.
+    found = B.point_lookup(table, wanted).groupBy().agg(F.max("n").alias("n"))
+    assert found.first()["n"] == 4321
+    plan = found._jdf.queryExecution().executedPlan().executedPlan()
+    while not plan.children().isEmpty() or plan.getClass().getSimpleName().endswith("QueryStageExec"):
+        plan = plan.plan() if plan.getClass().getSimpleName().endswith("QueryStageExec") else plan.children().head()
+    assert plan.metrics().get("numOutputRows").get().value() < 2000
+
+
 def test_streams_and_daily_runs_share_a_table(spark, tmp_path):
     root, source = str(tmp_path / "jobs"), str(tmp_path / "in")
     schema = records(spark, [record("a", 1, "x")]).schema
