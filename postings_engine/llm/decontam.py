@@ -35,7 +35,7 @@ BLOCK_WORDS = 1_000_000
 
 # Scripts written without blanks: each character is a word.
 _SINGLE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
-_WORD = re.compile(rf"(?:(?![{_SINGLE}])\w)+|[{_SINGLE}]")
+_WORD = re.compile(rf"[^\W{_SINGLE}]+|[{_SINGLE}]")
 HITS = "array<struct<item_id:long, score:double, start_word:int, end_word:int, matched_words:int>>"
 
 
