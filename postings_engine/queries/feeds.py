@@ -152,8 +152,13 @@ _NAMED = """named AS (SELECT part.*, 's' || s_suppkey AS slug, CASE WHEN s_suppk
     FROM part JOIN supplier ON s_suppkey = p_partkey % (SELECT count(*) FROM supplier))"""
 
 
+def _sql_url(template: str, ident: str) -> str:
+    """The address template as an SQL expression over slug and ``ident``."""
+    return "'" + template.replace("{slug}", "' || slug || '").replace("{id}", f"' || {ident} || '") + "'"
+
+
 @query("map_board", sql=f"""WITH {_NAMED}
-    SELECT p_name AS title, company, CASE WHEN p_partkey % 5 = 0 THEN 'https://boards.greenhouse.io/' || slug || '/jobs/' || p_partkey
+    SELECT p_name AS title, company, CASE WHEN p_partkey % 5 = 0 THEN {_sql_url(H.BOARD_URL, 'p_partkey')}
             ELSE 'https://b.example/' || p_partkey END AS url,
         CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'Town ' || p_size WHEN 1 THEN 'Plain ' || p_size ELSE '' END AS location,
         p_type AS description, 'greenhouse:' || slug AS source FROM named""")
@@ -196,7 +201,7 @@ def map_postings(t):
 
 
 @query("map_widget", sql=f"""WITH {_NAMED}
-    SELECT p_name AS title, company, CASE WHEN p_partkey % 5 = 0 THEN 'https://apply.workable.com/' || slug || '/j/X' || p_partkey ELSE 'https://w.example/' || p_partkey END AS url,
+    SELECT p_name AS title, company, CASE WHEN p_partkey % 5 = 0 THEN {_sql_url(H.WIDGET_URL, "'X' || p_partkey")} ELSE 'https://w.example/' || p_partkey END AS url,
         CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN 'Town, UK' WHEN 1 THEN 'UK' ELSE 'Text' END AS location,
         p_type || CASE WHEN p_partkey % 2 = 0 THEN chr(10) || chr(10) || 'needs' ELSE '' END || chr(10) || chr(10) || 'perks' AS description, 'workable:' || slug AS source FROM named""")
 def map_widget(t):
