@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..plans.reports import source_health_rag
+from ..session import scratch_path
 from ..sources import landing as L
 from ..sources import shapes as H
+from ..sources.feeds import Frame, Postings, Tenant, gather
 from .registry import query
 
 _PLACE = "concat('City ', p_size, ', Region ', p_size % 5, ', UK')"
@@ -186,6 +188,11 @@ def map_board(t):
             || chr(10) || chr(10) || 'Offers' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE chr(10) || chr(10) || 'bye' END AS description,
         CAST(1000000000000 + p_partkey AS VARCHAR) AS created, 'lever:' || slug AS source FROM named""")
 def map_postings(t):
+    parsed = L.good_records(L.parse_landed(_postings_texts(t), "body", H.POSTINGS))
+    return H.map_postings(H.postings_items(parsed, companies(t))).select("title", "company", "url", "location", "description", "created", "source")
+
+
+def _postings_texts(t):
     key = F.col("p_partkey").cast("string")
     row = F.struct(
         "slug", F.col("p_name").alias("text"), F.when(F.col("p_partkey") % 2 == 0, "body").otherwise("").alias("descriptionBody"),
@@ -196,8 +203,7 @@ def map_postings(t):
         F.struct(F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("City "), F.col("p_size").cast("string"))).alias("location"), F.lit("Team").alias("team")).alias("categories"),
         F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("https://l.example/"), key)).alias("hostedUrl"),
         F.concat(F.lit("https://apply.example/"), key).alias("applyUrl"), (F.lit(1000000000000) + F.col("p_partkey")).alias("createdAt"))
-    parsed = L.good_records(L.parse_landed(_slugged(t).select(F.to_json(row).alias("body")), "body", H.POSTINGS))
-    return H.map_postings(H.postings_items(parsed, companies(t))).select("title", "company", "url", "location", "description", "created", "source")
+    return _slugged(t).select("p_partkey", F.to_json(row).alias("body"))
 
 
 @query("map_widget", sql=f"""WITH {_NAMED}
@@ -270,6 +276,21 @@ def union_sources(t):
     return L.union_sources(mapped).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("salary_raw").alias("priced"))
 
 
+@query("gather_feeds", sql=f"""WITH {_NAMED},
+    frames AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey % 800 ORDER BY length(p_type), p_partkey) AS k FROM part WHERE p_partkey % 9 <> 0) WHERE k = 1)
+    SELECT p_name AS title, company, CASE WHEN p_partkey % 4 = 0 THEN 'https://apply.example/' ELSE 'https://l.example/' END || p_partkey AS url,
+        'lever:' || slug AS source, 'workday' AS failed FROM named
+    UNION ALL SELECT p_name, CASE WHEN p_partkey % 8 = 0 THEN '' ELSE p_brand END, 'https://f.example/' || (p_partkey % 800), 'jobspy', 'workday' FROM frames""")
+def gather_feeds(t):
+    """Array files and a Parquet table, landed first, read as feeds beside one that is not there."""
+    root = scratch_path(t.spark, "feeds")
+    arrays = _postings_texts(t).groupBy(F.floor(F.col("p_partkey") / 500)).agg(F.array_join(F.collect_list("body"), ",\n").alias("items"))
+    arrays.select(F.concat(F.lit("["), "items", F.lit("]"))).write.text(f"{root}/arrays")
+    _frame(t).write.parquet(f"{root}/frame")
+    found = gather(t.spark, [(Postings(companies(t)), f"{root}/arrays"), (Frame(), f"{root}/frame"), (Tenant(), f"{root}/absent")])
+    return found.postings.select("title", "company", "url", "source", F.lit(",".join(found.failed)).alias("failed"))
+
+
 @query("scan_edits", uses=("jobs",), sql="""
     SELECT job_id, status, 'note ' || l_partkey AS notes FROM jobs WHERE l_partkey % 5 <> 0""")
 def scan_edits(t):

@@ -17,6 +17,7 @@ from ..functions.money import parse_salary, salary_fallback
 from ..functions.text import DEFAULT_MAX_TOKENS, clean_text, jd_hash, make_job_id
 from ..functions.urls import canonical_url
 from ..schema import API_CALL, POSTING
+from .arrays import read_array_records
 
 CORRUPT = "_corrupt_record"
 
@@ -51,13 +52,9 @@ def read_landed(
     """Landed JSON with an explicit schema; unreadable records keep their text in a side column.
 
     By default every line is a record.  With ``multi_line`` every file is one object, or an array
-    of them.
+    of them; a large array is read by several tasks.
     """
-    texts = spark.read.text(path, wholetext=multi_line)
-    if multi_line:
-        value = strip("value")
-        listed = F.when(value.startswith("["), F.from_json(value, "array<string>"))
-        texts = texts.select(F.explode(F.coalesce(listed, F.array(value))).alias("value"))
+    texts = read_array_records(spark, path) if multi_line else spark.read.text(path)
     return parse_landed(texts.filter(strip("value") != ""), "value", schema)
 
 
