@@ -45,7 +45,7 @@ def _streamed_calls(t):
         round(sum(est_cost_gbp), 4) AS est_cost_gbp FROM calls GROUP BY ALL""")
 def stream_cost(t):
     root = scratch_path(t.spark, "stream-cost")
-    finish(S.write_updates(S.stream_cost(_streamed_calls(t)), f"{root}/table", f"{root}/progress"))
+    finish(S.write_updates(S.stream_cost(_streamed_calls(t)), f"{root}/table", f"{root}/progress", ["day", "operation", "model"]))
     return read_updates(t.spark, f"{root}/table", ["day", "operation", "model"]).withColumn("est_cost_gbp", F.round("est_cost_gbp", 4))
 
 
@@ -53,7 +53,7 @@ def stream_cost(t):
     SELECT CAST(timestamp AS DATE) AS day, round(sum(est_cost_gbp), 4) AS cost_gbp FROM calls GROUP BY 1 HAVING sum(est_cost_gbp) > 0.42""")
 def stream_soft_cap(t):
     root = scratch_path(t.spark, "stream-cap")
-    finish(S.write_updates(S.stream_soft_cap(_streamed_calls(t), 0.42), f"{root}/table", f"{root}/progress"))
+    finish(S.write_updates(S.stream_soft_cap(_streamed_calls(t), 0.42), f"{root}/table", f"{root}/progress", ["day"]))
     return read_updates(t.spark, f"{root}/table", ["day"]).withColumn("cost_gbp", F.round("cost_gbp", 4))
 
 

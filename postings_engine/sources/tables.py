@@ -107,6 +107,11 @@ def compact(spark: SparkSession, root: str) -> None:
     write_version(scan_jobs(spark, root), root, current_version(spark, root)[0] + 1, "full")
 
 
+def compact_updates(spark: SparkSession, root: str, keys: list[str]) -> None:
+    """As :func:`compact`, for a table kept by updates."""
+    write_version(read_updates(spark, root, keys), root, current_version(spark, root)[0] + 1, "full")
+
+
 def point_lookup(jobs: DataFrame, job_id: str) -> DataFrame:
     return jobs.filter(F.col("job_id") == job_id)
 

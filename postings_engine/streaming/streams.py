@@ -13,7 +13,7 @@ from ..plans.costs import SOFT_CAP_GBP
 from ..plans.daily import empty_history
 from ..schema import HISTORY
 from ..sources.tables import (
-    compact, current_version, deltas_since_full, has_batch, read_history, write_version,
+    compact, compact_updates, current_version, deltas_since_full, has_batch, read_history, write_version,
 )
 
 
@@ -85,11 +85,12 @@ def stream_soft_cap(calls: DataFrame, cap: float = SOFT_CAP_GBP, delay: str = "1
     return daily.filter(F.col("cost_gbp") > cap).select(F.to_date("window.start").alias("day"), "cost_gbp")
 
 
-def write_updates(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def write_updates(df: DataFrame, path: str, checkpoint: str, keys: list[str], compact_every: int = 50) -> DataStreamWriter:
     """Keep an aggregation as a table: each micro-batch adds the rows that it changed.
 
     In update mode the watermark lets old days leave the state, and a batch writes changed rows alone;
-    :func:`postings_engine.sources.tables.read_updates` gives the newest row per key.
+    :func:`postings_engine.sources.tables.read_updates` gives the newest row per key.  Every ``compact_every``
+    batches these rows are written as one full version, so a reader never unites more versions than that.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -97,5 +98,8 @@ def write_updates(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter
         if not has_batch(session, path, stream, batch_id):
             found = current_version(session, path)
             write_version(batch, path, found[0] + 1 if found else 1, "delta" if found else "full", stream, batch_id)
+        # Also after a replay: the batch may have been recorded and the compaction lost.
+        if deltas_since_full(session, path) >= compact_every:
+            compact_updates(session, path, keys)
 
     return df.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)

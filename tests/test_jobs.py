@@ -260,3 +260,17 @@ def test_registered_queries_match_their_sql(spark, name):
     place = [[c[0] for c in result.description].index(c) for c in columns]
     want = sorted(repr([row[i] for i in place]) for row in result.fetchall())
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == want
+
+
+def test_updates_are_compacted(spark, tmp_path):
+    for n in range(9):
+        spark.createDataFrame([("a", n), (f"k{n % 2}", 1)], "k string, v long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    totals = spark.readStream.schema("k string, v long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).groupBy("k").agg(F.sum("v").alias("v"))
+    root = str(tmp_path / "table")
+    writer = S.write_updates(totals, root, str(tmp_path / "progress"), ["k"], compact_every=3)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    # Nine batches: a full version, then three deltas and a full version, twice, and two deltas.
+    assert B.current_version(spark, root)[0] == 11 and B.deltas_since_full(spark, root) == 2
+    stored = B.read_updates(spark, root, ["k"])
+    assert stored._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 4
+    assert {r["k"]: r["v"] for r in stored.collect()} == {"a": 36, "k0": 5, "k1": 4}
