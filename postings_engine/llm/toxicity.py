@@ -1,7 +1,9 @@
 """Toxicity: a linear classifier over character n-grams, scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams of a whole text (hashed).  Each is scaled by the log of the ratio of its
+Features are the distinct n-grams of a text (hashed).  Each is scaled by the log of the ratio of its
 smoothed shares in toxic and other texts, and a logistic regression on the scaled features gives the weights.
+A text is scored window by window and takes its highest score: a whole text has more n-grams the longer it is, of
+either kind, while a window has about as many as the texts that were learned from.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ FEATURES = 768
 MIN_CHI = 10.83
 RIDGE = 1.0
 THRESHOLD = 0.5
+# Characters of a window, and how far the next one begins: about the length of a text, chosen on the learning folds.
+WINDOW, WINDOW_STEP = 2000, 1750
 
 
 @dataclass
@@ -71,15 +75,14 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
 
 
 def select_features(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-    """The FEATURES n-grams that depend most on the class, by chi-squared; sorted slots.
+    """The FEATURES n-grams that depend most on the class, by chi-squared, whichever class they speak for; sorted slots.
 
-    N-grams that both classes have alike, or that toxic texts lack, are left out: a long text has them all, and
-    what it has of them must not outweigh an insult.
+    N-grams that both classes have alike are left out.
     """
     df = counts.sum(axis=0)
     expected = df * totals[1] / totals.sum()
     spread = expected * (1 - df / totals.sum()) * totals[0] / totals.sum()
-    chi = np.where((spread > 0) & (counts[1] > expected), (counts[1] - expected) ** 2 / np.maximum(spread, 1e-12), -1.0)
+    chi = np.where(spread > 0, (counts[1] - expected) ** 2 / np.maximum(spread, 1e-12), -1.0)
     best = np.argsort(-chi, kind="stable")[:FEATURES]
     return np.sort(best[chi[best] >= MIN_CHI])
 
@@ -163,6 +166,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     return Model(weights, b)
 
 
+def windows(text: str) -> Iterator[str]:
+    """The whole text in windows that overlap, the last one as long as the others; a short text is one window."""
+    for start in range(0, max(len(text) - WINDOW, 0), WINDOW_STEP):
+        yield text[start:start + WINDOW]
+    yield text[max(len(text) - WINDOW, 0):]
+
+
+def text_score(text: str, grams: GramSets, weights: np.ndarray, bias: float) -> float:
+    """The highest probability of the text's windows."""
+    return float(sigmoid(max(weights[grams.of(part)].sum() for part in windows(text)) + bias))
+
+
 def toxic_score(docs: DataFrame, model: Model) -> Column:
     """A column with the probability that the text of ``docs`` is toxic."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
@@ -171,7 +186,7 @@ def toxic_score(docs: DataFrame, model: Model) -> Column:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grams, (weights, bias) = GramSets(SIZES, BITS), shared.value
         for texts in parts:
-            yield pd.Series([float(sigmoid(weights[grams.of(t)].sum() + bias)) for t in texts], dtype="float64")
+            yield pd.Series([text_score(t, grams, weights, bias) for t in texts], dtype="float64")
 
     return score(python_text(docs))
 
@@ -181,7 +196,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", sam
 
     Learns from labels (doc_id, ``label`` 0 or 1) outside the held-out fold; null labels and ids that no document has are
     not used.  Null and empty texts are scored by their n-grams, which are none; rows with null or repeated ids are each
-    scored; other columns are not read.  Texts are not shuffled.
+    scored; equal scores need no order; other columns are not read.  A very long text is scored in all its windows, each of
+    bounded size.  An empty table gives no rows.  Texts are not shuffled.
     """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", FOLDS, HELD_OUT).alias("held_out"),
                          toxic_score(docs, fit(docs, labels, label, sample)).alias("score"))
