@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,33 @@ def test_line_filters_miss_no_repeat(spark, documents):
     assert {f"shared {k}".encode() for k in range(200)} <= found and len(found) < 240
 
 
+@pytest.mark.parametrize("filter_bytes", [0, 1 << 20])
+def test_line_filters_of_many_ranges(spark, documents, monkeypatch, filter_bytes):
+    """Tasks that send on their hashes after every few lines, dozens of ranges, one line in a third of all rows."""
+    monkeypatch.setattr(line_dedup, "HELD", 5)
+    rows = [(i, "\n".join([f"once {i}", f"shared {i // 2}", *["hot"] * (i % 3 == 0), "", f"tail {i}"])) for i in range(600)]
+    df = documents(rows).repartition(7)
+    parts, segments = line_dedup.twice_seen(df, 1 << 10)
+    assert segments > 30 and parts.count() > 30
+    found = Counter(bytes(r["line"]) for r in line_dedup.suspects(df, 1 << 10, 1, filter_bytes).collect())
+    assert all(found[f"shared {k}".encode()] == 2 for k in range(300)) and found[b"hot"] == 200
+    assert len(found) == 1501 if filter_bytes == 0 else len(found) < 400
+    out = line_dedup.drop_repeated_lines(df, 2, bits=1 << 10, filter_bytes=filter_bytes)
+    assert sorted((tuple(r) for r in out.select("row.doc_id", "n_lines", "n_dropped", "kept").collect()), key=str) == plain_lines(rows, 2, False)
+
+
+def test_a_full_range_suspects_few_lines():
+    """A range has at most BITS / 16 lines at any size of the input, so this share holds at any size, too."""
+    hashes = np.unique(np.random.default_rng(1).integers(0, 1 << 64, line_dedup.BITS // 16, np.uint64))
+    rows = [(0, h.tobytes()) for h in np.array_split(hashes, 10)]
+    frames = [pd.DataFrame(rows[:6], columns=["segment", "hashes"]), pd.DataFrame([*rows[6:], *[(1, hashes[-3:].tobytes())] * 2], columns=["segment", "hashes"])]
+    out = pd.concat(line_dedup._find_twice(line_dedup.BITS)(iter(frames)))
+    filters = dict(zip(out["segment"], out["twice"]))
+    seen = {k: np.frombuffer(v, np.uint8) for k, v in filters.items()}
+    has = lambda k: np.logical_and(*[line_dedup._has(seen[k], x) for x in line_dedup._slots(hashes, 8 * len(seen[k]))])
+    assert has(0).mean() < 0.02 and has(1)[-3:].all()
+
+
 def windows_of(got, window):
     by = defaultdict(list)
     for r in got:
