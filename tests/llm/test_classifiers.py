@@ -75,6 +75,61 @@ def test_language_scores_are_the_kernel_ridge(prose):
     assert (langid.presence(sets) @ model.weights + model.bias).argmax(axis=1).tolist() == [0] * 30 + [1] * 30
 
 
+def test_language_is_ridge_regression_solved_directly(spark, documents, prose, monkeypatch):
+    """Scores from kernel values alone: weights of landmarks and a constant, by least squares with the kernel as penalty."""
+    monkeypatch.setattr(langid, "LANDMARKS", 5)
+    rows = [(i, prose(i, 5 + i % 9, ("aa", "bb")[i % 2]) + (" zo" * 9 if i % 6 == 0 else ""), ("aa", "bb", "cc")[i % 6 and 1 + i % 2]) for i in range(90)]
+    df = documents(rows + rows[:3])
+    model = langid.fit(df, 1000)
+    grams = GramSets(langid.SIZES, langid.BITS)
+    train = [(set(grams.of(t).tolist()), lang) for i, t, lang in rows if not fold(i, 3, 1)]
+    languages = sorted({lang for _, lang in train})
+    assert model.languages == languages and len(languages) == 3
+    taken = sorted((lang, F_hash(spark, np.array(sorted(s), np.uint16).tobytes()), k) for k, (s, lang) in enumerate(train))
+    marks = [train[k][0] for x in languages for _, _, k in [t for t in taken if t[0] == x][:5]]
+    value = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    columns = np.array([[value(s, m) for m in marks] + [1.0] for s, _ in train])
+    weight = np.array([1 / sum(x == lang for _, x in train) for _, lang in train])[:, None]
+    y = np.array([[1.0 if x == lang else -1.0 for x in languages] for _, lang in train])
+    penalty = np.zeros((len(marks) + 1,) * 2)
+    penalty[:-1, :-1] = langid.RIDGE * np.array([[value(a, b) for a in marks] for b in marks])
+    direct = np.linalg.lstsq(columns.T @ (weight * columns) + penalty, columns.T @ (weight * y), rcond=1e-12)[0]
+    texts = [t for _, t, _ in rows]
+    want = np.array([[value(set(grams.of(t).tolist()), m) for m in marks] + [1.0] for t in texts]) @ direct
+    got = langid.presence([grams.of(t) for t in texts]) @ model.weights + model.bias
+    assert np.allclose(got, want, atol=2e-3)
+    langs, scores = langid.predict(texts, model, grams)
+    spread = np.exp(langid.SHARPNESS * want)
+    assert langs == [languages[k] for k in want.argmax(axis=1)]
+    assert np.allclose(scores, spread.max(axis=1) / spread.sum(axis=1), atol=2e-2)
+
+
+def F_hash(spark, data):
+    return spark.createDataFrame([(data,)], "x binary").select(F.xxhash64("x")).first()[0]
+
+
+def test_three_hundred_languages(spark, documents):
+    """Every language is learned, however many there are, and the driver's part stays small."""
+    import random
+    import tracemalloc
+
+    def write(k, seed):
+        rng = random.Random(seed)
+        own = [chr(0x100 + 2 * k + j // 2 % 2) + chr(0x61 + (k + 5 * j) % 26) for j in range(4)]
+        return " ".join("".join(rng.choices(own, k=rng.randint(1, 3))) for _ in range(12))
+
+    rows = [(1000 * k + n, write(k, 1000 * k + n), f"l{k:03}") for k in range(300) for n in range(9)]
+    df = documents(rows)
+    tracemalloc.start()
+    model = langid.fit(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 300 and peak < 500 << 20
+    held = [r for r in rows if fold(r[0], 3, 1)]
+    langs, _ = langid.predict([t for _, t, _ in held], model, GramSets(langid.SIZES, langid.BITS))
+    assert np.mean([a == r[2] for a, r in zip(langs, held)]) > 0.95
+
+
 def test_grams_are_those_of_the_whole_text(monkeypatch):
     grams = GramSets((1, 3), 16)
     text = "Ab  cde\nfgh " * 50 + "zyx"
