@@ -1,0 +1,128 @@
+"""Near copies by five-word shingles, for what lies outside the radius of a SimHash.
+
+At a similarity of 0.8 SimHashes differ in about ten bits of 64: a cover of that radius would take thousands of
+tables.  So candidates come from bands of least hashes, and each link is verified by the shingles themselves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .frames import python_text, stored
+from .graph import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+# A pair at the similarity shares a band of 4 least hashes with chance 0.41, one of 14 bands with chance 0.999.
+BANDS, ROWS = 14, 4
+# Members of a band that are compared with one another; larger ones are divided by the other bands, then dealt.
+FULL = 512
+SEED = 42
+_BLOCK = 1 << 12
+
+_FACTORS, _SHIFTS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+
+
+def shingles(text: str) -> np.ndarray:
+    """Sorted hashes (32 bits) of the distinct five-word shingles; fewer words are one shingle, none are none."""
+    words = text.encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint32)
+    runs = [b" ".join(words)] if len(words) < SHINGLE else map(b" ".join, zip(*[words[k:] for k in range(SHINGLE)]))
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(r, SEED) for r in runs), np.uint32))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key per band of least hashes."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), _BLOCK):
+        mixed = (hashes[at:at + _BLOCK].astype(np.uint64) ^ _SHIFTS) * _FACTORS
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * _FACTORS
+        least = np.minimum(least, mixed.min(axis=1))
+    return [xxhash.xxh3_64_intdigest(least[k * ROWS:(k + 1) * ROWS].tobytes()) - (1 << 63) for k in range(BANDS)]
+
+
+def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(i, s) for i, s in zip(batch["rep"], map(shingles, batch["text"])) if len(s)]
+        yield pd.DataFrame({"rep": np.array([i for i, _ in rows], np.int64), "keys": [band_keys(s) for _, s in rows],
+                            "shingles": [s.tobytes() for _, s in rows]})
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Whether two sets (sorted) share ``least`` of all they have."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= least * (len(a) + len(b) - common)
+
+
+def links(sets: list[np.ndarray], least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links that connect all that is connected by similar pairs: each found set looks among those not yet found."""
+    left, out = list(range(len(sets))), []
+    while left:
+        queue, left = [left[0]], left[1:]
+        while queue and left:
+            at = queue.pop()
+            found = {x for x in left if similar(sets[at], sets[x], least)}
+            left = [x for x in left if x not in found]
+            out += [(at, x) for x in found]
+            queue += found
+    return out
+
+
+def _verify(least: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            a, b = [], []
+            for reps, packed in zip(batch["reps"], batch["sets"]):
+                for x, y in links([np.frombuffer(p, np.uint32) for p in packed], least):
+                    a.append(reps[x])
+                    b.append(reps[y])
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return run
+
+
+def candidate_groups(signed: DataFrame, full: int = FULL) -> DataFrame:
+    """``members``: sorted ids (rep) that share a band, each list once and with at most about ``full`` ids.
+
+    A band's key with more ids is divided by the keys of the other bands.  What is still larger is dealt by a hash,
+    anew for every pair of bands, and each part is given the least id of all, which ties a group of near copies together.
+    """
+    keyed = signed.select("rep", "keys", F.posexplode("keys").alias("t", "key"))
+    sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    others = F.transform("keys", lambda key, u: F.struct(u.cast("int").alias("u"), key.alias("sub")))
+    whole = F.array(F.struct(F.lit(-1).alias("u"), F.lit(0).cast("long").alias("sub")))
+    cut = (keyed.join(sizes, ["t", "key"])
+           .select("t", "key", "rep", F.explode(F.when(F.col("n") > full, others).otherwise(whole)).alias("s"))
+           .filter("s.u <> t").select("t", "key", "s.u", "s.sub", "rep"))
+    place = ["t", "key", "u", "sub"]
+    parts = cut.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("least")).filter("n > 1")
+    parts = parts.withColumn("parts", F.ceil(F.col("n") / full))
+    dealt = cut.join(parts.select(*place, "parts"), place).withColumn("part", F.pmod(F.xxhash64("rep", "t", "u"), F.col("parts")))
+    ties = (parts.filter("parts > 1").select(*place, F.col("least").alias("rep"), "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    grouped = dealt.unionByName(ties).groupBy(*place, "part").agg(F.collect_set("rep").alias("m"))
+    return grouped.select(F.sort_array("m").alias("members")).filter(F.size("members") > 1).distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, full: int = FULL) -> DataFrame:
+    """``doc_id, component_id``: documents linked to others, directly or by others, and the least doc_id of all these.
+
+    A link is a similarity (shared over all five-word shingles, words as in SimHash) of at least ``similarity``.  Ids
+    must not repeat: drop equal texts first.  Rows without id or without a word link to nothing.  Texts of any length are
+    read whole, once, and not shuffled; candidates are joined to their shingles' hashes.  An empty table gives no rows.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), python_text(docs).alias("text")).filter("rep is not null")
+    signed = stored(texts.mapInPandas(_sign, "rep long, keys array<long>, shingles binary"), "band-keys")
+    groups = candidate_groups(signed.select("rep", "keys"), full).withColumn("group", F.xxhash64("members"))
+    asked = stored(groups.select("group", F.explode("members").alias("rep")), "band-members")
+    listed = (asked.join(signed.select("rep", "shingles"), "rep").groupBy("group")
+              .agg(F.collect_list(F.struct("rep", "shingles")).alias("m")).select(F.col("m.rep").alias("reps"), F.col("m.shingles").alias("sets")))
+    roots = components(listed.mapInPandas(_verify(similarity), "a long, b long"))
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
