@@ -9,15 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postings_engine.llm import decontam, langid, line_dedup, packing, simhash
+from postings_engine.llm import decontam, langid, line_dedup, near_text, packing, simhash
 from postings_engine.llm.frames import table
 from postings_engine.session import materialise
 
 
+# A language is recognised where it is likelier than all the others together; shorter texts cannot be told.
+MIN_SCORE, MIN_CHARS = 0.5, 20
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter; no prediction or score rejects one, nor does a table that no language is learned from."""
-    found = langid.language(docs, langid.fit(docs))
-    return _keep(docs, found["lettered"])
+    """Documents in a language that the classifier knows.
+
+    Those without a letter go, and those of MIN_CHARS characters or more whose prediction has a score under MIN_SCORE.
+    Where no language was learned (und), all documents with a letter stay.
+    """
+    found = langid.language(docs, langid.fit(docs)).alias("found")
+    unknown = (F.col("found.lang_pred") != langid.UNDETERMINED) & (F.col("found.score") < MIN_SCORE) & (F.length("_row.text") >= MIN_CHARS)
+    judged = docs.select(F.struct("*").alias("_row"), found)
+    return judged.filter(F.col("found.lettered") & ~unknown).select("_row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +44,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose SimHashes (op3: 3-word shingles) differ in at most 3 bits: the one with the least doc_id.
+    """One document of each group of near copies: the one with the least doc_id.
 
-    Most near copies in the wider sense (5-word similarity of 0.8 or more) differ in more bits and stay.
+    First of those whose SimHashes (op3: 3-word shingles) differ in at most 3 bits, then, among what is left, of those
+    with a five-word similarity of 0.8 or more, which mostly differ in more bits.
     Of rows that repeat this id one stays; rows without an id cannot be grouped and stay.
     """
     found = simhash.near_duplicates(docs)
     chosen = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_chosen")).distinct()
     named = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    first = (named.filter("_id is not null").join(chosen, F.col("_id") == F.col("_chosen"), "left_semi")
-             .dropDuplicates(["_id"]).select("_row"))
-    unnamed = named.filter("_id is null").select("_row")
-    return first.union(unnamed).select("_row.*")
+    first = named.filter("_id is not null").join(chosen, F.col("_id") == F.col("_chosen"), "left_semi").dropDuplicates(["_id"])
+    left = materialise(first.union(named.filter("_id is null")), "near-left")
+    copies = near_text.near_copies(left.select(F.col("_id").alias("doc_id"), "_row.text")).filter("doc_id <> component_id")
+    return left.join(copies.select(F.col("doc_id").alias("_copy")), F.col("_id") == F.col("_copy"), "left_anti").select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
