@@ -2,16 +2,57 @@
 
 from __future__ import annotations
 
+import random
 import re
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from postings_engine.llm import decontam, langid, packing, queries
+from postings_engine.llm import decontam, langid, near_text, packing, queries
 
 from .test_near import plain_align, plain_components, plain_fingerprint
 from .test_rows import plain_lines, windows_of
 
 
+def plain_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k:k + 5]) for k in range(max(len(words) - 4, 1))} if words else set()
+
+
+def test_unrecognised_texts_go(spark, documents, prose):
+    rng = random.Random(5)
+    write = lambda seed, letters: " ".join("".join(random.Random(f"{seed} {k}").choices(letters, k=5)) for k in range(40))
+    rows = [(i, write(i, ("abcd", "efgh", "ijkl", "mnop")[i % 4]), "wxyz"[i % 4]) for i in range(160)]
+    rows += [(900, "".join(rng.choices("qrstuv 0123456789", k=400)), None), (901, "日本語の文章です。" * 20, None), (902, "qq", None), (903, "12 34", None), (904, None, None)]
+    out = corpus_pipeline.language_id(spark, documents(rows), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [*range(160), 902]
+
+
+@pytest.mark.parametrize("full", [4, 512])
+def test_near_copies_match_brute_force(spark, documents, prose, full):
+    """Edited copies at all distances, a large group, and texts that only share a passage."""
+    rows = []
+    for k in range(12):
+        words = prose(k, 120).split()
+        for n in range(4):
+            edited = list(words)
+            for at in range(7, 7 + 20 * n, 20):
+                edited[at] = f"edit{n}"
+            rows.append((100 * k + n, " ".join(edited)))
+    passage = prose(77, 60)
+    rows += [(5000 + n, f"{prose(600 + n, 60)} {passage}") for n in range(8)]
+    rows += [(6000 + n, f"{prose(78, 150)} x{n}") for n in range(30)] + [(7000, "A b"), (7001, "a  B"), (7002, ""), (7003, None), (None, prose(1, 120)), (7004, "ba " * 30_000)]
+    sets = {i: plain_shingles(t or "") for i, t in rows if i is not None}
+    want = plain_components(set(sets), [(a, b) for a, x in sets.items() for b, y in sets.items() if x and len(x & y) >= 0.8 * len(x | y)])
+    df = documents(rows).withColumn("rep", F.lit("r")).withColumn("keys", F.lit(1))
+    got = {r["doc_id"]: r["component_id"] for r in near_text.near_copies(df, full=full).collect()}
+    assert len({i for i in want if want[i] != i}) > 50
+    assert {i: got.get(i, i) for i in want} == want
+    assert near_text.near_copies(df.limit(0)).count() == 0
+
+
 def test_run_matches_brute_force(spark, documents, prose, tmp_path):
     rows = [(i, prose(i, 60, "aa") + f"\nfooter of all\n{prose(i + 900, 8)}", "aa") for i in range(60)]
     rows += [(100 + i, prose(7, 70, "bb") + (" end" if i % 2 else ""), "bb") for i in range(8)]  # copies
@@ -23,7 +64,7 @@ def test_run_matches_brute_force(spark, documents, prose, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
 
-    # Language: here only documents without a letter are rejected, whatever the classifier makes of the others.
+    # Language: of two languages one is always likelier, so only documents without a letter are rejected.
     left = [(i, t) for i, t, *_ in rows if any(map(str.isalpha, t or ""))]
     blank = re.compile(r"[ \t\n\x0b\f\r]*")
     out = plain_lines(left, 10, True)
@@ -32,6 +73,10 @@ def test_run_matches_brute_force(spark, documents, prose, tmp_path):
     prints = {i: plain_fingerprint(t) for i, t in left if i is not None}
     roots = plain_components(set(prints), [(a, b) for a, x in prints.items() for b, y in prints.items() if (x ^ y).bit_count() <= 3])
     left = [(i, t) for i, t in left if i is None or roots[i] == i]
+    sets = {i: plain_shingles(t) for i, t in left if i is not None}
+    roots = plain_components(set(sets), [(a, b) for a, x in sets.items() for b, y in sets.items() if x and len(x & y) >= 0.8 * len(x | y)])
+    left = [(i, t) for i, t in left if i is None or roots[i] == i]
+    assert 101 not in dict(left)  # one word more than document 100, over 3 bits
     leaks = lambda t: any(plain_align(decontam.words(x), decontam.words(t)) >= 0.6 * 2 * len(decontam.words(x)) for _, x in items)
     left = [(i, t) for i, t in left if not leaks(t)]
     assert not {400, 401, 402, 403} & {i for i, _ in left} and 100 in dict(left) and 102 not in dict(left)
