@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
 from ..operators.merge import close_stale, fold_run, import_edits, sync
 from ..operators.scoring import ScoreBatches, prescore_and_route, score_round_trip
+from ..operators.texts import with_texts
 from ..schema import CONTENT_COLUMNS, HISTORY, POSTING
 from ..session import materialise
 from ..sources.tables import append_run, current_version, read_history, write_version
@@ -30,18 +31,22 @@ def daily_run(
     jobs: DataFrame, postings: DataFrame, order: list[str], profile: Mapping, as_of,
     edits: DataFrame | None = None, score_batches: ScoreBatches | None = None,
     threshold: float = DEFAULT_PRESCORE_THRESHOLD, ranker_version: str = "v1", stale_days: int = 14,
+    texts: DataFrame | None = None,
 ) -> RunResult:
     """One run over conformed ``postings``; the merged table is not written.
 
     The filtered and scored rows are stored once, since the merge reads them twice.  Filters run before the merge, so a known posting that no longer passes is not seen again and
-    goes stale like one that disappeared.
+    goes stale like one that disappeared.  With ``texts`` (see ``operators.texts``) descriptions are names, in
+    ``jobs`` and in the result too: the keyword score and the scorer read the texts, and nothing else moves them.
     """
     if edits is not None:
         jobs = import_edits(jobs, edits).drop("edited", "conflict", "edits_applied")
     kept = apply_filters(postings, profile, jobs, as_of)
-    scored = prescore_and_route(kept, profile, threshold, ranker_version, score_batches is not None)
+    read = with_texts(kept.withColumn("_named", F.col("description")), texts)
+    scored = prescore_and_route(read, profile, threshold, ranker_version, score_batches is not None)
+    scored = scored.withColumn("description", F.col("_named")).drop("_named")
     if score_batches is not None:
-        scored = score_round_trip(scored, score_batches, ranker_version, order=order)
+        scored = score_round_trip(scored, score_batches, ranker_version, order=order, texts=texts)
     columns = [f.name for f in POSTING.fields]
     routed = materialise(scored.select(*dict.fromkeys([*columns, *order])), "routed")
     merged = sync(jobs, routed, order, as_of)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.dedup import keep_first
 from ..schema import HISTORY
 
+TEXTS = "_name string, _text string"
 LEDGER = "version bigint, kind string, path string, stream string, batch bigint"
 
 
@@ -37,6 +38,31 @@ def write_version(
     return path
 
 
+def write_texts(texts: DataFrame, jobs: DataFrame, root: str) -> None:
+    """Add the texts that descriptions of ``jobs`` name to the table's store of texts, where each lies once."""
+    spark, path = texts.sparkSession, f"{root}/_texts"
+    named = texts.join(jobs.select(F.col("description").alias("_name")), "_name", "left_semi")
+    found = _texts(spark, root)
+    (named if found is None else named.join(found, "_name", "left_anti")).write.mode("append").parquet(path)
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(TEXTS).parquet(f"{root}/_texts")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+def stored_texts(spark: SparkSession, root: str) -> DataFrame:
+    """``(_name, _text)``: the table's texts, each once, whatever failed writes left twice."""
+    found = _texts(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"no texts stored under {root}")
+    return found.groupBy("_name").agg(F.first("_text").alias("_text"))
+
+
 def _ledger(spark: SparkSession, root: str) -> DataFrame | None:
     try:
         return spark.read.schema(LEDGER).parquet(f"{root}/_versions/v*")
