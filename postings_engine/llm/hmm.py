@@ -6,8 +6,9 @@ by its share among those, whatever the state.  So the recursion runs where the t
 outside the vocabulary meet their counts in a join; the sum of both is the exact probability of the text.
 
 Every round of Baum-Welch runs over the stored sequences; a task adds up the expected counts of its texts, and only these
-sums are shuffled.  The starting point comes from rounds over about ``START_TEXTS`` training texts; the ``ROUNDS`` rounds that make the
-model run over every training text.
+sums are shuffled.  All ``ROUNDS`` rounds run over every training text.  The first is taken in ``START_ROUNDS`` parts, each text in one of
+them by a hash: after each part the model is made anew, from its expected counts and half of those before, so that the next part
+meets a better model.
 """
 
 from __future__ import annotations
@@ -23,11 +24,10 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 from .frames import held_out, python_text
-from .ranking import drawn
 
 STATES = 16
 VOCABULARY = 65_000  # symbols are stored in 16 bits
-ROUNDS, START_ROUNDS, START_TEXTS = 2, 8, 4000
+ROUNDS, START_ROUNDS = 2, 8
 # Occurrences' worth of the words' overall shares that each state starts with, and the same for transitions.
 PRIOR, MOVE_PRIOR = 20.0, 1.0
 END = 0
@@ -143,7 +143,7 @@ def time_major(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.
 def forward(model: Model, symbols: np.ndarray, offsets: np.ndarray, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scaled forward vectors and scales of all symbols, and their emissions; ``before`` is the vector of the symbol before the first."""
     emitted = model.emit[symbols]
-    alpha, scale = emitted.copy(), np.empty(len(symbols))
+    alpha, scale = emitted.copy(), np.empty(len(symbols), emitted.dtype)
     last = None
     for t in range(len(offsets) - 1):
         here = alpha[offsets[t]:offsets[t + 1]]
@@ -191,7 +191,7 @@ class Expected:
 
     def __init__(self, model: Model):
         self.model = model
-        self.start, self.move, self.emit = np.zeros_like(model.start), np.zeros_like(model.move), np.zeros_like(model.emit)
+        self.start, self.move, self.emit = (np.zeros(a.shape) for a in (model.start, model.move, model.emit))
         self.log, self.sequences = 0.0, 0
 
     def _backward(self, symbols, offsets, previous, alpha, scale, emitted, after: np.ndarray | None = None) -> np.ndarray:
@@ -201,7 +201,7 @@ class Expected:
         beta = None
         for t in range(len(offsets) - 2, -1, -1):
             here = slice(offsets[t], offsets[t + 1])
-            now = np.ones((offsets[t + 1] - offsets[t], len(self.model.start)))
+            now = np.ones((offsets[t + 1] - offsets[t], len(self.model.start)), alpha.dtype)
             if beta is not None:
                 now[:len(beta)] = beta
             elif after is not None:
@@ -213,7 +213,7 @@ class Expected:
         self.move += self.model.move * (alpha[previous].T @ emitted[offsets[1]:])
         for k in range(self.emit.shape[1]):
             self.emit[:, k] += np.bincount(symbols, weights=self._gamma[:, k], minlength=len(self.emit))
-        self.log += np.log10(scale).sum()
+        self.log += np.log10(scale).sum(dtype=np.float64)
         return emitted[:1]
 
     def add(self, sequences: list[np.ndarray], size: int = CHUNK) -> None:
@@ -289,28 +289,54 @@ def first_model(vocabulary: Vocabulary, states: int) -> Model:
     return Model(np.full(states, 1.0 / states), move, emit / emit.sum(axis=0))
 
 
-def baum_welch_round(sequences: DataFrame, model: Model, vocabulary: Vocabulary) -> tuple[Model, float]:
-    """One round over all rows of ``sequences`` (column symbols): the next model, and log10 of the data under the one before.
+@dataclass
+class Sums:
+    """Expected counts of many texts, and log10 of their probability."""
+
+    start: np.ndarray
+    move: np.ndarray
+    emit: np.ndarray
+    log: float
+
+    def after(self, before: Sums | None) -> Sums:
+        """With half of what ``before`` holds."""
+        if before is None:
+            return self
+        return Sums(self.start + before.start / 2, self.move + before.move / 2, self.emit + before.emit / 2, self.log)
 
-    What reaches the driver is one row per symbol: the size of the model.
+
+def expected_sums(sequences: DataFrame, model: Model) -> Sums | None:
+    """Expected counts over all rows of ``sequences`` (column symbols); None without rows.
+
+    Tasks run the recursions in single precision and add up in double.  What reaches the driver is one row per symbol: the size of the model.
     """
     spark, states = sequences.sparkSession, len(model.start)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(Model(*(a.astype(np.float32) for a in (model.start, model.move, model.emit))))
     schema = "symbol int, " + ", ".join(f"s{k} float" for k in range(states))
     sums = sequences.select("symbols").mapInPandas(_expect(shared, states), schema).groupBy("symbol").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states)))
     found = sums.toArrow().to_pandas()
     shared.destroy()
     if found.empty:
-        return model, 0.0
+        return None
     by_name = {int(s): np.array(row, np.float64) for s, *row in found[found["symbol"] < 0].itertuples(index=False)}
     own = found[found["symbol"] >= 0]
     emit = np.zeros_like(model.emit)
     emit[own["symbol"].to_numpy()] = own.drop(columns="symbol").to_numpy(np.float64)
+    return Sums(by_name[-1], np.stack([by_name[-3 - k] for k in range(states)]), emit, float(by_name[-2][0]))
+
+
+def model_of(sums: Sums, vocabulary: Vocabulary) -> Model:
+    """The model that expected counts and the priors make likeliest."""
+    states = len(sums.start)
     share = (vocabulary.counts + 1.0) / (vocabulary.counts + 1.0).sum()
-    emit += PRIOR * share[:, None]
-    start = by_name[-1] + MOVE_PRIOR / states
-    move = np.stack([by_name[-3 - k] for k in range(states)]) + MOVE_PRIOR / states
-    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), float(by_name[-2][0])
+    emit, start, move = sums.emit + PRIOR * share[:, None], sums.start + MOVE_PRIOR / states, sums.move + MOVE_PRIOR / states
+    return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+
+def baum_welch_round(sequences: DataFrame, model: Model, vocabulary: Vocabulary) -> tuple[Model, float]:
+    """One round over all rows of ``sequences`` (column symbols): the next model, and log10 of the data under the one before."""
+    sums = expected_sums(sequences, model)
+    return (model_of(sums, vocabulary), sums.log) if sums else (model, 0.0)
 
 
 def _score(shared):
@@ -331,19 +357,26 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, modulus: int, remainder: int
 
 
 def train(sequences: DataFrame, vocabulary: Vocabulary, states: int = STATES, rounds: int = ROUNDS, start_rounds: int = START_ROUNDS) -> Model:
-    """A model of the rows that are not held out."""
+    """A model of all the rows that are not held out, each read once a round."""
     training = sequences.filter(~F.col("held_out")).select("row_id", "symbols")
-    total = training.count()
-    model = first_model(vocabulary, states)
-    if total:
-        start = materialise(training.filter(drawn(F.xxhash64("row_id"), START_TEXTS, F.lit(total))), "start-sequences")
-        for _ in range(start_rounds):
-            model, _ = baum_welch_round(start, model, vocabulary)
-        for _ in range(rounds):
-            model, _ = baum_welch_round(training, model, vocabulary)
+    model, sums = first_model(vocabulary, states), None
+    # A part has as many texts to a task as a whole round has, so that as little is shuffled.
+    tasks = -(-training.rdd.getNumPartitions() // start_rounds)
+    for part in range(start_rounds):
+        found = expected_sums(part_of(training, part, start_rounds).coalesce(max(1, tasks)), model)
+        if found:
+            sums = found.after(sums)
+            model = model_of(sums, vocabulary)
+    for _ in range(rounds - 1):
+        model, _ = baum_welch_round(training, model, vocabulary)
     return model
 
 
+def part_of(training: DataFrame, part: int, parts: int) -> DataFrame:
+    """Each row lies in one of the parts."""
+    return training.filter(F.pmod(F.xxhash64("row_id"), F.lit(parts)) == part)
+
+
 def score(docs: DataFrame, modulus: int = 7, remainder: int = 2, vocabulary_size: int = VOCABULARY, states: int = STATES) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``.
 

@@ -146,3 +146,20 @@ def test_nothing_to_learn_from(spark, documents):
     row = hmm.score(documents([(only_held, "a b")])).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
     assert row["score"] <= 0
+
+
+def test_every_training_text_counts_in_every_round(spark, documents, prose, monkeypatch):
+    docs = documents(corpus(prose)[:120]).repartition(3)
+    vocabulary = hmm.choose_vocabulary(hmm.word_counts(docs), 10_000)
+    sequences = hmm.encode(docs, vocabulary, 7, 2)
+    read, summed = [], hmm.expected_sums
+
+    def keep(rows, model):
+        read.append({bytes(r["symbols"]) for r in rows.collect()})
+        return summed(rows, model)
+
+    monkeypatch.setattr(hmm, "expected_sums", keep)
+    hmm.train(sequences, vocabulary, states=2, rounds=2, start_rounds=3)
+    whole = {bytes(r["symbols"]) for r in sequences.filter("NOT held_out").collect()}
+    assert len(read) == 4 and set().union(*read[:3]) == whole == read[3]
+    assert sum(map(len, read[:3])) == len(whole)
