@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import ColumnLike, col
+from ..functions.columns import ColumnLike, bind, col
 from ..session import materialise, ship_code
 from .stemmer import porter_stem
 
@@ -29,6 +29,9 @@ MIN_IDF = 1e-6
 # Fixed value: words that may stand between the first and the last of words that are near.
 NEAR_DISTANCE = 10
 
+# Fixed value: words whose stems a task remembers.
+STEMS_KEPT = 1 << 17
+
 FIELDS = ("title", "company", "description")
 
 
@@ -42,7 +45,9 @@ _MARKED = {
 def fold(text: ColumnLike) -> Column:
     """Lower-cased text with the accents of Latin letters removed."""
     lowered = F.lower(F.coalesce(col(text), F.lit("")))
-    return F.translate(lowered, "".join(_MARKED), "".join(_MARKED.values()))
+    # A text of plain letters alone, one byte each, has no accents to look up.
+    return bind(lowered, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(
+        F.translate(t, "".join(_MARKED), "".join(_MARKED.values()))))
 
 
 def _folded(word: str) -> str:
@@ -54,42 +59,73 @@ def tokenize(text: ColumnLike) -> Column:
     return F.regexp_extract_all(fold(text), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
 
 
-def posting_tokens(
-    docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id"
-) -> DataFrame:
-    """One row per token: id, field, position in the field, token."""
-    per_field = F.array(
-        *[F.struct(F.lit(f).alias("field"), tokenize(f).alias("words")) for f in fields]
-    )
-    rows = docs.select(F.col(id_column).alias("job_id"), F.explode(per_field).alias("f"))
-    return rows.select("job_id", "f.field", F.posexplode("f.words").alias("position", "token"))
+def _stemmed(words: ColumnLike) -> Column:
+    """The stems of an array of words, in place; a task remembers the stems of the words it met last."""
+    ship_code(porter_stem.__module__, __name__)
 
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = lru_cache(maxsize=STEMS_KEPT)(porter_stem)
+        for listed in batches:
+            yield pd.Series([[known(w) for w in one] for one in listed], dtype=object)
 
-def stems(tokens: DataFrame) -> DataFrame:
-    """``(token, term)`` for the distinct tokens: the stemmer runs once per word, not per row."""
-    ship_code(porter_stem.__module__, __name__)
+    return F.pandas_udf(run, "array<string>")(col(words))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            yield frame.assign(term=[porter_stem(t) for t in frame["token"]])
 
-    return tokens.select("token").distinct().mapInPandas(run, "token string, term string")
+def _places_by_term(words: Column) -> Column:
+    """Structs ``(term, positions)`` of an array of words: each word once, its places sorted, from 0."""
+    def grouped(s: Column) -> Column:
+        first = F.array_compact(F.transform(
+            s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)))
+        return bind(first, lambda b: F.transform(b, lambda at, n: F.struct(
+            F.get(s, at)["term"].alias("term"),
+            F.transform(F.slice(s, at + 1, F.coalesce(F.get(b, n + 1), F.size(s)) - at), lambda x: x["p"]).alias("positions"))))
+
+    return bind(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("p")))), grouped)
+
+
+def _with_copies(docs: DataFrame, id_column: str) -> DataFrame:
+    """``docs`` with ``job_id`` and ``_copies``: how many rows share the id, NULL if none does; only ids are counted."""
+    docs = docs.withColumn("job_id", F.col(id_column))
+    copies = docs.groupBy(F.col("job_id").alias("_id")).agg(F.count(F.lit(1)).alias("_copies")).filter(F.col("_copies") > 1)
+    return docs.join(copies, F.col("job_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+
+
+def _listed(docs: DataFrame, fields: tuple[str, ...], stem: bool) -> DataFrame:
+    """``(job_id, _copies, tokens, found)``: one row per document, all its ``(field, term, positions)`` and its number of tokens.
+
+    A document's words are sorted and cut into runs where its text is read: no token is shuffled.
+    """
+    words = docs.select("job_id", "_copies", *[tokenize(f).alias(f"_words{n}") for n, f in enumerate(fields)])
+    total = reduce(lambda a, b: a + b, [F.size(f"_words{n}") for n in range(len(fields))], F.lit(0))
+    if stem:
+        words = words.withColumns({f"_terms{n}": _stemmed(f"_words{n}") for n in range(len(fields))})
+
+    def of_field(n: int, field: str) -> Column:
+        return F.transform(_places_by_term(F.col(f"_terms{n}" if stem else f"_words{n}")), lambda x: F.struct(
+            F.lit(field).alias("field"), x["term"].alias("term"), x["positions"].alias("positions")))
+
+    found = [of_field(n, field) for n, field in enumerate(fields)]
+    return words.select("job_id", "_copies", total.cast("bigint").alias("tokens"), F.concat(*found).alias("found"))
+
+
+def _inverted(alone: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows of :func:`build_positions` from :func:`_listed` documents: those whose ids are theirs alone, and the others, gathered by id."""
+    def rows(listed: DataFrame) -> DataFrame:
+        # A plain explode is given a filter on the list's size, which would list every document twice.
+        return listed.select("job_id", F.explode_outer("found").alias("f")).filter("f IS NOT NULL").select("job_id", "f.*")
+
+    shared = rows(copies).groupBy("job_id", "field", "term").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return rows(alone).unionByName(shared).select("job_id", "field", "term", F.size("positions").cast("bigint").alias("tf"), "positions")
 
 
 def build_terms(
     docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id", stem: bool = True
 ) -> DataFrame:
-    """The inverted table, with counts pre-aggregated inside the map tasks.
+    """The inverted table, counted inside the documents.
 
     ``tf`` counts a term per document and field; :func:`build_positions` also says where.
     """
-    counts = posting_tokens(docs, fields, id_column).groupBy("job_id", "field", "token").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
-    if not stem:
-        return counts.withColumnRenamed("token", "term")
-    stemmed = counts.join(stems(counts), "token")
-    return stemmed.groupBy("job_id", "field", "term").agg(F.sum("tf").alias("tf"))
+    return build_positions(docs, fields, id_column, stem).drop("positions")
 
 
 def build_lengths(
@@ -107,15 +143,11 @@ def build_positions(
 ) -> DataFrame:
     """The inverted table with places: :func:`build_terms`, and ``positions``, sorted, from 0, as many as ``tf``.
 
-    A list holds the places of one term in one field of one document.
+    A list holds the places of one term in one field of one document; documents that share an id count as one.
     """
-    tokens = posting_tokens(docs, fields, id_column)
-    lists = tokens.groupBy("job_id", "field", "token").agg(F.collect_list("position").alias("positions"))
-    if stem:
-        lists = lists.join(stems(lists), "token").groupBy("job_id", "field", "term").agg(F.flatten(F.collect_list("positions")).alias("positions"))
-    else:
-        lists = lists.withColumnRenamed("token", "term")
-    return lists.select("job_id", "field", "term", F.size("positions").cast("bigint").alias("tf"), F.sort_array("positions").alias("positions"))
+    docs = _with_copies(docs, id_column)
+    alone, copies = (docs.filter(test) for test in ("_copies IS NULL", "_copies IS NOT NULL"))
+    return _inverted(_listed(alone, fields, stem), _listed(copies, fields, stem))
 
 
 def _bucket(buckets: int) -> Column:
@@ -132,8 +164,16 @@ def write_index(
     docs: DataFrame, root: str, fields: tuple[str, ...] = FIELDS, id_column: str = "job_id", stem: bool = True, buckets: int = 16
 ) -> None:
     """Store the index under ``root``, which holds none, in ``buckets`` buckets of ids."""
-    _store(build_positions(docs, fields, id_column, stem).select("*", _bucket(buckets)), f"{root}/terms", ["term", "job_id"], "error")
-    _store(build_lengths(docs, fields, id_column).select("*", _bucket(buckets)), f"{root}/lengths", ["job_id"], "error")
+    terms, lengths = _index_rows(docs, fields, id_column, stem, buckets)
+    _store(terms, f"{root}/terms", ["term", "job_id"], "error")
+    _store(lengths, f"{root}/lengths", ["job_id"], "error")
+
+
+def _index_rows(docs: DataFrame, fields: tuple[str, ...], id_column: str, stem: bool, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """``(terms, lengths)`` by bucket.  The listed documents are stored once: dealing rows by ranges reads them twice, and both tables come from them."""
+    listed = materialise(_listed(_with_copies(docs, id_column), fields, stem), "index-documents")
+    terms = _inverted(listed.filter("_copies IS NULL"), listed.filter("_copies IS NOT NULL"))
+    return terms.select("*", _bucket(buckets)), listed.select("job_id", "tokens", _bucket(buckets))
 
 
 def read_index(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -152,18 +192,19 @@ def refresh_index(
     """
     spark = changed_docs.sparkSession
     changed = changed_docs.withColumn("job_id", F.col(id_column))
+    terms, lengths = _index_rows(changed, fields, "job_id", stem, buckets)
     gone = materialise(removed_ids.select("job_id").union(changed.select("job_id")).distinct().select("job_id", _bucket(buckets)), "index-gone")
     touched = gone.select("bucket").distinct()
     # A row without id keeps a bucket that lost all its documents among those replaced.
     empty = touched.select("bucket")
     for part, order, fresh in (
-        ("terms", ["term", "job_id"], build_positions(changed, fields, "job_id", stem)),
-        ("lengths", ["job_id"], build_lengths(changed, fields, "job_id")),
+        ("terms", ["term", "job_id"], terms),
+        ("lengths", ["job_id"], lengths),
     ):
         old = spark.read.parquet(f"{root}/{part}")
         ids = [r["bucket"] for r in touched.collect()]  # numbers below ``buckets``
         kept = old.filter(F.col("bucket").isin(ids) & F.col("job_id").isNotNull()).join(gone.select("job_id"), "job_id", "left_anti")
-        rows = kept.unionByName(fresh.select("*", _bucket(buckets))).unionByName(empty, allowMissingColumns=True)
+        rows = kept.unionByName(fresh).unionByName(empty, allowMissingColumns=True)
         # The buckets are read before any is replaced.
         _store(materialise(rows, f"index-{part}"), f"{root}/{part}", order, "overwrite")
 
