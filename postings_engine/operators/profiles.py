@@ -351,7 +351,8 @@ def normalise_queries(variants: DataFrame, max_queries: int = DEFAULT_MAX_QUERIE
     df = df.filter(F.col("phrase") != "").filter(
         ~F.exists("excluded", lambda e: (e != "") & F.contains("_lower", e))
     )
-    once = df.groupBy("profile_id", "_lower").agg(
+    # Dealt by profile before phrases are compared: no scan task sorts all its phrases, however large its file.
+    once = df.select("profile_id", "ordinal", "phrase", "_lower").repartition("profile_id").groupBy("profile_id", "_lower").agg(
         F.min(F.struct("ordinal", "phrase")).alias("first")
     ).select("profile_id", "first.*")
     rank = F.row_number().over(Window.partitionBy("profile_id").orderBy("ordinal"))

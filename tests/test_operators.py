@@ -397,6 +397,29 @@ def test_near_and_phrases_by_positions(spark, stem):
     assert title_only == {k for k, (t, _) in docs.items() if clumps(t, ["day", "night"], 2)}
 
 
+@pytest.mark.parametrize("stem", [True, False])
+def test_index_is_made_inside_documents(spark, stem, tmp_path):
+    rows = [("a", "Nurses nurse"), ("a", "ward nurses"), (None, "day"), (None, "day ward"), ("b", ""), ("b", None), ("c", None), ("d", "day Day NIGHT day")]
+    df = spark.createDataFrame(rows, "job_id string, title string")
+    index = Z.build_positions(df, ("title",), stem=stem)
+    places = {}
+    for k, text in rows:
+        for p, w in enumerate((text or "").lower().split()):
+            places.setdefault((k, porter_stem(w) if stem else w), []).append(p)
+    want = sorted(((k, w, len(at), tuple(sorted(at))) for (k, w), at in places.items()), key=str)
+    assert sorted(((r["job_id"], r["term"], r["tf"], tuple(r["positions"])) for r in index.collect()), key=str) == want
+    assert {r["field"] for r in index.collect()} == {"title"}
+    counts = Z.build_terms(df, ("title",), stem=stem)
+    assert sorted(((r["job_id"], r["term"], r["tf"]) for r in counts.collect()), key=str) == sorted((w[:3] for w in want), key=str)
+    Z.write_index(df, str(tmp_path / "index"), ("title",), stem=stem)
+    lengths = spark.read.parquet(str(tmp_path / "index" / "lengths")).select("job_id", "tokens").collect()
+    assert sorted(map(tuple, lengths), key=str) == sorted(((k, len((t or "").split())) for k, t in rows), key=str)
+    # Between a document and the rows of its terms nothing is shuffled.
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    alone = plan[plan.index("Union"):]
+    assert "Exchange" not in alone[:alone.index("Generate explode")]
+
+
 def test_refresh_rewrites_touched_buckets_only(spark, tmp_path):
     root, texts = str(tmp_path / "index"), {f"j{i}": f"word{i} shared" for i in range(40)}
     frame = lambda rows: spark.createDataFrame(list(rows.items()), "job_id string, title string")
@@ -417,6 +440,14 @@ def test_refresh_rewrites_touched_buckets_only(spark, tmp_path):
     assert terms.count() == 0 and lengths.count() == 0
 
 
+def test_phrases_of_a_profile_are_dealt_before_they_are_compared(spark):
+    rows = [("p", [], 0, "Nurse  ward"), ("p", [], 1, "nurse Ward"), ("q", ["head"], 0, "Head nurse"), ("q", [], 2, "ward"), ("p", [], 2, "day"), (None, [], 0, "x")]
+    found = R.normalise_queries(spark.createDataFrame(rows, "profile_id string, excluded array<string>, ordinal int, phrase string"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([("p", 1, "Nurse ward"), ("p", 2, "day"), ("q", 1, "ward"), (None, 1, "x")], key=str)
+    assert plan.count("Exchange ") == 1 and plan.rindex("Aggregate") < plan.index("Exchange ")
+
+
 def test_similarity_keeps_scores_of_minor_changes(spark):
     words = [f"w{i}" for i in range(200)]
     a, b, c = " ".join(words), " ".join(words[:-3] + ["new"]), " ".join(reversed(words))
