@@ -38,6 +38,8 @@ def _day():
     return F.lit(FILTER_DAY).cast("date")
 
 
+# What the cooldown reads of the history.
+_COOLING = ("company", "status", "last_seen")
 _KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _SQL_KEYS = "p.l_orderkey, p.l_linenumber, p.l_partkey, p.l_suppkey"
 
@@ -95,7 +97,7 @@ def title_exclude(t):
 @query("cooldown_anti", uses=("jobs",), sql=f"SELECT company, count(*) AS n FROM keyed WHERE {_COOL} GROUP BY ALL")
 def cooldown_anti(t):
     rows = t.inputs.keyed().select("company")
-    return P.f_cooldown(rows, t.inputs.jobs(), _day(), 20).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
+    return P.f_cooldown(rows, t.inputs.jobs(*_COOLING), _day(), 20).groupBy("company").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("radius_filter", uses=("postings",), sql=f"SELECT location, lat, lon, count(*) AS n FROM postings WHERE {_RADIUS} GROUP BY ALL")
@@ -107,7 +109,7 @@ def radius_filter(t):
 @query("apply_filters", uses=("jobs",), sql=f"""{_PRICED}
     SELECT {_SQL_KEYS}, job_id FROM p WHERE {_FLOOR} AND {_AGE} AND {_BLOCK} AND {_TITLE} AND {_COOL} AND {_RADIUS}""")
 def apply_filters(t):
-    return P.apply_filters(priced(t), PROFILE, t.inputs.jobs(), FILTER_DAY).select(*_KEYS, "job_id")
+    return P.apply_filters(priced(t), PROFILE, t.inputs.jobs(*_COOLING), FILTER_DAY).select(*_KEYS, "job_id")
 
 
 @query("explain_filters", uses=("jobs",), sql=f"""{_PRICED}
@@ -115,7 +117,7 @@ def apply_filters(t):
         WHEN NOT {_TITLE} THEN 'title_exclude' WHEN NOT ({_COOL}) THEN 'cooldown' WHEN NOT {_RADIUS} THEN 'radius' END AS drop_reason,
         count(*) AS n FROM p GROUP BY ALL""")
 def explain_filters(t):
-    rows = P.explain_filters(priced(t), PROFILE, t.inputs.jobs(), FILTER_DAY)
+    rows = P.explain_filters(priced(t), PROFILE, t.inputs.jobs(*_COOLING), FILTER_DAY)
     return rows.groupBy("drop_reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -173,7 +175,8 @@ def scan_jobs(t):
     from ..sources import tables as B
 
     root = scratch_path(t.spark, "scanned")
-    rows = t.inputs.jobs()
+    kept = [f.name for f in HISTORY.fields if f.name in t.inputs.JOB_COLUMNS]
+    rows = t.inputs.jobs(*kept)
     missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in HISTORY.fields if f.name not in rows.columns]
     B.write_version(rows.select("*", *missing).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields]), root, 1)
     found = B.scan_jobs(t.spark, root, "job_id", "source", "status", "last_seen")
