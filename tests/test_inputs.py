@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from postings_engine.plans import reports as R
 from postings_engine.queries.inputs import ORDER, Inputs
-from postings_engine.queries.merging import update_scores
+from postings_engine.queries.merging import close_stale, in_run_last_change, metrics_of_run, update_scores
 from postings_engine.queries.registry import Tables
 from postings_engine.queries.scores import apply_scores
+from postings_engine.schema import HISTORY, POSTING
 
 
 @pytest.fixture(scope="module")
@@ -86,3 +87,42 @@ def test_sheet_is_sorted_without_texts(spark):
     assert [(r["Job ID"], r["Experience"]) for r in sheet.collect()] == [("c", "Unspecified"), ("a", "Junior"), ("b", "Senior/Lead")]
     sort = re.search(r"Sort \[.*", sheet._jdf.queryExecution().optimizedPlan().toString(), re.S)[0]
     assert "AS _level" in sort
+
+
+def test_stored_history_is_the_first_record(tables):
+    day = F.lit("1999-02-20").cast("date")
+    own = Window.partitionBy("job_id")
+    versions = tables.inputs.versions().filter(F.col("seen_date") < day)
+    ranked = tables.inputs.records(versions).withColumns({
+        "first_seen": F.min("seen_date").over(own), "last_seen": F.max("seen_date").over(own), "rn": F.row_number().over(own.orderBy(*ORDER))})
+    plain = [*POSTING.names, "first_seen", "last_seen"]
+    expected = ranked.filter("rn = 1").select(*plain).collect()
+    found = tables.inputs.history(F.col("seen_date") < day)
+    assert found.columns == HISTORY.names
+    assert len(expected) > 20 and sorted(found.select(*plain).collect(), key=str) == sorted(expected, key=str)
+    for some in (("job_id", "status", "last_seen"), ("job_id", "jd_content_hash"), ("job_id", "url", "description", "notes")):
+        few = tables.inputs.history(F.col("seen_date") < day, *some)
+        assert set(few.columns) == set(some) and sorted(few.collect(), key=str) == sorted(found.select(*few.columns).collect(), key=str)
+
+
+def test_history_of_missing_and_repeated_documents(spark, tables):
+    inputs = Inputs(Tables(spark, tables.folder))
+    docs = tables.documents
+    # A record without its document does not count, and one whose document is there twice counts once.
+    inputs.t.documents = docs.filter("doc_id < 3").unionByName(docs.filter("doc_id < 3")).unionByName(docs.filter("doc_id = 0").withColumn("doc_id", F.lit(99).cast("long")))
+    every = F.lit(True)
+    ids = sorted(map(str, (r[0] for r in inputs.versions().select("job_id").distinct().collect())))
+    assert ids and sorted(str(r["job_id"]) for r in inputs.history(every).collect()) == ids
+    assert sorted(str(r["job_id"]) for r in inputs.history(every, "job_id", "status").collect()) == ids
+    assert sorted(inputs.version_records().collect(), key=str) == sorted(inputs.records(inputs.versions()).collect(), key=str)
+
+
+def test_merges_shuffle_narrow_rows(spark, tables):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "500")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    t = tables
+    closed = close_stale(t)
+    assert not re.search("s_nationkey#|n_name#|sha2|salary_raw", re.search(r"min\(struct\(([^)]*)\)", plan(closed))[1])
+    assert "sha2" not in plan(closed) and "salary_raw" not in plan(closed)
+    assert "salary_raw" not in plan(metrics_of_run(t)) and "salary_raw" not in plan(in_run_last_change(t))
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
