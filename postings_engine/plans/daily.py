@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -13,7 +13,7 @@ from ..operators.filters import DEFAULT_PRESCORE_THRESHOLD, apply_filters
 from ..operators.merge import close_stale, fold_run, import_edits, sync
 from ..operators.scoring import ScoreBatches, prescore_and_route, score_round_trip
 from ..operators.texts import with_texts
-from ..schema import CONTENT_COLUMNS, HISTORY, POSTING
+from ..schema import CONTENT_COLUMNS, HISTORY, POSTING, SCORE_COLUMNS
 from ..session import materialise
 from ..sources.tables import append_run, current_version, read_history, write_version
 from .reports import run_metrics
@@ -31,25 +31,29 @@ def daily_run(
     jobs: DataFrame, postings: DataFrame, order: list[str], profile: Mapping, as_of,
     edits: DataFrame | None = None, score_batches: ScoreBatches | None = None,
     threshold: float = DEFAULT_PRESCORE_THRESHOLD, ranker_version: str = "v1", stale_days: int = 14,
-    texts: DataFrame | None = None,
+    texts: DataFrame | None = None, columns: Collection[str] | None = None,
 ) -> RunResult:
     """One run over conformed ``postings``; the merged table is not written.
 
     The filtered and scored rows are stored once, since the merge reads them twice.  Filters run before the merge, so a known posting that no longer passes is not seen again and
     goes stale like one that disappeared.  With ``texts`` (see ``operators.texts``) descriptions are names, in
     ``jobs`` and in the result too: the keyword score and the scorer read the texts, and nothing else moves them.
+    ``columns`` names the columns of the result that are wanted, all by default; what the run reads is stored besides.
     """
     if edits is not None:
         jobs = import_edits(jobs, edits).drop("edited", "conflict", "edits_applied")
     kept = apply_filters(postings, profile, jobs, as_of)
+    if columns is not None:
+        read = {*columns, *order, *SCORE_COLUMNS, "job_id", "title", "company", "description", "jd_content_hash"}
+        kept = kept.select(*[c for c in kept.columns if c in read])
     read = with_texts(kept.withColumn("_named", F.col("description")), texts)
     scored = prescore_and_route(read, profile, threshold, ranker_version, score_batches is not None)
     scored = scored.withColumn("description", F.col("_named")).drop("_named")
     if score_batches is not None:
         scored = score_round_trip(scored, score_batches, ranker_version, order=order, texts=texts)
-    columns = [f.name for f in POSTING.fields]
-    routed = materialise(scored.select(*dict.fromkeys([*columns, *order])), "routed")
-    merged = sync(jobs, routed, order, as_of)
+    names = [c for c in POSTING.names if columns is None or c in columns or c in ("job_id", "jd_content_hash")]
+    routed = materialise(scored.select(*dict.fromkeys([*names, *order])), "routed")
+    merged = sync(jobs, routed, order, as_of, columns)
     closed = close_stale(merged, as_of, stale_days)
     return RunResult(closed, run_metrics(closed))
 
@@ -83,15 +87,16 @@ def run_and_store(
     return RunResult(stored, metrics)
 
 
-def replay_bronze(bronze: DataFrame, day: str, order: list[str]) -> DataFrame:
+def replay_bronze(bronze: DataFrame, day: str, order: list[str], columns: Collection[str] | None = None) -> DataFrame:
     """The history rebuilt from all raw snapshots, as if each day had been merged in turn.
 
     ``bronze`` holds conformed snapshots with a partition column ``day``.  Without user edits the
     merges compose, so a single fold ordered by day and position replaces one merge per day.  The snapshots are
-    stored once: ids, positions and hashes are read from there, then the records that matter.
+    stored once: ids, positions and hashes are read from there, then the records that matter.  ``columns`` names the
+    columns of the history that are wanted, all by default.
     """
-    columns = [f.name for f in POSTING.fields]
-    folded = fold_run(materialise(bronze.select(*dict.fromkeys([*columns, day, *order])), "bronze"), [day, *order])
+    names = [c for c in POSTING.names if columns is None or c in columns or c in ("job_id", "jd_content_hash")]
+    folded = fold_run(materialise(bronze.select(*dict.fromkeys([*names, day, *order])), "bronze"), [day, *order], columns)
     made = {
         "job_id": F.col("job_id"), "first_seen": F.col(f"first_at.{day}"), "last_seen": F.col(f"last_at.{day}"),
         "status": F.lit("new"), "notes": F.lit(""), "last_user_edit": F.lit(None),
@@ -105,4 +110,4 @@ def replay_bronze(bronze: DataFrame, day: str, order: list[str]) -> DataFrame:
             return first
         return F.when(F.col("changed").isNotNull(), F.col(f"changed.{name}")).otherwise(first)
 
-    return folded.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields])
+    return folded.select(*[column(f.name).cast(f.dataType).alias(f.name) for f in HISTORY.fields if columns is None or f.name in columns])
