@@ -12,6 +12,7 @@ from ..operators.merge import sync_touched
 from ..plans.costs import SOFT_CAP_GBP
 from ..plans.daily import empty_history
 from ..schema import HISTORY
+from ..session import materialise
 from ..sources.tables import (
     compact, compact_updates, current_version, deltas_since_full, has_batch, read_history, write_version,
 )
@@ -30,7 +31,8 @@ def merge_batch(
     A batch writes only the rows it touched, as a delta and as the table's next version; every
     ``compact_every`` deltas the table is rewritten in full.  The batch is recorded by the stream's own
     id, which its checkpoint keeps, and its number: a batch replayed after a failure is found and skipped,
-    while daily runs on the same table and streams begun anew get versions of their own.
+    while daily runs on the same table and streams begun anew get versions of their own.  The merge reads a batch three
+    times, so its rows are stored first.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -39,6 +41,7 @@ def merge_batch(
             return
         found = current_version(session, root)
         jobs = read_history(session, root)
+        batch = materialise(batch, "batch")
         touched = sync_touched(empty_history(session) if jobs is None else jobs, batch, order, run_date(batch))
         version = found[0] + 1 if found else 1
         write_version(touched.select(*HISTORY.names), root, version, "delta" if found else "full", stream, batch_id)
