@@ -18,6 +18,9 @@ from .filters import f_status_valid
 
 # Parts that the records of one posting are dealt to where they meet its last change.
 SPREAD = 16
+# Records are counted by so many buckets of ids.  Postings of a bucket that holds more than FREQUENT records and a
+# SHARE-th part of all are folded without gathering one posting's records in a task.
+BUCKETS, FREQUENT, SHARE = 1 << 16, 1 << 17, 1024
 
 _PAYLOAD = [f.name for f in POSTING.fields if f.name != "job_id"]
 
@@ -73,24 +76,66 @@ def fold_run(incoming: DataFrame, order: list[str], columns: Collection[str] | N
 
     ``changed`` holds the content of the last record whose text differs from its predecessor's;
     it is NULL when all records of the run carry the same text.  ``first_at`` and ``last_at`` are the positions, structs
-    of ``order``, of its first and last record.  The two records that matter are found by ids, positions and hashes
-    alone and then fetched by id and position, so that the records of a frequent posting are spread over the tasks.
-    ``incoming`` is read for both: store it first if it is costly to derive.  ``columns`` names the columns that the two records are
+    of ``order``, of its first and last record.  Records are dealt out by id, once, and folded where they lie.  Only those of
+    postings that would fill a task are spread (:func:`_fold_spread`): a count per bucket of ids, a subquery, tells them apart.
+    ``incoming`` is read for the count and for both ways: store it first if it is costly to derive.  ``columns`` names the columns that the two records are
     wanted for, all by default: no field of a folded struct is pruned by itself.  The hash is always among them.
     """
-    at = F.struct(*order)
-    payload, content = ([c for c in names if columns is None or c in columns or c == "jd_content_hash"] for names in (_PAYLOAD, CONTENT_COLUMNS))
-    marks = last_changes(incoming, order)
-    wanted = marks.select("job_id", F.explode(F.array_distinct(F.array("_first", F.coalesce("_changed", "_first")))).alias("_at"),
-                          "_first", "_changed", "_last")
-    fetched = incoming.withColumn("_at", at).join(wanted, ["job_id", "_at"])
-    return fetched.groupBy("job_id").agg(
+    wanted = {c for c in (*_PAYLOAD, "jd_content_hash") if columns is None or c in columns or c == "jd_content_hash"}
+    known = incoming.filter(F.col("job_id").isNotNull()).select("job_id", *dict.fromkeys([*order, *[c for c in incoming.columns if c in wanted]]))
+    frequent = F.array_contains(_frequent_buckets(known), _bucket())
+    return _fold_gathered(known.filter(~frequent), order, wanted).unionByName(_fold_spread(known.filter(frequent), order, wanted))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _frequent_buckets(rows: DataFrame) -> Column:
+    """The buckets of ids whose records are too many for one task, a short array: a scalar subquery."""
+    counts = rows.groupBy(_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    large = F.collect_list(F.when(F.col("n") > FREQUENT, F.struct("bucket", "n"))).alias("large")
+    found = counts.agg(large, F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    return found.select(F.transform(F.filter("large", lambda b: b["n"] * SHARE > F.col("all")), lambda b: b["bucket"])).scalar()
+
+
+def _folded(rows: DataFrame, wanted: Collection[str], *more: Column) -> DataFrame:
+    """The ``first`` and ``changed`` records of postings, from rows that carry ``_at``, ``_first`` and ``_changed``."""
+    payload, content = ([c for c in names if c in wanted] for names in (_PAYLOAD, CONTENT_COLUMNS))
+    return rows.groupBy("job_id").agg(
         F.min_by(F.struct(*payload), F.when(F.col("_at") == F.col("_first"), F.col("_at"))).alias("first"),
         F.min_by(F.struct(*content), F.when(F.col("_at") == F.col("_changed"), F.col("_at"))).alias("changed"),
-        F.min("_first").alias("first_at"), F.max("_last").alias("last_at"),
+        *more,
     )
 
 
+def _fold_gathered(rows: DataFrame, order: list[str], wanted: Collection[str]) -> DataFrame:
+    """:func:`fold_run` with the records of a posting in one task; they cross the network once, and no position twice in a row."""
+    own, hash_ = Window.partitionBy("job_id"), F.col("jd_content_hash")
+    # Rows are dealt before positions are made of their columns.
+    dealt = rows.repartition("job_id").withColumn("_at", F.struct(*order))
+    # As in last_changes: the first record, after the last with any other hash, that has the last record's hash.
+    ends = dealt.withColumns({"_first": F.min("_at").over(own), "_last": F.max("_at").over(own),
+                              "_tail": F.max_by(F.struct("jd_content_hash"), "_at").over(own)})
+    same = _same(hash_, F.col("_tail.jd_content_hash"))
+    others = ends.withColumn("_other", F.max(F.when(~same, F.col("_at"))).over(own))
+    marked = others.withColumn("_changed", F.min(F.when(same & (F.col("_at") > F.col("_other")), F.col("_at"))).over(own))
+    ours = marked.filter((F.col("_at") == F.col("_first")) | (F.col("_at") == F.coalesce("_changed", "_first")))
+    return _folded(ours, wanted, F.min("_first").alias("first_at"), F.max("_last").alias("last_at"))
+
+
+def _fold_spread(rows: DataFrame, order: list[str], wanted: Collection[str]) -> DataFrame:
+    """:func:`fold_run` for frequent postings, whose records are spread over the tasks at every step.
+
+    The two records that matter are found by ids, positions and hashes alone and then fetched by id and position.
+    """
+    marks = last_changes(rows, order)
+    at = marks.select("job_id", F.explode(F.array_distinct(F.array("_first", F.coalesce("_changed", "_first")))).alias("_at"),
+                      "_first", "_changed", "_last")
+    fetched = rows.withColumn("_at", F.struct(*order)).join(at, ["job_id", "_at"])
+    return _folded(fetched, wanted, F.min("_first").alias("first_at"), F.max("_last").alias("last_at"))
+
+
 def sync(
     existing: DataFrame, incoming: DataFrame, order: list[str], run_date, columns: Collection[str] | None = None,
 ) -> DataFrame:

@@ -35,7 +35,7 @@ def daily_run(
 ) -> RunResult:
     """One run over conformed ``postings``; the merged table is not written.
 
-    The filtered and scored rows are stored once, since the merge reads them twice.  Filters run before the merge, so a known posting that no longer passes is not seen again and
+    The filtered and scored rows are stored once, since the merge counts them before it folds them.  Filters run before the merge, so a known posting that no longer passes is not seen again and
     goes stale like one that disappeared.  With ``texts`` (see ``operators.texts``) descriptions are names, in
     ``jobs`` and in the result too: the keyword score and the scorer read the texts, and nothing else moves them.
     ``columns`` names the columns of the result that are wanted, all by default; what the run reads is stored besides.
@@ -52,7 +52,7 @@ def daily_run(
     if score_batches is not None:
         scored = score_round_trip(scored, score_batches, ranker_version, order=order, texts=texts)
     names = [c for c in POSTING.names if columns is None or c in columns or c in ("job_id", "jd_content_hash")]
-    routed = materialise(scored.select(*dict.fromkeys([*names, *order])), "routed")
+    routed = materialise(scored.select(*dict.fromkeys([*names, *order])), "routed", compression="zstd")
     merged = sync(jobs, routed, order, as_of, columns)
     closed = close_stale(merged, as_of, stale_days)
     return RunResult(closed, run_metrics(closed))
@@ -92,11 +92,11 @@ def replay_bronze(bronze: DataFrame, day: str, order: list[str], columns: Collec
 
     ``bronze`` holds conformed snapshots with a partition column ``day``.  Without user edits the
     merges compose, so a single fold ordered by day and position replaces one merge per day.  The snapshots are
-    stored once: ids, positions and hashes are read from there, then the records that matter.  ``columns`` names the
+    stored once: the fold counts them and deals them out from there.  ``columns`` names the
     columns of the history that are wanted, all by default.
     """
     names = [c for c in POSTING.names if columns is None or c in columns or c in ("job_id", "jd_content_hash")]
-    folded = fold_run(materialise(bronze.select(*dict.fromkeys([*names, day, *order])), "bronze"), [day, *order], columns)
+    folded = fold_run(materialise(bronze.select(*dict.fromkeys([*names, day, *order])), "bronze", compression="zstd"), [day, *order], columns)
     made = {
         "job_id": F.col("job_id"), "first_seen": F.col(f"first_at.{day}"), "last_seen": F.col(f"last_at.{day}"),
         "status": F.lit("new"), "notes": F.lit(""), "last_user_edit": F.lit(None),

@@ -41,7 +41,7 @@ def merge_batch(
             return
         found = current_version(session, root)
         jobs = read_history(session, root)
-        batch = materialise(batch, "batch")
+        batch = materialise(batch, "batch", compression="zstd")
         touched = sync_touched(empty_history(session) if jobs is None else jobs, batch, order, run_date(batch))
         version = found[0] + 1 if found else 1
         write_version(touched.select(*HISTORY.names), root, version, "delta" if found else "full", stream, batch_id)

@@ -558,3 +558,32 @@ def test_forms(spark):
     row = R.profiles_from_forms(spark.createDataFrame([("p", body)], "profile_id string, body string")).first()
     assert (row["domain"], row["search_radius_miles"], row["remote_ok"], row["core_skills"]) == ("healthcare", 25, False, ["A", "B", "C"])
     assert row["filters"]["exclude_companies"] == [] and row["negative_signals"]["title_excludes"][0] == "senior"
+
+
+def folded(df):
+    return sorted((r["job_id"], r["first"]["salary_min"], r["changed"] and r["changed"]["salary_min"], r["first_at"]["seq"], r["last_at"]["seq"]) for r in df.collect())
+
+
+def test_records_of_a_run_are_dealt_out_once(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = random_rows(rng, 400, jobs=[f"k{n}" for n in range(40)])
+    rows += [record("end", 901, None), record("end", 902, "q"), record("end", 903, None), record("same", 904, "p"), record("same", 905, "p")]
+    # Records without an id are of no posting.
+    incoming = records(spark, rows).withColumn("job_id", F.expr("if(job_id = 'k7', NULL, job_id)")).repartition(5)
+    want = {}
+    for r in sorted(rows, key=lambda r: r["seq"]):
+        n, text = r["seq"], r["jd_content_hash"]
+        first, changed, _, last = want.get(r["job_id"], (n, None, n, text))
+        want[r["job_id"]] = (first, n if text != last else changed, n, text)
+    want = sorted((k, v[0], v[1], v[0], v[2]) for k, v in want.items() if k != "k7")
+    found = G.fold_run(incoming, ORDER)
+    assert folded(found) == want
+    # No posting is frequent, so the adaptive plan ends with one exchange of records; the others are of counts.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    final = plan[:plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    final = final[:final.index("Subqueries")] if "Subqueries" in final else final
+    assert final.count("Exchange hashpartitioning(job_id") == 1 and "explode" not in final
+    # The same with one posting that is spread.
+    monkeypatch.setattr(G, "FREQUENT", 50)
+    monkeypatch.setattr(G, "SHARE", 4)
+    assert folded(G.fold_run(incoming, ORDER)) == want
