@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bind, strings
+from ..session import materialise
 from .dedup import cap_per_group
 from .places import home_cells, posting_cells, within_radius
 from .scoring import (
@@ -148,7 +149,7 @@ def _most_points() -> Column:
 
 def profiles_x_postings(
     profiles: DataFrame, postings: DataFrame, min_score: float | None = None, best: int | None = None,
-    in_reach: bool = False,
+    in_reach: bool = False, facts_of_postings: DataFrame | None = None, facts_of_profiles: DataFrame | None = None,
 ) -> DataFrame:
     """``(profile_id, job_id, score, keywords)`` for pairs sharing at least one skill that is not empty.
 
@@ -157,8 +158,11 @@ def profiles_x_postings(
     skills gives every posting the neutral 5 less penalties: it has one row, without a posting.
     ``min_score`` and ``best`` (postings per profile, ties by id) bound what is listed, and which pairs are made.
     With ``in_reach``, postings outside a profile's home radius make no pair (see :mod:`.places`; the columns of both sides
-    are those it reads).
+    are those it reads).  What is to be known of a pair, ``facts`` by ``job_id`` and by ``profile_id``, then joins both sides before
+    pairs are made: pairs outnumber them, and are not shuffled.  The words that postings hold are stored when the plan is built.
     """
+    if not in_reach and (facts_of_postings is not None or facts_of_profiles is not None):
+        raise ValueError("facts join pairs within reach only")
     words = profile_words(profiles)
     def empty(kind: str) -> Column:
         return F.count_if((F.col("kind") == kind) & (F.col("word") == ""))
@@ -169,14 +173,16 @@ def profiles_x_postings(
         (empty("title") > 0).alias("any_title"), (empty("text") > 0).alias("any_text"),
         F.collect_list(F.when((F.col("kind") == "core") & (F.col("word") == ""), F.struct("ordinal", "word"))).alias("blanks"),
     )
-    hits = word_hits(postings, words)
-    sets = hits.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("word", "in_title"))).alias("held"))
+    # Named by their first posting and met by all: stored once, or texts would be cut into grams for both.
+    sets = materialise(word_hits(postings, words).groupBy("job_id").agg(
+        F.array_sort(F.collect_list(F.struct("word", "in_title"))).alias("held")), "sets")
     # The least posting that holds a set names it.
     first = sets.groupBy("held").agg(F.min("job_id").alias("first_id"))
     spread = first.select("first_id", F.explode("held").alias("h")).select("first_id", "h.*")
     met = spread.join(words, "word")
     if min_score is not None:
         own = words.groupBy("profile_id").agg(F.collect_list(F.struct("kind", "ordinal", "word")).alias("own"))
+        hits = sets.select(F.explode("held.word").alias("word"))
         listed = (_reaching(hits, spread, words, facts, float(min_score)).join(own, "profile_id").join(first, "first_id")
                   .select("profile_id", "first_id", "own", F.explode("held").alias("h")))
         met = listed.select("profile_id", "first_id", "h.*", F.explode(F.filter("own", lambda o: o["word"] == F.col("h.word"))).alias("o")).select(
@@ -213,8 +219,15 @@ def profiles_x_postings(
         # Postings of a set meet profiles by the cells of their place.
         homes = home_cells(profiles)
         placed = named.join(posting_cells(postings, homes, ["job_id"]), "job_id")
+        known = []
+        if facts_of_postings is not None:
+            placed = placed.join(facts_of_postings, "job_id")
+            known += [c for c in facts_of_postings.columns if c != "job_id"]
+        if facts_of_profiles is not None:
+            homes = homes.join(facts_of_profiles, "profile_id")
+            known += [c for c in facts_of_profiles.columns if c != "profile_id"]
         met = out.join(homes, "profile_id").join(placed, ["first_id", "cell"]).filter(within_radius())
-        out = met.select("profile_id", "job_id", "score", "keywords")
+        out = met.select("profile_id", "job_id", "score", "keywords", *known)
     elif best is None:
         out = out.join(named, "first_id").select("profile_id", "job_id", "score", "keywords")
     else:
@@ -227,4 +240,4 @@ def profiles_x_postings(
     neutral = profiles.filter((size("core_skills") == 0) & (size("adjacent_skills") == 0)).select(
         "profile_id", F.lit(None).cast(postings.schema["job_id"].dataType).alias("job_id"),
         F.lit(NEUTRAL_SCORE).alias("score"), strings([]).alias("keywords"))
-    return out.unionByName(neutral)
+    return out.unionByName(neutral, allowMissingColumns=True)

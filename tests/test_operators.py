@@ -587,3 +587,30 @@ def test_records_of_a_run_are_dealt_out_once(spark, monkeypatch):
     monkeypatch.setattr(G, "FREQUENT", 50)
     monkeypatch.setattr(G, "SHARE", 4)
     assert folded(G.fold_run(incoming, ORDER)) == want
+
+
+def test_facts_travel_with_both_sides_of_a_pair(spark):
+    words = ["python", "sales", "law"]
+    rows = [record(f"j{n}", n, f"{words[n % 3]} and {words[n % 2]}", lat=50.0 + n % 4, lon=0.0, location="x") for n in range(30)]
+    postings = records(spark, rows).repartition(3)
+    profiles = R.default_profile(spark.createDataFrame(
+        [(f"p{n}", [words[n % 3]] if n < 8 else [], {"lat": 50.0 + n % 3, "lon": 0.0, "city": ""}, n % 4 == 0) for n in range(9)],
+        "profile_id string, core_skills array<string>, location struct<city: string, lat: double, lon: double>, remote_ok boolean"))
+    # A posting without facts makes no pair; a profile that has them twice makes each pair twice.
+    about = postings.filter("salary_min < 25").select("job_id", F.col("salary_min").alias("pay"))
+    rules = profiles.select("profile_id", F.upper("profile_id").alias("rule"))
+    rules = rules.unionByName(rules.filter("profile_id = 'p1'"))
+    want = Q.profiles_x_postings(profiles, postings, in_reach=True).join(about, "job_id").join(rules, "profile_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = Q.profiles_x_postings(profiles, postings, in_reach=True, facts_of_postings=about, facts_of_profiles=rules)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "python" not in plan and "regexp_extract_all" not in plan  # texts were cut into grams once, before
+        found = [r for r in got.collect() if r["job_id"]]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    key = lambda r: (r["profile_id"], r["job_id"], r["score"], r["pay"], r["rule"])
+    assert len(found) > 30 and sorted(map(key, found)) == sorted(map(key, want.collect()))
+    assert [r["profile_id"] for r in got.collect() if r["job_id"] is None] == ["p8"]
+    with pytest.raises(ValueError):
+        Q.profiles_x_postings(profiles, postings, facts_of_postings=about)
